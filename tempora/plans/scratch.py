@@ -19,6 +19,10 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Shuffle files of a finished write are of no more use: what they led to stands in the written table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
@@ -26,7 +30,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
