@@ -219,7 +219,7 @@ def covered_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     strings = _strings(docs, rest, size).withColumn(
         "bucket", F.pmod(F.when(F.col("hot"), F.xxhash64("part")).otherwise(F.xxhash64("anchor")), F.lit(buckets)))
     late = materialize(strings.groupBy("bucket").applyInPandas(_late_windows(size), "doc_id long, start int, stop int"), "late")
-    spans.release(docs.sparkSession)
+    spans.drop_scratch(rest)
     return covered.unionByName(late)
 
 

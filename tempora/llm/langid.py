@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BLOCK = 256  # characters parsed as one lane
 SLICE = 1 << 20  # characters a worker holds as lanes at a time
@@ -148,9 +149,10 @@ def training_texts(docs: DataFrame, learn, docs_per_lang: int = 400, chars_per_d
     return {k: "\n".join(v)[:each] for k, v in found.items()}
 
 
-def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs``, from the training texts of each language."""
+def identify(docs: DataFrame, texts: dict[str, str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` with lang_pred and score, from the training texts of each language."""
     shared = docs.sparkSession.sparkContext.broadcast(texts)
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
 
     def run(batches):
         key = hash(tuple(sorted(shared.value.items())))
@@ -158,11 +160,19 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
             _PARSERS.clear()
             _PARSERS[key] = CrossParser(shared.value)
         for b in batches:
-            langs, scores = _PARSERS[key].predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             ["doc_id", "lang_pred", "score"])
+            langs, scores = _PARSERS[key].predict(b.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             [*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    out = StructType([*rows.drop("_text").schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, out)
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language can't be told (null texts and texts without a letter); learned from its own lang."""
+    texts = training_texts(docs, F.lit(True))
+    return identify(docs, texts, tuple(docs.columns)).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def held_out(modulus: int, remainder: int):

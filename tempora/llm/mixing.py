@@ -95,22 +95,25 @@ def _shift(stages: list[tuple[str, str]]):
     return chosen
 
 
-def mix_to_targets(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> DataFrame:
-    """doc_id, size, source, source_size, target, rate, copies, taken for every row of ``docs``."""
-    base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                                   word_count(F.col("text")).alias("size")), "sizes")
-    hist = materialize(base.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
-    sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, float(cap)), "targets")
-    state = balance(hist, targets, float(cap))
-    s = state.select(F.col("source").alias("ss"), "source_size", "target", "lam", "mean", "full")
+def _copies(shift, cap: int):
+    return F.when(F.col("full"), F.lit(cap)).otherwise(F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(F.col("rate") + F.col("u") + shift)))).cast("long")
+
+
+def _rated(rows: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
+    """Rows of (doc_id, source, size, ...) with their source's figures, rate and hash u."""
+    s = sources.withColumnRenamed("source", "ss")
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    rated = (base.join(s, base["source"].eqNullSafe(s["ss"])).withColumn("x", F.col("size") / F.col("mean"))
-             .withColumn("rate", _rate(float(cap))).withColumn("u", u)
-             .select("doc_id", "source", "size", "source_size", "target", "rate", "u", "full"))
-    rated = materialize(rated, "rated")
-    copies = lambda shift: F.when(F.col("full"), F.lit(cap)).otherwise(
-        F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(F.col("rate") + F.col("u") + shift)))).cast("long")
+    return (rows.join(s, rows["source"].eqNullSafe(s["ss"])).withColumn("x", F.col("size") / F.col("mean"))
+            .withColumn("rate", _rate(cap)).withColumn("u", u).drop("ss", "x"))
+
+
+def mixing_plan(sizes: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> DataFrame:
+    """One row a source from (doc_id, source, size): source_size, target, lambda, and the shifts that round rates to copies."""
+    hist = materialize(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
+    totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    targets = materialize(source_targets(totals, weights, float(cap)), "targets")
+    state = balance(hist, targets, float(cap)).select("source", "source_size", "target", "lam", "mean", "full")
+    rated = materialize(_rated(sizes, state, float(cap)).select("source", "size", "rate", "u", "full"), "rated")
     stages: list[tuple[str, str]] = []
     shifts = targets.select("source", "target", F.lit(0.0).alias("gap"))
     for stage in range(STAGES):
@@ -123,7 +126,7 @@ def mix_to_targets(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> Da
             start = F.lit(-1.0) if not stages else F.col(stages[-1][1])
             shift = lambda k: F.when(F.col("size") <= F.col(bound), start + (1.0 - start) * (F.col("at") + F.col("part") * (k / PROBES))).otherwise(before)  # noqa: B023,E731
             got = (rated.join(h, rated["source"].eqNullSafe(h["hs"])).groupBy("source")
-                   .agg(*[F.sum(F.col("size") * copies(shift(k))).alias(f"g{k}") for k in range(PROBES + 1)]))
+                   .agg(*[F.sum(F.col("size") * _copies(shift(k), cap)).alias(f"g{k}") for k in range(PROBES + 1)]))
             got = got.withColumnRenamed("source", "gs")
             j = shifts.join(got, shifts["source"].eqNullSafe(got["gs"]), "left")
             fits = F.array_max(F.array(*[F.when(F.col(f"g{k}") <= F.col("target"), F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("g")))
@@ -134,11 +137,31 @@ def mix_to_targets(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> Da
                  .withColumn("part", F.col("part") / PROBES).withColumn(low, start + (1.0 - start) * F.col("at")))
             shifts = materialize(j.select(*shifts.columns), "shifts")
         stages.append((bound, low))
-    h = shifts.withColumnRenamed("source", "hs").drop("target")
-    return (rated.join(h, rated["source"].eqNullSafe(h["hs"])).withColumn("copies", copies(_shift(stages)))
+    h = shifts.withColumnRenamed("source", "hs").select("hs", *[c for s in stages for c in s])
+    return materialize(state.join(h, state["source"].eqNullSafe(h["hs"])).drop("hs"), "plan")
+
+
+def mix_to_targets(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> DataFrame:
+    """doc_id, size, source, source_size, target, rate, copies, taken for every row of ``docs``."""
+    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                                    word_count(F.col("text")).alias("size")), "sizes")
+    rated = _rated(sizes, mixing_plan(sizes, weights, cap), float(cap))
+    stages = [(f"bound{k}", f"shift{k}") for k in range(STAGES)]
+    return (rated.withColumn("copies", _copies(_shift(stages), cap))
             .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
+def repeated(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as it is copied, with its own columns. Texts are not shuffled."""
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    plan = mixing_plan(materialize(rows.select("doc_id", "source", "size"), "sizes"), weights, cap)
+    rated = _rated(rows, plan, float(cap))
+    stages = [(f"bound{k}", f"shift{k}") for k in range(STAGES)]
+    many = rated.withColumn("copies", _copies(_shift(stages), cap)).filter("copies > 0")
+    return many.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+
+
 def op3_entropy_balanced_mix(spark, sf_dir: str) -> DataFrame:
     """Contract query: the mix of all ``documents``."""
     out = mix_to_targets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -162,9 +162,10 @@ def covered_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, start, stop: ranges of words covered by windows that also start in a document of smaller doc_id."""
     covered, rest = spans.shared_rows(_anchor_rows(docs, size), size)
     windows = materialize(_window_rows(docs, rest, size), "windows")
-    spans.release(docs.sparkSession)
     first = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     late = windows.join(first, ["anchor", "window"]).filter("doc_id > first").select("doc_id", "start", (F.col("start") + size).alias("stop"))
+    late = materialize(late, "late")
+    spans.drop_scratch(windows)
     return covered.unionByName(late)
 
 

@@ -11,9 +11,10 @@ from tempora.llm.minhash import op8_lsh_forest_near_dups
 from tempora.llm.mixing import op3_entropy_balanced_mix
 from tempora.llm.recompression import op5_recompression_substring_dedup
 from tempora.llm.sharding import op7_consistent_hash_shards
+from tempora.llm.toxicity import op6_compression_distance_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_decontamination, op2_deletion_neighbourhood_lines, op3_entropy_balanced_mix, op4_columnwise_bwt_substring_dedup,
-    op5_recompression_substring_dedup, op7_consistent_hash_shards, op8_lsh_forest_near_dups, op9_rotated_code_near_vectors,
+    op5_recompression_substring_dedup, op6_compression_distance_toxicity, op7_consistent_hash_shards, op8_lsh_forest_near_dups, op9_rotated_code_near_vectors,
     op10_cross_parsing_language)}
 ORACLE_SQL: dict[str, str] = {}

@@ -26,18 +26,12 @@ from tempora.plans.scratch import drop_scratch, materialize
 ROWS = "anchor long, content long, doc_id long, start int, windows int"
 
 
-def release(spark) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    spark._jvm.System.gc()
-
-
 def shared_rows(rows: DataFrame, size: int, attach=None) -> tuple[DataFrame, DataFrame]:
     """From rows of ROWS: (covered: doc_id, start, stop) and (open: anchor, doc_id, start, windows), see above.
 
     With ``attach`` the rows come without ``content``; they are computed twice rather than stored, and ``attach`` adds the
     content to those whose anchor is shared.
     """
-    spark = rows.sparkSession
     if attach is None:
         rows = materialize(rows, "anchors")
     # the extremes of doc_id tell apart anchors of one document from shared ones; both combine map-side
@@ -47,20 +41,16 @@ def shared_rows(rows: DataFrame, size: int, attach=None) -> tuple[DataFrame, Dat
         drop_scratch(rows)
     else:
         shared = materialize(shared, "names")
-        release(spark)
         bare = materialize(rows.join(shared, "anchor"), "bare")
         drop_scratch(shared)
-        release(spark)
         kept = materialize(attach(bare), "shared")
         drop_scratch(bare)
-    release(spark)
     kinds = materialize(kept.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "kinds")
     many = kinds.groupBy("anchor").agg((F.count("*") > 1).alias("many"))
     open_kinds = kinds.join(many, "anchor").filter("many OR first < last")
     told = materialize(kept.join(open_kinds.select("anchor", "content", "first", "many"), ["anchor", "content"]), "told")
     drop_scratch(kept)
     drop_scratch(kinds)
-    release(spark)
     covered = told.filter("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + size).alias("stop"))
     return covered, told.filter("doc_id = first AND many").select("anchor", "doc_id", "start", "windows")
 
