@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tempora.plans import files, laws, networks, scenes, shapes, spatial, streams, temporal  # noqa: F401
+from tempora.plans.catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
