@@ -15,7 +15,7 @@ def titled(slug_col):
 
 def base_name(c):
     """Lower-cased, without a parenthesis and a trailing number."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s*\([^)]*\)", ""), r"[\s#-]*[0-9]+$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s*\([^)]*\)", ""), r"[\s#-]+[0-9]+$", ""))
 
 
 def content_id(*cols):

@@ -78,7 +78,7 @@ def derive_events(bodies: DataFrame, key: list[str], body: str) -> DataFrame:
         F.when(~joined, F.struct(F.lit("Rise").alias("kind"), F.col("f").alias("t"))),
         F.when(joined & (F.col("_b") != F.col(body)), F.struct(F.lit("Shift").alias("kind"), F.col("f").alias("t"))),
         F.when(F.col("u").isNotNull() & ~F.col("_next").eqNullSafe(F.col("u")), F.struct(F.lit("Fall").alias("kind"), F.col("u").alias("t"))))
-    return rows.select(*key, F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("e")).select(*key, "e.kind", "e.t")
+    return rows.select(*key, F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("_ev")).select(*key, "_ev.kind", "_ev.t")
 
 
 def moments(table: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,25 +77,66 @@ def clipped(rows: DataFrame, key: str, y0: float, y1: float, x0: float, x1: floa
     return rows
 
 
-def simplified(rows: DataFrame, key: str, tolerance: float, max_rounds: int = 40) -> DataFrame:
-    """Spherical Douglas-Peucker by rounds: every open segment splits at its farthest vertex (the lowest of equal ones).
+SHORT = 20_000  # vertices of a line that one task simplifies by itself
 
-    A split depends on its segment's ends alone, so the rounds keep what the recursion keeps. ``rows``: key, seq, v.
+
+def _simplify_short(key: str, tolerance: float):
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        v = pdf[["x", "y", "z"]].to_numpy()
+        keep = np.zeros(len(v), bool)
+        keep[[0, -1]] = True
+        todo = [(0, len(v) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            d = distances_to_arc(v[a + 1:b], v[a], v[b])
+            m = int(d.argmax())  # the lowest of equal ones
+            if d[m] > tolerance:
+                keep[a + 1 + m] = True
+                todo += [(a, a + 1 + m), (a + 1 + m, b)]
+        return pdf.loc[keep, [key, "seq"]]
+
+    return kept
+
+
+def distances_to_arc(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angular distances of points from one arc."""
+    ends = np.minimum(np.arccos(np.clip(p @ a, -1, 1)), np.arccos(np.clip(p @ b, -1, 1)))
+    n = np.cross(a, b)
+    size = np.linalg.norm(n)
+    if size <= 1e-15:
+        return ends
+    n = n / size
+    inside = (p @ np.cross(n, a) >= 0) & (p @ np.cross(b, n) >= 0)
+    return np.where(inside, np.abs(np.arcsin(np.clip(p @ n, -1, 1))), ends)
+
+
+def simplified(rows: DataFrame, key: str, tolerance: float, short: int = SHORT, max_rounds: int = 60) -> DataFrame:
+    """(key, seq) that spherical Douglas-Peucker keeps of rows (key, seq, v).
+
+    Short lines are done whole in a task. Longer ones go by rounds, in each of which every open segment splits at its farthest
+    vertex (the lowest of equal ones); a split depends on its segment's ends alone, so rounds keep what the recursion keeps.
     """
-    rows = materialize(rows, "line")
-    ends = rows.groupBy(key).agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
-    kept = ends.select(key, F.explode(F.array("a", "b")).alias("seq")).distinct()
-    open_ = materialize(ends.filter("b - a > 1"), "open")
+    size = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.struct("seq", "v")).alias("_a"), F.max(F.struct("seq", "v")).alias("_b"))
+    rows = rows.join(size, key)
+    flat = rows.filter(F.col("_n") <= short).select(key, F.col("seq").cast("long").alias("seq"), "v.x", "v.y", "v.z")
+    kind = dict(flat.dtypes)[key]
+    done = flat.groupBy(key).applyInPandas(_simplify_short(key, tolerance), f"{key} {kind}, seq long")
+    long_ = materialize(rows.filter(F.col("_n") > short).select(key, F.col("seq").cast("long").alias("seq"), "v", F.col("_a.seq").alias("a"), F.col("_b.seq").alias("b"), F.col("_a.v").alias("va"), F.col("_b.v").alias("vb")), "line")
+    if long_.isEmpty():
+        return done
+    kept = long_.filter("seq = a OR seq = b").select(key, "seq")
+    state = long_.filter("seq > a AND seq < b")
     for _ in range(max_rounds):
-        v = rows.select(F.col(key).alias("_k"), F.col("seq").alias("_s"), F.col("v").alias("_v"))
-        seg = open_.join(v, (F.col(key) == F.col("_k")) & (F.col("a") == F.col("_s"))).select(key, "a", "b", F.col("_v").alias("va"))
-        seg = seg.join(v, (F.col(key) == F.col("_k")) & (F.col("b") == F.col("_s"))).select(key, "a", "b", "va", F.col("_v").alias("vb"))
-        inner = rows.join(seg, key).filter("seq > a AND seq < b").withColumn("d", g.to_arc(F.col("v"), F.col("va"), F.col("vb")))
-        far = inner.groupBy(key, "a", "b").agg(F.max(F.struct("d", (-F.col("seq")).alias("s"))).alias("m")).filter(F.col("m.d") > tolerance)
-        far = materialize(far.select(key, "a", "b", (-F.col("m.s")).alias("seq")), "split")
-        if far.isEmpty():
+        far = state.groupBy(key, "a", "b").agg(F.max(F.struct(g.to_arc(F.col("v"), F.col("va"), F.col("vb")).alias("d"), (-F.col("seq")).alias("s"), F.col("v").alias("v"))).alias("m"))
+        far = far.filter(F.col("m.d") > tolerance).select(key, "a", "b", (-F.col("m.s")).alias("c"), F.col("m.v").alias("vc"))
+        new = materialize(state.join(far, [key, "a", "b"]), "split")
+        if new.isEmpty():
             break
-        kept = kept.union(far.select(key, "seq"))
-        halves = far.select(key, F.explode(F.array(F.struct("a", F.col("seq").alias("b")), F.struct(F.col("seq").alias("a"), "b"))).alias("h"))
-        open_ = halves.select(key, "h.a", "h.b").filter("b - a > 1")
-    return kept
+        kept = kept.union(new.filter("seq = c").select(key, "seq"))
+        first = F.col("seq") < F.col("c")
+        state = new.filter("seq <> c").select(key, "seq", "v", F.when(first, F.col("a")).otherwise(F.col("c")).alias("a"), F.when(first, F.col("c")).otherwise(F.col("b")).alias("b"),
+                                              F.when(first, F.col("va")).otherwise(F.col("vc")).alias("va"), F.when(first, F.col("vc")).otherwise(F.col("vb")).alias("vb"))
+    return done.unionByName(kept)

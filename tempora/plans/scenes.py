@@ -196,7 +196,7 @@ def f7(spark, sf):
                        ta.parsed_key(C("text")).alias("key_"), "file_", ta.epoch_of(C("file_")).alias("epoch"))
 
 
-@query("F8_slugs_and_names", "SELECT c_custkey AS k, regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS slug, regexp_replace(lower(c_name), '[\\s#-]*[0-9]+$', '') AS base FROM customer")
+@query("F8_slugs_and_names", "SELECT c_custkey AS k, regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS slug, regexp_replace(lower(c_name), '[\\s#-]+[0-9]+$', '') AS base FROM customer")
 def f8(spark, sf):
     return cust(spark, sf).select(C("c_custkey").alias("k"), nm.slug(C("c_name")).alias("slug"), nm.base_name(C("c_name")).alias("base"))
 
@@ -220,7 +220,7 @@ def f11(spark, sf):
 
 def pieces_mask(text):
     """Bit set of a comma-separated piece list; unknown names count nothing."""
-    names = F.transform(F.split(text, ","), F.trim)
+    names = F.transform(F.split(text, ","), lambda n: F.trim(n))
     bits = F.create_map(*[x for i, p in enumerate(PIECES) for x in (F.lit(p), F.lit(1 << i))])
     return F.aggregate(names, F.lit(0), lambda acc, n: acc.bitwiseOR(F.coalesce(bits[n], F.lit(0))))
 

@@ -22,7 +22,7 @@ def coarse(spark, sf):
 
 
 @query("W14_ring_cleaning", with_("paths") + """, q AS (SELECT id, seq, CAST(floor(lat/30) AS BIGINT) gy, CAST(floor(lon/120) AS BIGINT) gx FROM paths),
-  d AS (SELECT * FROM q QUALIFY lag(gy) OVER w IS DISTINCT FROM gy OR lag(gx) OVER w IS DISTINCT FROM gx WINDOW w AS (PARTITION BY id ORDER BY seq)),
+  d AS (SELECT * FROM q WINDOW w AS (PARTITION BY id ORDER BY seq) QUALIFY lag(gy) OVER w IS DISTINCT FROM gy OR lag(gx) OVER w IS DISTINCT FROM gx),
   e AS (SELECT *, first_value(gy) OVER w fy, first_value(gx) OVER w fx, max(seq) OVER (PARTITION BY id) m, count(*) OVER (PARTITION BY id) c FROM d WINDOW w AS (PARTITION BY id ORDER BY seq))
   SELECT id, seq, gy, gx, count(*) OVER (PARTITION BY id) >= 3 AS ring FROM e WHERE NOT (seq = m AND c > 1 AND gy = fy AND gx = fx)""")
 def w14(spark, sf):

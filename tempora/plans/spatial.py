@@ -213,7 +213,7 @@ def j11(spark, sf):
 
 @query("J10_vertex_snap", with_("pip", "rings") + """, c AS (SELECT k, k // 100 path, rid, seq, (y-qlat)*(y-qlat)+(x-qlon)*(x-qlon) d FROM pip JOIN rings ON abs(y-qlat) <= 500000 AND abs(x-qlon) <= 500000),
   n AS (SELECT path, k, qlat, qlon FROM (SELECT path, k, r.qlat, r.qlon, row_number() OVER (PARTITION BY k ORDER BY d, r.qlat, r.qlon) rn FROM c JOIN rings r USING (rid, seq) WHERE d <= 250000000000) WHERE rn = 1)
-  SELECT path, k, qlat, qlon FROM n QUALIFY lag(qlat) OVER w IS DISTINCT FROM qlat OR lag(qlon) OVER w IS DISTINCT FROM qlon WINDOW w AS (PARTITION BY path ORDER BY k)""")
+  SELECT path, k, qlat, qlon FROM n WINDOW w AS (PARTITION BY path ORDER BY k) QUALIFY lag(qlat) OVER w IS DISTINCT FROM qlat OR lag(qlon) OVER w IS DISTINCT FROM qlon""")
 def j10(spark, sf):
     size = 500000.0
     verts = fx.rings(spark, sf).select("qlat", "qlon").distinct()

@@ -249,7 +249,7 @@ def k1(spark, sf):
     return iv.valid_at(fx.bodies(spark, sf), T1).select("e", "st", F.row_number().over(Window.orderBy("st", "e", "f")).cast(L).alias("place"))
 
 
-@query("J25_before_and_after", with_("bodies") + "SELECT e, f AS t, st AS after_, lag(st) OVER w AS before_ FROM bodies QUALIFY lag(u) OVER w = f WINDOW w AS (PARTITION BY e ORDER BY f)")
+@query("J25_before_and_after", with_("bodies") + "SELECT e, f AS t, st AS after_, lag(st) OVER w AS before_ FROM bodies WINDOW w AS (PARTITION BY e ORDER BY f) QUALIFY lag(u) OVER w = f")
 def j25(spark, sf):
     w = Window.partitionBy("e").orderBy("f")
     rows = fx.bodies(spark, sf).select("e", F.col("f").alias("t"), F.col("st").alias("after_"), F.lag("st").over(w).alias("before_"), F.lag("u").over(w).alias("lu"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COLLECTION = "features array<struct<properties:struct<NAME:string,name:string>,geometry:struct<type:string,coordinates:string>>>, expected_features int"
+COLLECTION = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>, expected_features int"
 
 
 def read_polygons(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -15,7 +15,7 @@ def read_polygons(spark: SparkSession, path: str, multi_line: bool = False) -> D
     """
     files = spark.read.schema(COLLECTION).option("multiLine", multi_line).json(path)
     f = files.select(F.explode("features").alias("f")).select(
-        F.coalesce("f.properties.NAME", "f.properties.name").alias("name"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+        F.coalesce(F.col("f.properties")["NAME"], F.col("f.properties")["name"]).alias("name"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
     parts = (F.when(F.col("kind") == "Polygon", F.array(F.from_json("c", "array<array<array<double>>>")))
              .when(F.col("kind") == "MultiPolygon", F.from_json("c", "array<array<array<array<double>>>>"))
              .otherwise(F.raise_error(F.concat(F.lit("geometry is neither Polygon nor MultiPolygon: "), F.col("kind"))).cast("array<array<array<array<double>>>>")))
