@@ -68,8 +68,8 @@ def face_table(traced: DataFrame) -> DataFrame:
     """face, area (positive: a bounded face; negative: an outer boundary), n, and a point just inside its longest edge."""
     h = lambda c: F.col(f"h.{c}").cast("double")
     length = F.hypot(h("dy") - h("oy"), h("dx") - h("ox"))
-    point = F.struct(length.alias("l"), F.round((h("oy") + h("dy")) / 2 + (h("dx") - h("ox")) / length * 100).cast("long").alias("y"),
-                     F.round((h("ox") + h("dx")) / 2 - (h("dy") - h("oy")) / length * 100).cast("long").alias("x"))
+    point = F.struct(length.alias("l"), ((h("oy") + h("dy")) / 2 + (h("dx") - h("ox")) / length / 4).alias("y"),
+                     ((h("ox") + h("dx")) / 2 - (h("dy") - h("oy")) / length / 4).alias("x"))
     return traced.groupBy(F.col("cycle").alias("face")).agg(
         (F.sum(h("ox") * h("dy") - h("dx") * h("oy")) / 2).alias("area"), F.count("*").alias("n"), F.max(point).alias("p")).select("face", "area", "n", "p.y", "p.x")
 

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark():
-    s = (SparkSession.builder.master("local[8]").appName("tempora-tests")
+    s = (SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]")).appName("tempora-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
          .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
