@@ -189,14 +189,14 @@ def l15(spark, sf):
   n AS (SELECT k, y, x, rid FROM pip JOIN b ON y BETWEEN y0-500000 AND y1+500000 AND x BETWEEN x0-500000 AND x1+500000),
   d AS (SELECT n.k, n.rid, (y-ay)*1.0 py, (x-ax)*1.0 px, (by_-ay)*1.0 ey, (bx-ax)*1.0 ex FROM n JOIN redges e ON e.rid = n.rid),
   t AS (SELECT *, greatest(0.0, least(1.0, (px*ex+py*ey)/(ex*ex+ey*ey))) u FROM d)
-  SELECT k, rid, round(min(sqrt((px-u*ex)*(px-u*ex)+(py-u*ey)*(py-u*ey)))/1e7, 6) AS deg FROM t GROUP BY 1, 2""")
+  SELECT k, rid, round(min(sqrt((px-u*ex)*(px-u*ex)+(py-u*ey)*(py-u*ey)))/1e7, 8) AS deg FROM t GROUP BY 1, 2""")
 def j6(spark, sf):
     r = fx.rings(spark, sf)
     near = sp.points_in_boxes(fx.pip(spark, sf), sp.ring_boxes(r), 1e6, margin=500000)
     d = near.join(sp.ring_edges(r), "rid")
     px, py, ex, ey = ((F.col(a) - F.col(b)).cast("double") for a, b in (("x", "ax"), ("y", "ay"), ("bx", "ax"), ("by_", "ay")))
     u = g.clamp((px * ex + py * ey) / (ex * ex + ey * ey), 0.0, 1.0)
-    return d.groupBy("k", "rid").agg(F.round(F.min(F.sqrt((px - u * ex) * (px - u * ex) + (py - u * ey) * (py - u * ey))) / 1e7, 6).alias("deg"))
+    return d.groupBy("k", "rid").agg(F.round(F.min(F.sqrt((px - u * ex) * (px - u * ex) + (py - u * ey) * (py - u * ey))) / 1e7, 8).alias("deg"))
 
 
 @query("J8_shared_border_adjacency", with_("rings") + "SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM rings a JOIN rings b ON a.qlat = b.qlat AND a.qlon = b.qlon AND a.rid < b.rid GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -227,7 +227,7 @@ def j10(spark, sf):
     return best.withColumn("moved", moved).filter("moved").drop("moved")
 
 
-def _shifted(edges, dy=1000000, dx=100000):
+def _shifted(edges, dy=300000, dx=30000):
     return edges.select("rid", "seq", *[(F.col(c) + (dy if c in ("ay", "by_") else dx)).alias(c) for c in ("ay", "ax", "by_", "bx")])
 
 
@@ -241,7 +241,7 @@ def segment_crossings(left, right, size=1e6):
     return pairs.filter(g.arcs_cross(a, b, c, d)).withColumn("p", g.crossing(a, b, c, d))
 
 
-@query("J12_segment_intersections", with_("redges") + """, r2 AS (SELECT rid, seq, ay+1000000 ay, ax+100000 ax, by_+1000000 by_, bx+100000 bx FROM redges)
+@query("J12_segment_intersections", with_("redges") + """, r2 AS (SELECT rid, seq, ay+300000 ay, ax+30000 ax, by_+300000 by_, bx+30000 bx FROM redges)
   SELECT l.rid AS l_rid, l.seq AS l_seq, r.rid AS r_rid, r.seq AS r_seq FROM redges l JOIN r2 r ON greatest(least(l.ay,l.by_),least(r.ay,r.by_)) <= least(greatest(l.ay,l.by_),greatest(r.ay,r.by_))
   AND greatest(least(l.ax,l.bx),least(r.ax,r.bx)) <= least(greatest(l.ax,l.bx),greatest(r.ax,r.bx))
   AND ((l.ay=l.by_ AND r.ax=r.bx AND r.ax > least(l.ax,l.bx) AND r.ax < greatest(l.ax,l.bx) AND l.ay > least(r.ay,r.by_) AND l.ay < greatest(r.ay,r.by_))
