@@ -106,7 +106,7 @@ def fit(texts: list[str], labels: list[int]) -> Classifier | None:
     return best[1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn, docs_per_class: int = 1500) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, learn, docs_per_class: int = 1000) -> tuple[list[str], list[int]]:
     """The bounded sample of labelled rows."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.filter(learn)
