@@ -71,14 +71,15 @@ class CrossParser:
                         nxt[p][c] = twin
                         p = link[p]
             last = cur
-        w = self.width
-        fresh = np.zeros(w, np.int32)
+        w, stray = self.width, len(nxt)  # stray: an open phrase of one character that the training text lacks
+        fresh = np.full(w, stray * w, np.int32)
         for c, s in nxt[0].items():
             fresh[c] = s * w
-        table = np.tile(~fresh, (len(nxt), 1))
-        rows = np.repeat(np.arange(len(nxt)), [len(x) for x in nxt])
+        table = np.tile(~fresh, (stray + 1, 1))
+        table[0] = fresh
+        rows = np.repeat(np.arange(stray), [len(x) for x in nxt])
         table[rows, np.fromiter((c for x in nxt for c in x), np.int64, len(rows))] = np.fromiter((s * w for x in nxt for s in x.values()), np.int64, len(rows))
-        table[:, w - 1] = np.arange(len(nxt)) * w
+        table[:, w - 1] = np.arange(stray + 1) * w
         return table.ravel()
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
