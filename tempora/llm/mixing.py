@@ -75,11 +75,11 @@ def balance(hist: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
         j = (j.withColumn("done", F.col("full") | F.col("got").isNull() | (F.abs(gap) <= NEWTON_TOLERANCE * F.greatest(F.col("target"), F.lit(1.0))))
              .withColumn("lo", F.when(gap < 0, F.greatest("lo", "lam")).otherwise(F.col("lo")))
              .withColumn("hi", F.when(gap > 0, F.least("hi", "lam")).otherwise(F.col("hi")))
-             .withColumn("step", F.col("lam") - gap / F.col("slope")))
+             .withColumn("step", F.col("lam") - gap / F.when(F.col("slope") > 0, F.col("slope"))))
         reach = 2 * F.abs(F.col("lam")) + 1
         low = F.when(F.col("lo") == float("-inf"), F.least(F.col("hi"), F.col("lam")) - reach).otherwise(F.col("lo"))
         high = F.when(F.col("hi") == float("inf"), F.greatest(F.col("lo"), F.col("lam")) + reach).otherwise(F.col("hi"))
-        inside = (F.col("slope") > 0) & (F.col("step") > low) & (F.col("step") < high)
+        inside = F.col("step").isNotNull() & (F.col("step") > low) & (F.col("step") < high)
         j = j.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, F.col("step")).otherwise((low + high) / 2))
         state = materialize(j.select(*state.columns), "dual")
         if state.filter(~F.col("done")).isEmpty():
@@ -124,7 +124,7 @@ def mixing_plan(sizes: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> Data
         for _ in range(PROBE_ROUNDS):
             h = shifts.withColumnRenamed("source", "hs")
             start = F.lit(-1.0) if not stages else F.col(stages[-1][1])
-            shift = lambda k: F.when(F.col("size") <= F.col(bound), start + (1.0 - start) * (F.col("at") + F.col("part") * (k / PROBES))).otherwise(before)  # noqa: B023,E731
+            shift = lambda k: F.when(F.col("size") <= F.col(bound), start + (float(cap) - start) * (F.col("at") + F.col("part") * (k / PROBES))).otherwise(before)  # noqa: B023,E731
             got = (rated.join(h, rated["source"].eqNullSafe(h["hs"])).groupBy("source")
                    .agg(*[F.sum(F.col("size") * _copies(shift(k), cap)).alias(f"g{k}") for k in range(PROBES + 1)]))
             got = got.withColumnRenamed("source", "gs")
@@ -134,7 +134,7 @@ def mixing_plan(sizes: DataFrame, weights=(5.0, 2.0, 1.0), cap: int = 3) -> Data
             j = (j.withColumn("fit", fits)
                  .withColumn("gap", F.coalesce(F.col("target") - F.col("fit.g"), F.col("gap")))
                  .withColumn("at", F.col("at") + F.col("part") * F.coalesce(F.col("fit.k"), F.lit(0)) / PROBES)
-                 .withColumn("part", F.col("part") / PROBES).withColumn(low, start + (1.0 - start) * F.col("at")))
+                 .withColumn("part", F.col("part") / PROBES).withColumn(low, start + (float(cap) - start) * F.col("at")))
             shifts = materialize(j.select(*shifts.columns), "shifts")
         stages.append((bound, low))
     h = shifts.withColumnRenamed("source", "hs").select("hs", *[c for s in stages for c in s])

@@ -179,7 +179,7 @@ def test_mix(spark, docs, texts, nothing):
             del left[s]
     for s, rs in by.items():
         assert all(r.source_size == source_size[s] and r.target == pytest.approx(target[s]) for r in rs)
-        assert abs(sum(r.taken for r in rs) - target[s]) <= max(0.02 * target[s], min(r.size for r in rs if r.size))
+        assert abs(sum(r.taken for r in rs) - target[s]) <= max(0.02 * target[s], 40)  # a short document of these
     again = {(r.doc_id, r.taken) for r in mixing.mix_to_targets(docs).collect()}
     assert again == {(r.doc_id, r.taken) for r in out}
     whole = mixing.repeated(docs)
