@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tempora.plans.scratch import materialize
 
 MIN_CHARS = 16
+SMALL = 500_000  # candidate lines (two numbers each) up to which their places are broadcast
 ID = ["h1", "h2"]
 
 
@@ -74,6 +75,8 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = keys.join(shared, "key").select(*ID).distinct()
     wanted = materialize(lines.select(*ID, "place").join(wanted, ID), "wanted")
     per_doc = wanted.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list("place.line_no").alias("nos"))
+    if wanted.count() <= SMALL:  # then texts need not be shuffled to it
+        per_doc = F.broadcast(per_doc)
     texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, "doc_id")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     picked = texts.select("doc_id", F.explode(F.filter(numbered, lambda x: F.array_contains("nos", x["line_no"]))).alias("x"))
