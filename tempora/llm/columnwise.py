@@ -1,7 +1,9 @@
 """Substring dedup by bytes: Burrows-Wheeler transforms of string collections, built column by column.
 
 Spark narrows the corpus to short strings: rows of 50-byte windows around anchors (the least hash of the window's ``GRAM``-byte
-grams) that several documents share and whole-row comparison leaves open. Strings that share an anchor meet in one bucket of
+grams) that several documents share and whole-row comparison leaves open. Rows with a shared anchor are named anew by a longer
+context, the gram with ``REACH`` bytes before it for windows that hold those, with ``REACH`` bytes after it for all others, so that
+grams that only happen to recur fall away. Strings that share an anchor meet in one bucket of
 bounded size; hot anchors are cut into single windows that meet by content, so a bucket never grows with a hot group.
 
 In a bucket the collection's transform is built for all strings side by side: each round inserts one symbol of every string, from
@@ -26,6 +28,7 @@ from tempora.llm.words import BASE, BASE_INVERSE, BYTE_CODES, mix, powers, slice
 from tempora.plans.scratch import materialize
 
 SIZE, GRAM = 50, 16
+REACH = (SIZE - GRAM) // 2
 BUCKET = 20_000  # strings
 HOT = 2_000  # strings with one anchor
 _END = 0xFF  # a byte that UTF-8 never has
@@ -43,12 +46,12 @@ def _hashes(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, size: int = SIZE, gram: int = GRAM):
-    """(document, window start in it, number of windows, anchor) of the runs of windows that share an anchor."""
+    """(document, window start in it, number of windows, anchor, its place in the first window) of the runs of windows that share an anchor."""
     n = len(data)
     doc_len = np.diff(offsets)
     if not (doc_len >= size).any():
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(_U)
+        return z, z, z, z.astype(_U), z
     first = np.arange(n - gram + 1)
     grams = _hashes(_sums(data), first, first + gram)
     low = (_U(1) << _U(24)) - _U(1)
@@ -67,7 +70,7 @@ def anchors(offsets: np.ndarray, data: np.ndarray, size: int = SIZE, gram: int =
     key = best[at]
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
     place = (key[first] & low).astype(np.int64)
-    return doc[first], at[first] - offsets[doc[first]], np.diff(np.r_[first, len(at)]), grams[place]
+    return doc[first], at[first] - offsets[doc[first]], np.diff(np.r_[first, len(at)]), grams[place], place - at[first]
 
 
 def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -82,15 +85,15 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
                     pieces = [(offsets[i], offsets[j])]
                 for lo, hi in pieces:
                     part = np.array([0, hi - lo]) if len(pieces) > 1 else offsets[i:j + 1] - offsets[i]
-                    doc, start, windows, name = anchors(part, data[lo:hi], size)
+                    doc, start, windows, name, place = anchors(part, data[lo:hi], size)
                     if len(doc):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(name.view(np.int64)), pa.array(ids[i + doc]), pa.array((start + (lo - offsets[i])).astype(np.int32)),
-                             pa.array(windows.astype(np.int32))], ["anchor", "doc_id", "start", "windows"])
+                             pa.array((windows * 64 + place).astype(np.int32))], ["anchor", "doc_id", "start", "shape"])
 
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     return known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "anchor long, doc_id long, start int, windows int")
+        run, "anchor long, doc_id long, start int, shape int")
 
 
 def _each_row(b):
@@ -102,19 +105,28 @@ def _each_row(b):
 
 
 def _with_content(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Rows of spans.ROWS, named by the longer context: the windows that hold it before the gram, and the others."""
+
     def run(batches):
         for b in batches:
             data, base, owner, f = _each_row(b)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for k in range(0, len(owner), 200_000):
                 k = slice(k, k + 200_000)
-                lo = base[k] + f["start"][k]
-                hi = lo + f["windows"][k] - 1 + size
-                p, q = int(lo.min()), int(hi.max())
-                content = mix(_hashes(_sums(data[p:q]), lo - p, hi - p) + (hi - lo).astype(_U))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f["anchor"][k]), pa.array(content.view(np.int64)), pa.array(ids[owner[k]]), pa.array(f["start"][k]), pa.array(f["windows"][k])],
-                    ["anchor", "content", "doc_id", "start", "windows"])
+                start, windows, place = base[k] + f["start"][k], f["shape"][k] // 64, f["shape"][k] % 64
+                before = np.clip(place - REACH + 1, 0, windows)  # windows that begin REACH bytes or more before the gram
+                p, q = int(start.min()), int((start + windows).max()) - 1 + size
+                total = _sums(data[p:q])
+                for side, lo, n, at in ((1, start, before, place - REACH), (2, start + before, windows - before, place)):
+                    some = n > 0
+                    lo, n, at = lo[some] - p, n[some], (start + at)[some] - p
+                    hi = lo + n - 1 + size
+                    name = mix(_hashes(total, at, at + GRAM + REACH) + _U(side))
+                    content = mix(_hashes(total, lo, hi) + (hi - lo).astype(_U))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[owner[k][some]]),
+                         pa.array((lo + p - base[k][some]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                        ["anchor", "content", "doc_id", "start", "windows"])
 
     return spans.with_rows(docs, rows).mapInArrow(run, spans.ROWS)
 
@@ -211,7 +223,7 @@ def _late_windows(size: int):
 
 def covered_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, start, stop: ranges of bytes covered by strings of ``size`` bytes that also start in a document of smaller doc_id."""
-    covered, rest = spans.shared_rows(_anchor_rows(docs, size), size, lambda bare: _with_content(docs, bare, size))
+    covered, rest = spans.shared_rows(_anchor_rows(docs, size), size, lambda named: _with_content(docs, named, size))
     counts = rest.groupBy("anchor").agg(F.count("*").alias("c"))
     rest = materialize(rest.join(counts.select("anchor", (F.col("c") > HOT).alias("hot")), "anchor"), "open")
     total = rest.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.col("windows")).otherwise(1)), F.lit(0)).alias("n")).first().n

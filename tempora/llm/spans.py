@@ -26,25 +26,29 @@ from tempora.plans.scratch import drop_scratch, materialize
 ROWS = "anchor long, content long, doc_id long, start int, windows int"
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose anchor stands in more than one document; the extremes of doc_id tell, and combine map-side."""
+    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    shared = materialize(shared, "names")
+    kept = materialize(rows.join(shared, "anchor"), "shared")
+    drop_scratch(shared)
+    return kept
+
+
 def shared_rows(rows: DataFrame, size: int, attach=None) -> tuple[DataFrame, DataFrame]:
     """From rows of ROWS: (covered: doc_id, start, stop) and (open: anchor, doc_id, start, windows), see above.
 
-    With ``attach`` the rows come without ``content``; they are computed twice rather than stored, and ``attach`` adds the
-    content to those whose anchor is shared.
+    With ``attach`` the rows come without ``content``; they are computed twice rather than stored, and ``attach`` turns those whose
+    anchor is shared into rows of ROWS, which are narrowed again by the names it gives.
     """
     if attach is None:
         rows = materialize(rows, "anchors")
-    # the extremes of doc_id tell apart anchors of one document from shared ones; both combine map-side
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    if attach is None:
-        kept = materialize(rows.join(shared, "anchor"), "shared")
-        drop_scratch(rows)
     else:
-        shared = materialize(shared, "names")
-        bare = materialize(rows.join(shared, "anchor"), "bare")
-        drop_scratch(shared)
-        kept = materialize(attach(bare), "shared")
-        drop_scratch(bare)
+        named = _shared(rows)
+        rows = materialize(attach(named), "anchors")
+        drop_scratch(named)
+    kept = _shared(rows)
+    drop_scratch(rows)
     kinds = materialize(kept.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "kinds")
     many = kinds.groupBy("anchor").agg((F.count("*") > 1).alias("many"))
     open_kinds = kinds.join(many, "anchor").filter("many OR first < last")
