@@ -3,8 +3,9 @@
 Spark narrows the corpus to short strings: rows of 50-byte windows around anchors (the least hash of the window's ``GRAM``-byte
 grams) that several documents share and whole-row comparison leaves open. Rows with a shared anchor are named anew by a longer
 context, the gram with ``REACH`` bytes before it for windows that hold those, with ``REACH`` bytes after it for all others, so that
-grams that only happen to recur fall away. Strings that share an anchor meet in one bucket of
-bounded size; hot anchors are cut into single windows that meet by content, so a bucket never grows with a hot group.
+grams that only happen to recur fall away. Strings that share an anchor meet in one bucket, at most ``HOT`` an anchor
+and about ``BUCKET`` in all. The rows of hot anchors are cut into single windows, which an aggregation by their bytes settles (it
+combines map-side); none of them enters a bucket, so a bucket never grows with a hot group.
 
 In a bucket the collection's transform is built for all strings side by side: each round inserts one symbol of every string, from
 its end towards its start. The inserted suffixes' rows follow from ranks in the transform of the round before, old rows move down
@@ -131,25 +132,27 @@ def _with_content(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     return spans.with_rows(docs, rows).mapInArrow(run, spans.ROWS)
 
 
-def _strings(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """anchor, hot, doc_id, start, part: the bytes of each row, one string a window where the anchor is hot."""
+def _strings(docs: DataFrame, rows: DataFrame, size: int, windows: bool) -> DataFrame:
+    """anchor, doc_id, start, part: the bytes of each row, or of each window of it."""
 
     def run(batches):
         for b in batches:
             data, base, owner, f = _each_row(b)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             raw = data.tobytes()
-            n = np.where(f["hot"], f["windows"], 1).astype(np.int64)
-            row = np.repeat(np.arange(len(owner)), n)
-            start = f["start"][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            width = np.where(f["hot"], size, f["windows"] - 1 + size)[row]
-            lo = base[row] + start
-            part = [raw[x:y] for x, y in zip(lo, lo + width, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(f["anchor"][row]), pa.array(f["hot"][row].astype(bool)), pa.array(ids[owner[row]]), pa.array(start.astype(np.int32)), pa.array(part, pa.binary())],
-                ["anchor", "hot", "doc_id", "start", "part"])
+            for k in range(0, len(owner), 20_000):
+                k = slice(k, k + 20_000)
+                n = f["windows"][k].astype(np.int64) if windows else np.ones(len(owner[k]), np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                start = f["start"][k][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                width = np.full(len(row), size) if windows else f["windows"][k] - 1 + size
+                lo = base[k][row] + start
+                part = [raw[x:y] for x, y in zip(lo, lo + width, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f["anchor"][k][row]), pa.array(ids[owner[k][row]]), pa.array(start.astype(np.int32)), pa.array(part, pa.binary())],
+                    ["anchor", "doc_id", "start", "part"])
 
-    return spans.with_rows(docs, rows).mapInArrow(run, "anchor long, hot boolean, doc_id long, start int, part binary")
+    return spans.with_rows(docs, rows).mapInArrow(run, "anchor long, doc_id long, start int, part binary")
 
 
 def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -226,13 +229,25 @@ def covered_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     covered, rest = spans.shared_rows(_anchor_rows(docs, size), size, lambda named: _with_content(docs, named, size))
     counts = rest.groupBy("anchor").agg(F.count("*").alias("c"))
     rest = materialize(rest.join(counts.select("anchor", (F.col("c") > HOT).alias("hot")), "anchor"), "open")
-    total = rest.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.col("windows")).otherwise(1)), F.lit(0)).alias("n")).first().n
-    buckets = int(max(1, -(-total // BUCKET)))
-    strings = _strings(docs, rest, size).withColumn(
-        "bucket", F.pmod(F.when(F.col("hot"), F.xxhash64("part")).otherwise(F.xxhash64("anchor")), F.lit(buckets)))
+    cold, hot = rest.filter("NOT hot").drop("hot"), rest.filter("hot").drop("hot")
+    buckets = int(max(1, -(-cold.count() // BUCKET)))
+    strings = _strings(docs, cold, size, False).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     late = materialize(strings.groupBy("bucket").applyInPandas(_late_windows(size), "doc_id long, start int, stop int"), "late")
+    covered = covered.unionByName(late)
+    if not hot.isEmpty():
+        covered = covered.unionByName(_late_hot_windows(docs, hot, size))
     spans.drop_scratch(rest)
-    return covered.unionByName(late)
+    return covered
+
+
+def _late_hot_windows(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Ranges of the rows covered by windows that also start in a smaller document; a window costs one aggregated row."""
+    windows = materialize(_strings(docs, rows, size, True).drop("anchor"), "windows")
+    first = windows.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    late = windows.join(first, "part").filter("doc_id > first").select("doc_id", "start", (F.col("start") + size).alias("stop"))
+    late = materialize(late, "late")
+    spans.drop_scratch(windows)
+    return late
 
 
 def _cut(text: str, starts: np.ndarray, stops: np.ndarray):

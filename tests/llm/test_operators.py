@@ -69,6 +69,31 @@ def test_substring_dedup_by_bytes(docs, texts, nothing, monkeypatch):
     assert cut(nothing).count() == 0
 
 
+def test_a_hot_passage_stays_out_of_the_buckets(spark, monkeypatch):
+    """Each document has its own text around one passage, so that no row of it is settled as a whole."""
+    rng = random.Random(8)
+    passage = words(rng, 30)
+    rows = [(k, f"{words(rng, 12)} {passage} {words(rng, 12)}") for k in range(300)]
+    late = columnwise._late_windows
+
+    def bounded(size):
+        run = late(size)
+
+        def only(pdf):
+            if len(pdf) > 200:
+                raise ValueError(f"{len(pdf)} strings in a bucket")
+            return run(pdf)
+
+        return only
+
+    monkeypatch.setattr(columnwise, "HOT", 20)
+    monkeypatch.setattr(columnwise, "BUCKET", 50)
+    monkeypatch.setattr(columnwise, "_late_windows", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spans.finished(df, columnwise.covered_bytes(df), columnwise._cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    assert {k: tuple(r)[1:] for k, r in by_id(got).items()} == brute.substring_bytes(rows)
+
+
 def test_collection_transform():
     rng = random.Random(1)
     for trial in range(60):
