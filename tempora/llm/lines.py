@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join (DataFrame functions only).
 
-A line goes if an earlier line (in order of doc_id, then line number) lies within one character edit of it. Equal lines are one
-row with their first place; only distinct lines are compared.
+A line goes if an earlier line (in order of doc_id, then line number) is equal or lies within one character edit of it. Equal
+lines are one row with their first place; only distinct lines of ``near_chars`` and more are compared, as one edit turns most
+shorter ones (numbers, names, list marks) into lines of another meaning.
 
 1. Two lines one edit apart share their first or their second half, so lines that share neither with another line are done.
 2. The others are cut into blocks of about the square root of their length. The edit lies in one block and all around it is
@@ -11,7 +12,7 @@ row with their first place; only distinct lines are compared.
    aggregates the earliest line, so no pairs within a key are listed.
 4. The edit distance to that earliest line is verified on the texts.
 
-Defined results: null text has no lines; lines shorter than ``min_chars`` always stay; rows with a null doc_id neither remove nor
+Defined results: null text has no lines; empty lines and those shorter than ``min_chars`` always stay; rows with a null doc_id neither remove nor
 lose lines; two rows of one doc_id share places, so a line and its like at the same place both stay; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tempora.plans.scratch import materialize
 
-MIN_CHARS = 16
+MIN_CHARS = 16  # of lines that go for one edit; equal ones go at any length
 SMALL = 500_000  # candidate lines (two numbers each) up to which their places are broadcast
 ID = ["h1", "h2"]
 
@@ -41,11 +42,11 @@ def _halves(n, line):
     return keys
 
 
-def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """h1, h2, place (of the first occurrence), halves of every distinct line."""
+def distinct_lines(docs: DataFrame, min_chars: int, near_chars: int) -> DataFrame:
+    """h1, h2, place (of the first occurrence), halves (null below ``near_chars``) of every distinct line."""
     rows = _lines(docs).filter(F.col("doc_id").isNotNull() & (F.length("line") >= min_chars))
     rows = rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "line_no").alias("place"),
-                       F.array(*_halves(F.length("line"), F.col("line"))).alias("halves"))
+                       F.when(F.length("line") >= near_chars, F.array(*_halves(F.length("line"), F.col("line")))).alias("halves"))
     return rows.groupBy(*ID).agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
 
@@ -104,17 +105,18 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(mine, ID).join(theirs, ["e1", "e2"]).filter(F.levenshtein("line", "other", 1) >= 0).select(*ID).distinct()
 
 
-def staying_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def staying_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, stay (line numbers): first places of the texts that have no earlier neighbour."""
-    lines = materialize(distinct_lines(docs, min_chars), "lines")
+    lines = materialize(distinct_lines(docs, min_chars, near_chars), "lines")
     near = materialize(near_lines(docs, lines), "near")
     firsts = lines.join(near, ID, "left_anti").select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"))
     return firsts.groupBy("doc_id").agg(F.collect_list("line_no").alias("stay"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text, n_lines, n_removed of every row: the text without the lines that go."""
-    stay = staying_lines(docs, min_chars)
+    min_chars = max(1, min_chars)
+    stay = staying_lines(docs, min_chars, near_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
     joined = rows.join(stay, "doc_id", "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>"))).withColumn("lines", numbered)

@@ -159,6 +159,13 @@ def test_lines(docs, texts, nothing):
     assert lines.dedup_lines(nothing, 16).count() == 0
 
 
+def test_short_lines_go_if_equal(spark):
+    rows = [(1, "Les.\n\nPage 1\nLes."), (2, "Page 2\n\nLes.\n \nx"), (3, "Page 1\nx\n\n "), (None, "Les."), (4, None)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == {
+        1: ("Les.\n\nPage 1", 4, 1), 2: ("Page 2\n\n \nx", 5, 1), 3: ("", 4, 3), None: ("Les.", 1, 0), 4: (None, 0, 0)}
+
+
 def test_lines_one_edit_apart(spark):
     rng = random.Random(9)
     rows = []
