@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempora.plans.scratch import materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): component is the least id reachable.
 
     Each round hooks a node and its parent to the least parent among its neighbours and then halves paths, so rounds grow with
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("f")), "labels")
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels.select(F.col("id").alias("b"), "f"), "b").groupBy(F.col("a").alias("id")).agg(F.min("f").alias("m"))
         near = near.join(labels, "id")
         hook = near.select("id", "m").union(near.select(F.col("f").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("m"))

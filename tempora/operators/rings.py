@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import geo as g
 from tempora.functions.sets import set_text
-from tempora.plans.scratch import materialize
+from tempora.plans.scratch import drop_scratch, materialize
 
 
 def vertex_text(y="qlat", x="qlon"):
@@ -101,6 +101,19 @@ def _simplify_short(key: str, tolerance: float):
     return kept
 
 
+def _simplify_inner(key: str, tolerance: float):
+    whole = _simplify_short(key, tolerance)
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What stays of a segment's inner vertices; its ends come with each of them."""
+        one = pdf.iloc[0]
+        ends = pd.DataFrame([{key: one[key], "seq": one[s], **{c: one["v" + s][c] for c in "xyz"}} for s in ("a", "b")])
+        out = whole(pd.concat([pdf[[key, "seq", "x", "y", "z"]], ends]).reset_index(drop=True))
+        return out[(out["seq"] > one["a"]) & (out["seq"] < one["b"])]
+
+    return kept
+
+
 def distances_to_arc(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Angular distances of points from one arc."""
     ends = np.minimum(np.arccos(np.clip(p @ a, -1, 1)), np.arccos(np.clip(p @ b, -1, 1)))
@@ -113,11 +126,12 @@ def distances_to_arc(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(inside, np.abs(np.arcsin(np.clip(p @ n, -1, 1))), ends)
 
 
-def simplified(rows: DataFrame, key: str, tolerance: float, short: int = SHORT, max_rounds: int = 60) -> DataFrame:
+def simplified(rows: DataFrame, key: str, tolerance: float, short: int = SHORT) -> DataFrame:
     """(key, seq) that spherical Douglas-Peucker keeps of rows (key, seq, v).
 
     Short lines are done whole in a task. Longer ones go by rounds, in each of which every open segment splits at its farthest
-    vertex (the lowest of equal ones); a split depends on its segment's ends alone, so rounds keep what the recursion keeps.
+    vertex (the lowest of equal ones); a split depends on its segment's ends alone, so rounds keep what the recursion keeps. They go
+    on until no segment is open; segments that have become short leave them for a task.
     """
     size = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.struct("seq", "v")).alias("_a"), F.max(F.struct("seq", "v")).alias("_b"))
     rows = rows.join(size, key)
@@ -129,14 +143,28 @@ def simplified(rows: DataFrame, key: str, tolerance: float, short: int = SHORT,
         return done
     kept = long_.filter("seq = a OR seq = b").select(key, "seq")
     state = long_.filter("seq > a AND seq < b")
-    for _ in range(max_rounds):
+    old = []
+    while True:
         far = state.groupBy(key, "a", "b").agg(F.max(F.struct(g.to_arc(F.col("v"), F.col("va"), F.col("vb")).alias("d"), (-F.col("seq")).alias("s"), F.col("v").alias("v"))).alias("m"))
         far = far.filter(F.col("m.d") > tolerance).select(key, "a", "b", (-F.col("m.s")).alias("c"), F.col("m.v").alias("vc"))
         new = materialize(state.join(far, [key, "a", "b"]), "split")
         if new.isEmpty():
             break
+        old.append(new)
         kept = kept.union(new.filter("seq = c").select(key, "seq"))
         first = F.col("seq") < F.col("c")
         state = new.filter("seq <> c").select(key, "seq", "v", F.when(first, F.col("a")).otherwise(F.col("c")).alias("a"), F.when(first, F.col("c")).otherwise(F.col("b")).alias("b"),
                                               F.when(first, F.col("va")).otherwise(F.col("vc")).alias("va"), F.when(first, F.col("vc")).otherwise(F.col("vb")).alias("vb"))
+        n = state.groupBy(key, "a", "b").agg((F.count("*") + 2 <= short).alias("_short"))
+        if not n.filter("_short").isEmpty():
+            state = materialize(state.join(n, [key, "a", "b"]), "state")
+            old.append(state)
+            part = state.filter("_short").select(key, "a", "b", "seq", "v.x", "v.y", "v.z", "va", "vb")
+            kept = kept.union(part.groupBy(key, "a", "b").applyInPandas(_simplify_inner(key, tolerance), f"{key} {kind}, seq long"))
+            state = state.filter("NOT _short").drop("_short")
+        if len(old) >= 20:  # keeps the plan and the files few
+            kept, state = materialize(kept, "kept"), materialize(state, "state")
+            for x in old:
+                drop_scratch(x)
+            old = [kept, state]
     return done.unionByName(kept)

@@ -55,7 +55,7 @@ def g3(spark, sf):
     return coloured(r.select(C("rid").alias("id")).distinct(), near)
 
 
-def coloured(nodes: DataFrame, near: DataFrame, slots: int = 8, max_rounds: int = 60) -> DataFrame:
+def coloured(nodes: DataFrame, near: DataFrame, slots: int = 8) -> DataFrame:
     """id, slot: neighbours differ wherever a node has fewer neighbours than slots. ``near`` holds both directions.
 
     Rounds colour every node that comes before all its uncoloured neighbours (higher degree first, then a hash, then id).
@@ -65,9 +65,8 @@ def coloured(nodes: DataFrame, near: DataFrame, slots: int = 8, max_rounds: int
     left = materialize(nodes.join(degree, "id", "left").select("id", F.struct(-F.coalesce("d", F.lit(0)), F.xxhash64("id"), C("id")).alias("rank")), "left")
     done = left.select("id", F.lit(0).alias("slot")).limit(0)
     every = F.array(*[F.lit(i) for i in range(slots)])
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    todo = left.count()
+    while todo:
         theirs = near.join(left.select(C("id").alias("b"), C("rank").alias("rb")), "b").groupBy(C("a").alias("id")).agg(F.min("rb").alias("rb"))
         ready = left.join(theirs, "id", "left").filter("rb IS NULL OR rank < rb").select("id")
         used = near.join(done.select(C("id").alias("b"), "slot"), "b").groupBy(C("a").alias("id")).agg(F.collect_set("slot").alias("used"))
@@ -76,28 +75,37 @@ def coloured(nodes: DataFrame, near: DataFrame, slots: int = 8, max_rounds: int
         slot = F.when(F.size("free") > 0, F.get("free", (F.pmod("id", F.size("free"))).cast("int"))).otherwise((F.pmod("id", F.lit(slots))).cast("int"))
         now = materialize(free.select("id", slot.alias("slot")), "now")
         done, left = materialize(done.union(now), "done"), materialize(left.join(now.select("id"), "id", "left_anti"), "left")
+        todo = _fewer(left, todo)
     return done
 
 
+def _fewer(left: DataFrame, before: int) -> int:
+    """Rows left; rounds that settle nothing (a null key, a node beside itself) would never end."""
+    n = left.count()
+    if n >= before:
+        raise ValueError(f"{n} rows can't be settled")
+    return n
+
+
 @query("W26_proximity_dedup")
 def w26(spark, sf):
     """Points by rank (their key); a point goes if a kept, better one lies within 300 km. Rounds give the sequential answer."""
     return thinned(points(spark, sf).select("k", "v"), R300)
 
 
-def thinned(pts: DataFrame, radius: float, max_rounds: int = 60) -> DataFrame:
+def thinned(pts: DataFrame, radius: float) -> DataFrame:
     """k of the points that stay; smaller k is better."""
     near = materialize(sp.within(pts, radius).select("a", "b"), "near")  # a is the better one
     open_ = materialize(pts.select("k"), "open")
     kept = open_.limit(0)
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    todo = open_.count()
+    while todo:
         blocked = near.join(open_.withColumnRenamed("k", "a"), "a").select(C("b").alias("k")).distinct()
         now = materialize(open_.join(blocked, "k", "left_anti"), "now")
         gone = near.join(now.withColumnRenamed("k", "a"), "a").select(C("b").alias("k")).distinct()
-        kept = kept.union(now)
+        kept = materialize(kept.union(now), "kept")
         open_ = materialize(open_.join(now, "k", "left_anti").join(gone, "k", "left_anti"), "open")
+        todo = _fewer(open_, todo)
     return kept
 
 

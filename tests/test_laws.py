@@ -110,6 +110,14 @@ def test_points_in_rings(spark):
     assert sorted((r.k, r.rid) for r in got.collect()) == [(1, 7), (3, 7)]
 
 
+def test_simplify_rounds_go_on_until_no_segment_is_open(spark):
+    """Three distant places in turn: a round sheds a vertex or two, and all of them stay."""
+    rows = [(1, k, ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))[k % 3]) for k in range(200)]
+    line = spark.createDataFrame(rows, "id long, seq long, v struct<x: double, y: double, z: double>")
+    got = [tuple(r) for r in rg.simplified(line, "id", 0.3, short=197).collect()]
+    assert sorted(got) == [(1, k) for k in range(200)]
+
+
 def test_simplify_by_rounds_keeps_what_a_task_keeps(spark, sf_dir):
     from tempora.plans.spatial import path_points
 
