@@ -21,11 +21,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import spans
-from tempora.llm.words import BASE, BASE_INVERSE, BYTE_CODES, mix, powers, slices, utf8
+from tempora.llm.words import BASE, BASE_INVERSE, BYTE_CODES, PIECE, mix, powers, slices, small_batches, utf8
 from tempora.plans.scratch import materialize
 
 SIZE, GRAM = 50, 16
@@ -74,35 +75,36 @@ def anchors(offsets: np.ndarray, data: np.ndarray, size: int = SIZE, gram: int =
     return doc[first], at[first] - offsets[doc[first]], np.diff(np.r_[first, len(at)]), grams[place], place - at[first]
 
 
-def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, size: int, piece: int = PIECE) -> DataFrame:
+    """anchor, doc_id, start, shape (windows x 64 + the anchor's place in the first one); long texts go in overlapping pieces."""
+
     def run(batches):
         for b in batches:
             offsets, data = utf8(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in slices(offsets, most_bytes=2 << 20):
-                if offsets[j] - offsets[i] >= 1 << 24:  # one giant text: overlapping pieces of it
-                    pieces = [(p, min(p + (1 << 23) + size - 1, offsets[j])) for p in range(int(offsets[i]), int(offsets[j]), 1 << 23)]
-                else:
-                    pieces = [(offsets[i], offsets[j])]
-                for lo, hi in pieces:
-                    part = np.array([0, hi - lo]) if len(pieces) > 1 else offsets[i:j + 1] - offsets[i]
+            ids, lanes = (b.column(c).to_numpy() for c in ("doc_id", "lane"))
+            for i, j in slices(offsets, piece):
+                ends = range(int(offsets[i]) + piece, int(offsets[j]), piece) if j == i + 1 else ()
+                for lo, hi in zip([int(offsets[i]), *ends], [*(e + size - 1 for e in ends), int(offsets[j])], strict=True):
+                    hi = min(hi, int(offsets[j]))
+                    part = np.array([0, hi - lo]) if j == i + 1 else offsets[i:j + 1] - lo
                     doc, start, windows, name, place = anchors(part, data[lo:hi], size)
                     if len(doc):
+                        at = lanes[i + doc] + start + (lo - offsets[i])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(name.view(np.int64)), pa.array(ids[i + doc]), pa.array((start + (lo - offsets[i])).astype(np.int32)),
-                             pa.array((windows * 64 + place).astype(np.int32))], ["anchor", "doc_id", "start", "shape"])
+                            [pa.array(name.view(np.int64)), pa.array(ids[i + doc]), pa.array(at), pa.array((windows * 64 + place).astype(np.int32))],
+                            ["anchor", "doc_id", "start", "shape"])
 
-    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "anchor long, doc_id long, start int, shape int")
+    return spans.known_texts(docs).mapInArrow(run, "anchor long, doc_id long, start long, shape int")
 
 
 def _each_row(b):
-    """Of a batch with doc_id, text, rows: bytes, first byte of each row's document, owner of each row, the rows' fields."""
+    """Of a batch with doc_id, lane, text, rows: bytes, and of each row in order of places: its document's first byte, doc_id, lane and the rows' fields."""
     offsets, data = utf8(b.column("text"))
     cut, f = spans.struct_lists(b.column("rows"))
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(cut))
-    return data, offsets[owner], owner, f
+    order = np.argsort(offsets[owner] + f["start"], kind="stable")
+    owner = owner[order]
+    return data, offsets[owner], *(b.column(c).to_numpy()[owner] for c in ("doc_id", "lane")), {k: v[order] for k, v in f.items()}
 
 
 def _with_content(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -110,23 +112,25 @@ def _with_content(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            data, base, owner, f = _each_row(b)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for k in range(0, len(owner), 200_000):
-                k = slice(k, k + 200_000)
-                start, windows, place = base[k] + f["start"][k], f["shape"][k] // 64, f["shape"][k] % 64
+            data, base, ids, lanes, f = _each_row(b)
+            raw, at = data.tobytes(), base + f["start"]
+            i = 0
+            while i < len(at):
+                j = int(np.searchsorted(at, at[i] + PIECE, "right"))
+                j = min(j, i + 200_000)
+                k, i = slice(i, j), j
+                start, windows, place = at[k], f["shape"][k] // 64, f["shape"][k] % 64
                 before = np.clip(place - REACH + 1, 0, windows)  # windows that begin REACH bytes or more before the gram
                 p, q = int(start.min()), int((start + windows).max()) - 1 + size
                 total = _sums(data[p:q])
-                for side, lo, n, at in ((1, start, before, place - REACH), (2, start + before, windows - before, place)):
+                for side, lo, n, gram in ((1, start, before, place - REACH), (2, start + before, windows - before, place)):
                     some = n > 0
-                    lo, n, at = lo[some] - p, n[some], (start + at)[some] - p
-                    hi = lo + n - 1 + size
-                    name = mix(_hashes(total, at, at + GRAM + REACH) + _U(side))
-                    content = mix(_hashes(total, lo, hi) + (hi - lo).astype(_U))
+                    lo, n, gram = lo[some], n[some], (start + gram)[some] - p
+                    name = mix(_hashes(total, gram, gram + GRAM + REACH) + _U(side))
+                    content = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(lo.tolist(), (lo + n - 1 + size).tolist(), strict=True)], _U)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[owner[k][some]]),
-                         pa.array((lo + p - base[k][some]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                        [pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[k][some]),
+                         pa.array(lo - base[k][some] + lanes[k][some]), pa.array(n.astype(np.int32))],
                         ["anchor", "content", "doc_id", "start", "windows"])
 
     return spans.with_rows(docs, rows).mapInArrow(run, spans.ROWS)
@@ -137,22 +141,21 @@ def _strings(docs: DataFrame, rows: DataFrame, size: int, windows: bool) -> Data
 
     def run(batches):
         for b in batches:
-            data, base, owner, f = _each_row(b)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            data, base, ids, lanes, f = _each_row(b)
             raw = data.tobytes()
-            for k in range(0, len(owner), 20_000):
+            for k in range(0, len(base), 20_000):
                 k = slice(k, k + 20_000)
-                n = f["windows"][k].astype(np.int64) if windows else np.ones(len(owner[k]), np.int64)
+                n = f["windows"][k].astype(np.int64) if windows else np.ones(len(base[k]), np.int64)
                 row = np.repeat(np.arange(len(n)), n)
                 start = f["start"][k][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 width = np.full(len(row), size) if windows else f["windows"][k] - 1 + size
                 lo = base[k][row] + start
-                part = [raw[x:y] for x, y in zip(lo, lo + width, strict=True)]
+                part = [raw[x:y] for x, y in zip(lo.tolist(), (lo + width).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f["anchor"][k][row]), pa.array(ids[owner[k][row]]), pa.array(start.astype(np.int32)), pa.array(part, pa.binary())],
+                    [pa.array(f["anchor"][k][row]), pa.array(ids[k][row]), pa.array(start + lanes[k][row]), pa.array(part, pa.binary())],
                     ["anchor", "doc_id", "start", "part"])
 
-    return spans.with_rows(docs, rows).mapInArrow(run, "anchor long, doc_id long, start int, part binary")
+    return spans.with_rows(docs, rows).mapInArrow(run, "anchor long, doc_id long, start long, part binary")
 
 
 def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -219,20 +222,21 @@ def _late_windows(size: int):
         out = doc[who] > least
         length = pdf["part"].map(len).to_numpy()
         at = start[who[out]] + length[who[out]] - rem[out]
-        return pd.DataFrame({"doc_id": doc[who[out]], "start": at.astype(np.int32), "stop": (at + size).astype(np.int32)})
+        return pd.DataFrame({"doc_id": doc[who[out]], "start": at, "stop": at + size})
 
     return late
 
 
 def covered_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, start, stop: ranges of bytes covered by strings of ``size`` bytes that also start in a document of smaller doc_id."""
+    small_batches(docs.sparkSession)
     covered, rest = spans.shared_rows(_anchor_rows(docs, size), size, lambda named: _with_content(docs, named, size))
     counts = rest.groupBy("anchor").agg(F.count("*").alias("c"))
     rest = materialize(rest.join(counts.select("anchor", (F.col("c") > HOT).alias("hot")), "anchor"), "open")
     cold, hot = rest.filter("NOT hot").drop("hot"), rest.filter("hot").drop("hot")
     buckets = int(max(1, -(-cold.count() // BUCKET)))
     strings = _strings(docs, cold, size, False).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    late = materialize(strings.groupBy("bucket").applyInPandas(_late_windows(size), "doc_id long, start int, stop int"), "late")
+    late = materialize(strings.groupBy("bucket").applyInPandas(_late_windows(size), "doc_id long, start long, stop long"), "late")
     covered = covered.unionByName(late)
     if not hot.isEmpty():
         covered = covered.unionByName(_late_hot_windows(docs, hot, size))

@@ -8,7 +8,11 @@ offsets. Neighbouring windows with the same anchor form one row, and all work go
 * equal rows (anchor and content) are settled at once: all but those of the smallest document are covered;
 * only rows of that smallest document whose anchor has several contents are left to compare window by window.
 
-Nothing is listed in pairs, and a hot anchor costs one aggregated row for each distinct content.
+Nothing is listed in pairs, and a hot anchor costs one aggregated row for each distinct content. Contents are compared by two
+independent 64-bit hashes: the anchor's, made from hashes of its parts, and xxh3 of all bytes of the row.
+
+Rows of one doc_id with different texts are told apart: places count from a number that depends on the text (``lane``), in the high
+half of a long. Windows that repeat under one doc_id stay, as no smaller doc_id has them.
 """
 
 from __future__ import annotations
@@ -21,9 +25,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.words import small_batches
 from tempora.plans.scratch import drop_scratch, materialize
 
-ROWS = "anchor long, content long, doc_id long, start int, windows int"
+ROWS = "anchor long, content long, doc_id long, start long, windows int"
+LANE = 32  # bits of a place inside its text
+
+
+def lane(text):
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), LANE + 1), LANE)
+
+
+def known_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, lane, text of the rows that have a doc_id and a text."""
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", lane("text").alias("lane"), "text")
+
+
+def _in_text(column: str):
+    return F.col(column).bitwiseAND((1 << LANE) - 1)
+
+
+def _lane_of(column: str):
+    return F.shiftleft(F.shiftright(column, LANE), LANE)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -60,10 +84,10 @@ def shared_rows(rows: DataFrame, size: int, attach=None) -> tuple[DataFrame, Dat
 
 
 def with_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, text, rows: the documents that have any of the rows, each with its list of them (bounded by its length)."""
-    lists = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("rows"))
-    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(lists, "doc_id")
+    """doc_id, lane, text, rows: the documents that have any of the rows, each with its list of them (bounded by its length)."""
+    rows = rows.withColumn("lane", _lane_of("start")).withColumn("start", _in_text("start"))
+    lists = rows.groupBy("doc_id", "lane").agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in ("doc_id", "lane")])).alias("rows"))
+    return known_texts(docs).dropDuplicates(["doc_id", "lane"]).join(lists, ["doc_id", "lane"])
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +111,10 @@ def struct_lists(column) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 def finished(docs: DataFrame, covered: DataFrame, cut, schema: str) -> DataFrame:
     """``cut(text, starts, stops)`` -> values of ``schema`` after doc_id, for every document with its merged covered intervals."""
-    lists = covered.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(lists, "doc_id", "left")
+    small_batches(docs.sparkSession)
+    lists = covered.groupBy("doc_id", _lane_of("start").alias("lane")).agg(F.collect_set(F.struct(_in_text("start").alias("start"), _in_text("stop").alias("stop"))).alias("spans"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("lane", lane("text"))
+    whole = whole.join(lists, ["doc_id", "lane"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for b in batches:
