@@ -7,7 +7,8 @@ right ones by a bit of their hash and replaces each left-right pair. Beside each
 the window, whatever surrounds it: equal substrings have equal interior symbols.
 
 A window's anchor is the symbol of the highest round that is decided inside it (the least name of those, the leftmost of equal
-ones). Words themselves are round 0, so each window has one. Windows that share an anchor are verified by their content.
+ones). Words themselves are round 0, so each window has one. Rows and windows that share an anchor are verified by xxh3 of all their
+words' bytes, so that equality never rests on hashes of hashes alone. Long texts are worked in overlapping pieces of bounded size.
 
 Defined results: null text has no words; documents of fewer than ``size`` words lose nothing; windows that repeat only inside one
 document (or under one doc_id) stay; rows with a null doc_id lose nothing and remove nothing; repeated rows get equal results.
@@ -17,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import spans
-from tempora.llm.words import mix, runs, slices, utf8, word_hashes, word_spans
+from tempora.llm.words import PIECE, joined_words, mix, slices, small_batches, utf8, word_hashes, word_pieces, word_spans
 from tempora.plans.scratch import materialize
 
 SIZE = 50
@@ -94,72 +96,77 @@ def anchors(doc: np.ndarray, names: np.ndarray, size: int = SIZE) -> tuple[np.nd
     return at, best, place
 
 
-def _prefix(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums and inverse powers for content hashes of word ranges."""
-    from tempora.llm.words import BASE, BASE_INVERSE, powers
+def _pieces(offsets: np.ndarray, data: np.ndarray, size: int, piece: int):
+    """(first document, end document, word number of the piece's first word, document of each word, starts, ends, bytes)."""
+    for i, j in slices(offsets, piece):
+        part, raw = offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]]
+        if j == i + 1 and len(raw) > piece:
+            for lo, hi, word0, starts, ends in word_pieces(raw, size - 1, piece):
+                yield i, j, word0, np.zeros(len(starts), np.int64), starts, ends, raw[lo:hi]
+        else:
+            yield i, j, 0, *word_spans(part, raw), raw
+
 
-    total = np.zeros(len(names) + 1, _U)
-    np.cumsum(mix(names + _U(99)) * powers(BASE, len(names)), out=total[1:])
-    return total, powers(BASE_INVERSE, len(names) + 1)
+def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """xxh3 of the words lo..hi - 1 with one space between them."""
+    text, first, end = joined_words(raw, starts, ends)
+    return np.array([xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(first[lo].tolist(), end[hi - 1].tolist(), strict=True)], _U)
 
 
-def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, size: int, piece: int = PIECE) -> DataFrame:
     def run(batches):
         for b in batches:
             offsets, data = utf8(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in slices(offsets, most_bytes=4 << 20):
-                part, raw = offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]]
-                doc, starts, ends = word_spans(part, raw)
-                names = word_hashes(raw, starts, ends)
-                at, name, place = anchors(doc, names, size)
+            ids, lanes = (b.column(c).to_numpy() for c in ("doc_id", "lane"))
+            for i, _, word0, doc, starts, ends, raw in _pieces(offsets, data, size, piece):
+                at, name, place = anchors(doc, word_hashes(raw, starts, ends), size)
                 if not len(at):
                     continue
                 first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)])
                 windows = np.diff(np.r_[first, len(at)])
                 lo = at[first]
                 hi = lo + windows - 1 + size
-                total, back = _prefix(names)
                 # where the anchor lies in the row is part of the content
-                content = mix(mix((total[hi] - total[lo]) * back[lo]) + ((hi - lo) * 4096 + (place[first] - lo)).astype(_U))
-                word0 = np.searchsorted(doc, doc[lo], "left")
+                content = mix(_digests(raw, starts, ends, lo, hi) + ((hi - lo) * 4096 + (place[first] - lo)).astype(_U))
+                start = lo - np.searchsorted(doc, doc[lo], "left") + word0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name[first].view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[i + doc[lo]]),
-                     pa.array((lo - word0).astype(np.int32)), pa.array(windows.astype(np.int32))],
+                     pa.array(start + lanes[i + doc[lo]]), pa.array(windows.astype(np.int32))],
                     ["anchor", "content", "doc_id", "start", "windows"])
 
-    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, spans.ROWS)
+    return spans.known_texts(docs).mapInArrow(run, spans.ROWS)
 
 
-def _window_rows(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """anchor, window (a content hash that knows the offset), doc_id, start of each window of the given rows."""
+def _window_rows(docs: DataFrame, rows: DataFrame, size: int, piece: int = PIECE) -> DataFrame:
+    """anchor, window (a hash of its words), doc_id, start of each window of the given rows."""
 
     def run(batches):
         for b in batches:
             offsets, data = utf8(b.column("text"))
             cut, f = spans.struct_lists(b.column("rows"))
-            for i, j in slices(offsets, most_bytes=1 << 20):
-                doc, starts, ends = word_spans(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
-                names = word_hashes(data[offsets[i]:offsets[j]], starts, ends)
-                total, back = _prefix(names)
+            ids, lanes = (b.column(c).to_numpy() for c in ("doc_id", "lane"))
+            for i, j, word0, doc, starts, ends, raw in _pieces(offsets, data, size, piece):
                 k = slice(cut[i], cut[j])
-                word0 = np.searchsorted(doc, np.arange(j - i), "left")
                 owner = np.repeat(np.arange(j - i), np.diff(cut[i:j + 1]))
                 n = f["windows"][k].astype(np.int64)
                 at = np.repeat(f["start"][k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                lo = at + np.repeat(word0[owner], n)
-                window = mix((total[lo + size] - total[lo]) * back[lo])
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)[i:j]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(f["anchor"][k], n)), pa.array(window.view(np.int64)), pa.array(ids[np.repeat(owner, n)]), pa.array(at.astype(np.int32))],
-                    ["anchor", "window", "doc_id", "start"])
+                owner, anchor = np.repeat(owner, n), np.repeat(f["anchor"][k], n)
+                lo = at - word0 + np.searchsorted(doc, np.arange(j - i), "left")[owner]
+                here = (lo >= 0) & (lo + size <= len(doc))  # a long text's other windows lie in other pieces
+                at, owner, anchor, lo = at[here], owner[here], anchor[here], lo[here]
+                for m in range(0, len(at), 100_000):
+                    m = slice(m, m + 100_000)
+                    window = _digests(raw, starts, ends, lo[m], lo[m] + size)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor[m]), pa.array(window.view(np.int64)), pa.array(ids[i + owner[m]]), pa.array(at[m] + lanes[i + owner[m]])],
+                        ["anchor", "window", "doc_id", "start"])
 
-    return spans.with_rows(docs, rows).mapInArrow(run, "anchor long, window long, doc_id long, start int")
+    return spans.with_rows(docs, rows).mapInArrow(run, "anchor long, window long, doc_id long, start long")
 
 
 def covered_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, start, stop: ranges of words covered by windows that also start in a document of smaller doc_id."""
+    small_batches(docs.sparkSession)
     covered, rest = spans.shared_rows(_anchor_rows(docs, size), size)
     windows = materialize(_window_rows(docs, rest, size), "windows")
     first = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
