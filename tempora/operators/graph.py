@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.plans.scratch import materialize
+from tempora.plans.scratch import drop_scratch, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(hook, "id", "left").select("id", F.col("f").alias("old"), F.least("f", "m").alias("f"))
         up = hooked.select(F.col("id").alias("f"), F.col("f").alias("ff"))
         new = materialize(hooked.join(up, "f").select("id", "old", F.least("f", "ff").alias("f")), "labels")
+        drop_scratch(labels)
         labels = new.select("id", "f")
         if new.filter("f <> old").isEmpty():
             break
+    drop_scratch(both)
     return labels.select("id", F.col("f").alias("component"))
