@@ -1,13 +1,17 @@
-"""The corpus pipeline: language, near duplicates, benchmark leaks, mixing, sharding. Each stage reads what the one before wrote."""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, mixing, sharding. Each stage reads what the one before wrote.
+
+Defined results: empty tables pass through every stage; null and wordless texts go in the first stage as they have no language;
+null doc_ids, null sources, repeated rows and any further columns are kept as each stage's docstring says; no stage adds columns
+but the last, whose rows are those of the mix with their shard and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tempora.llm.decontamination import without_leaks
 from tempora.llm.langid import recognised
-from tempora.llm.minhash import near_duplicates
+from tempora.llm.minhash import one_of_each
 from tempora.llm.mixing import repeated
 from tempora.llm.sharding import shard_documents
 from tempora.plans.scratch import materialize
@@ -21,13 +25,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), the one of smallest doc_id; a doc_id stays once.
+    """One document of each group of near duplicates (five words, 0.8), the one of smallest doc_id.
 
-    Rows without a doc_id can't be told apart and stay.
+    Rows that repeat in all columns stay once; rows of one doc_id with different texts are told apart; rows without words or
+    without a doc_id stay.
     """
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    return one_of_each(docs, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
