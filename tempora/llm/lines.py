@@ -12,8 +12,10 @@ shorter ones (numbers, names, list marks) into lines of another meaning.
    aggregates the earliest line, so no pairs within a key are listed.
 4. The edit distance to that earliest line is verified on the texts.
 
-Defined results: null text has no lines; empty lines and those shorter than ``min_chars`` always stay; rows with a null doc_id neither remove nor
-lose lines; two rows of one doc_id share places, so a line and its like at the same place both stay; other columns are ignored.
+Defined results: null text has no lines; empty lines and those shorter than ``min_chars`` always stay; rows with a null doc_id neither
+remove nor lose lines; rows of one doc_id with different texts follow one another in the order of their texts' hashes; rows that
+repeat both doc_id and text are one document, so they get equal results; other columns are ignored; texts of any length are read
+whole, a line at a time.
 """
 
 from __future__ import annotations
@@ -24,12 +26,11 @@ from pyspark.sql import functions as F
 from tempora.plans.scratch import materialize
 
 MIN_CHARS = 16  # of lines that go for one edit; equal ones go at any length
-SMALL = 500_000  # candidate lines (two numbers each) up to which their places are broadcast
 ID = ["h1", "h2"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def _halves(n, line):
@@ -45,7 +46,7 @@ def _halves(n, line):
 def distinct_lines(docs: DataFrame, min_chars: int, near_chars: int) -> DataFrame:
     """h1, h2, place (of the first occurrence), halves (null below ``near_chars``) of every distinct line."""
     rows = _lines(docs).filter(F.col("doc_id").isNotNull() & (F.length("line") >= min_chars))
-    rows = rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "line_no").alias("place"),
+    rows = rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "dk", "line_no").alias("place"),
                        F.when(F.length("line") >= near_chars, F.array(*_halves(F.length("line"), F.col("line")))).alias("halves"))
     return rows.groupBy(*ID).agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
@@ -75,10 +76,9 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     wanted = keys.join(shared, "key").select(*ID).distinct()
     wanted = materialize(lines.select(*ID, "place").join(wanted, ID), "wanted")
-    per_doc = wanted.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list("place.line_no").alias("nos"))
-    if wanted.count() <= SMALL:  # then texts need not be shuffled to it
-        per_doc = F.broadcast(per_doc)
-    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, "doc_id")
+    per_doc = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.dk").alias("dk")).agg(F.collect_list("place.line_no").alias("nos"))
+    texts = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), "text")
+    texts = texts.join(per_doc.hint("merge"), ["doc_id", "dk"])  # one plan at every size
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     picked = texts.select("doc_id", F.explode(F.filter(numbered, lambda x: F.array_contains("nos", x["line_no"]))).alias("x"))
     picked = picked.select(F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(7), "x.line").alias("h2"), F.col("x.line").alias("line"), F.length("x.line").alias("n"))
@@ -106,11 +106,11 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def staying_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, stay (line numbers): first places of the texts that have no earlier neighbour."""
+    """doc_id, dk (hash of the text), stay (line numbers): first places of the texts that have no earlier neighbour."""
     lines = materialize(distinct_lines(docs, min_chars, near_chars), "lines")
     near = materialize(near_lines(docs, lines), "near")
-    firsts = lines.join(near, ID, "left_anti").select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"))
-    return firsts.groupBy("doc_id").agg(F.collect_list("line_no").alias("stay"))
+    firsts = lines.join(near, ID, "left_anti").select(F.col("place.doc_id").alias("doc_id"), F.col("place.dk").alias("dk"), F.col("place.line_no").alias("line_no"))
+    return firsts.groupBy("doc_id", "dk").agg(F.collect_list("line_no").alias("stay"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS
     stay = staying_lines(docs, min_chars, near_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
-    joined = rows.join(stay, "doc_id", "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>"))).withColumn("lines", numbered)
+    joined = rows.withColumn("dk", F.xxhash64("text")).join(stay.hint("merge"), ["doc_id", "dk"], "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>"))).withColumn("lines", numbered)
     keep = F.filter("lines", lambda x: F.col("doc_id").isNull() | (F.length(x["line"]) < min_chars) | F.array_contains("stay", x["no"]))
     joined = joined.withColumn("kept", keep)
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
