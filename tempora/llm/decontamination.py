@@ -4,14 +4,16 @@
    Item shingles are looked for at every ``stride``-th position of each document, the stride being small enough that no window
    that reaches the similarity can slip through; window starts with too many misses among their sampled positions fall away.
 2. Fingerprints: each remaining window and each item gets a 64-bit SimHash of its weighted shingles (weight: occurrences).
-3. Multi-index: fingerprints are cut into ``RADIUS + 1`` blocks; two that differ in at most ``RADIUS`` bits agree on a block, so the
-   join on (length, block number, block) finds every pair within the radius.
+3. Multi-index: fingerprints are cut into ``RADIUS + 1`` blocks; two that differ in at most ``RADIUS`` bits agree on a block. Each
+   window's blocks meet those of the items whose shingles it holds, so the join finds every such pair within the radius and its
+   size goes with the seeds, not with windows times items.
 4. Pairs within the radius are verified exactly: sum of least weights over sum of greatest weights.
 
 Words are runs of letters and digits, lower-cased. At similarity 0.8 fingerprints differ in 9.7 bits on average with deviation 2.9.
 
 Defined results: null or wordless documents and items of fewer than five words match nothing; a benchmark without items gives
-no rows; repeated documents give equal rows once; a null doc_id is reported as null; other columns are ignored.
+no rows; repeated documents give equal rows once; a null doc_id is reported as null; rows of one doc_id (or of none) with different
+texts are judged by their texts; other columns are ignored. ``without_leaks`` drops exactly the rows whose own text holds an item.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.plans.scratch import materialize
+from tempora.plans.scratch import drop_scratch, materialize
 
 SHINGLE, RADIUS = 5, 19
 SMALL = 500_000  # shingles of a benchmark up to which they are broadcast
@@ -66,8 +68,12 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.select("*", F.posexplode(F.array(*parts)).alias("block", "part"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, item_id, start, n_words, similarity: the best window of each document and item that reaches the similarity."""
+def _key():
+    return F.xxhash64("doc_id", "text")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """dk (hash of doc_id and text), doc_id, item_id, start, n_words, similarity: see find_leaks."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") >= SHINGLE)
     items = materialize(items.withColumn("n", F.size("w")).select(
@@ -81,7 +87,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -
     names = F.broadcast(names) if names.count() <= SMALL else names
 
     rows = docs.filter("text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("dk"), words(F.col("text")).alias("w"))
+        F.col("doc_id").cast("long").alias("doc_id"), _key().alias("dk"), words(F.col("text")).alias("w"))
     sampled = F.when(F.size("w") >= SHINGLE, F.transform(
         F.sequence(F.lit(0), F.size("w") - SHINGLE, F.lit(stride)), lambda i: F.struct(i.alias("at"), _shingle("w", i).alias("h"))))
     hits = rows.select("doc_id", "dk", F.size("w").alias("len"), F.explode(sampled).alias("x")).select("doc_id", "dk", "len", "x.at", "x.h")
@@ -92,17 +98,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -
               .select("doc_id", "dk", "item_id", "n", "m", "miss", F.explode(F.sequence("lo", "hi")).alias("s")))
     seen = starts.groupBy("dk", "item_id", "s").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("doc_id", "n", "m", "miss")])
     on_grid = F.floor((F.col("s") + F.col("m") - 1) / stride) - F.ceil(F.col("s") / stride) + 1
-    windows = seen.filter(F.col("c") >= on_grid - F.col("miss")).select("doc_id", "dk", "s", "n").distinct()
+    windows = seen.filter(F.col("c") >= on_grid - F.col("miss")).select("dk", "item_id", "s", "n")
     windows = materialize(windows, "windows")
 
-    wanted = windows.groupBy("dk").agg(F.collect_list(F.struct("s", "n")).alias("ws"))
+    wanted = windows.select("dk", "s", "n").distinct().groupBy("dk").agg(F.collect_list(F.struct("s", "n")).alias("ws"))
     texts = rows.join(wanted, "dk").dropDuplicates(["dk"]).select("dk", "doc_id", F.explode("ws").alias("x"), "w").select(
         "dk", "doc_id", F.col("x.s").alias("s"), F.col("x.n").alias("n"), F.slice("w", F.col("x.s") + 1, F.col("x.n")).alias("w"))
     shingled = materialize(texts.select("dk", "doc_id", "s", "n", F.explode(
         F.transform(F.sequence(F.lit(0), F.col("n") - SHINGLE), lambda i: _shingle("w", i))).alias("h")), "shingles")
     prints = materialize(_fingerprint(["dk", "s", "n"], shingled, ["doc_id"]), "prints")
     item_prints = _fingerprint(["item_id"], items, ["n"])
-    pairs = (_blocks(prints).join(_blocks(item_prints).withColumnRenamed("fp", "ifp"), ["n", "block", "part"])
+    pairs = (_blocks(windows.join(prints, ["dk", "s", "n"])).join(_blocks(item_prints.drop("n")).withColumnRenamed("fp", "ifp"), ["item_id", "block", "part"])
              .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("dk", "doc_id", "s", "n", "item_id").distinct())
     pairs = materialize(pairs, "pairs")
     have = shingled.groupBy("dk", "s", "n", "h").agg(F.count("*").alias("a"))
@@ -112,14 +118,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -
     m = F.col("n") - SHINGLE + 1
     told = common.withColumn("similarity", F.col("common") / (2 * m - F.col("common"))).filter(F.col("similarity") >= similarity - 1e-12)
     best = told.groupBy("dk", "doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("s")).alias("s"), F.col("n"))).alias("x"))
-    return best.select("doc_id", "item_id", (-F.col("x.s")).cast("int").alias("start"), F.col("x.n").cast("int").alias("n_words"),
-                       F.round("x.similarity", 6).alias("similarity")).distinct()
+    best = materialize(best.select("dk", "doc_id", "item_id", (-F.col("x.s")).cast("int").alias("start"), F.col("x.n").cast("int").alias("n_words"),
+                                   F.round("x.similarity", 6).alias("similarity")), "leaks")
+    for t in (items, hits, windows, shingled, prints, pairs):
+        drop_scratch(t)
+    return best
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id, item_id, start, n_words, similarity: the best window of each document and item that reaches the similarity."""
+    return _leaks(docs, benchmark, similarity).drop("dk").distinct()
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null doc_id are compared as null."""
-    bad = find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["leaked"]), "left_anti")
+    """``docs`` without the documents that hold an item."""
+    bad = _leaks(docs, benchmark, similarity).select(F.col("dk").alias("leaked")).distinct()
+    return docs.join(bad, _key() == bad["leaked"], "left_anti")
 
 
 def op1_simhash_decontamination(spark, sf_dir: str) -> DataFrame:
