@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.order import running
+
 
 def islands(rows: DataFrame, key: list[str], t: str = "t") -> DataFrame:
     """Maximal runs of consecutive instants of a key as [f, u). ``rows`` hold each (key, t) once."""
@@ -98,9 +100,21 @@ def shadowed(background: DataFrame, owners: DataFrame, key: list[str], t: str) -
     return background.join(own, cond, "left_anti")
 
 
-def eras(presence: DataFrame, who: str = "who") -> tuple[DataFrame, DataFrame]:
-    """(windows: f, u between neighbouring span edges; absent: windows x everyone known who doesn't stand through them)."""
-    edges = presence.select(F.col("f").alias("t")).union(presence.select(F.col("u").alias("t"))).distinct()
-    # edges are few against the data: distinct instants, ordered once
-    windows = edges.select(F.col("t").alias("f"), F.lead("t").over(Window.orderBy("t")).alias("u")).filter("u IS NOT NULL")
-    return windows, presence.select(who).distinct()
+def eras(presence: DataFrame) -> DataFrame:
+    """f, u, standing, absent: windows between neighbouring span edges, how many stand through each and how many of all don't.
+
+    One row (f, u) a person. A sweep: +1 where a span begins and -1 where it ends, summed over the ordered edges.
+    """
+    edges = presence.select(F.col("f").alias("t"), F.lit(1).alias("d")).union(presence.select(F.col("u").alias("t"), F.lit(-1).alias("d")))
+    steps = running(edges.groupBy("t").agg(F.sum("d").alias("d")), "t", "d", "standing", "u")
+    total = presence.agg(F.count("*").alias("total"))  # one row
+    return steps.filter("u IS NOT NULL").join(F.broadcast(total)).select(F.col("t").alias("f"), "u", "standing", (F.col("total") - F.col("standing")).alias("absent"))
+
+
+def absent_spans(presence: DataFrame) -> DataFrame:
+    """who, f, u: the spans between the first and the last edge of all in which a person doesn't stand."""
+    ends = presence.agg(F.min("f").alias("_lo"), F.max("u").alias("_hi"))  # one row
+    rows = presence.join(F.broadcast(ends))
+    spans = F.array(F.when(F.col("f") > F.col("_lo"), F.struct(F.col("_lo").alias("f"), F.col("f").alias("u"))),
+                    F.when(F.col("u") < F.col("_hi"), F.struct(F.col("u").alias("f"), F.col("_hi").alias("u"))))
+    return rows.select("who", F.explode(F.filter(spans, lambda x: x.isNotNull())).alias("s")).select("who", "s.f", "s.u")

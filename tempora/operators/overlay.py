@@ -12,10 +12,10 @@ from tempora.operators import spatial as sp
 from tempora.plans.scratch import materialize
 
 
-def split_at_nodes(segments: DataFrame, size: float) -> DataFrame:
+def split_at_nodes(segments: DataFrame, size: float, size_x: float | None = None) -> DataFrame:
     """Undirected edges (uy, ux, vy, vx, witnesses) after cutting every segment where another crosses or touches it."""
     s = segments.select(F.col("wid").alias("rid"), F.col("sid").alias("seq"), "ay", "ax", "by_", "bx")
-    p = sp.segment_pairs(s, s, size).filter("l_rid <> r_rid OR l_seq <> r_seq")
+    p = sp.segment_pairs(s, s, size, size_x).filter("l_rid <> r_rid OR l_seq <> r_seq")
     c = lambda n: F.col(n).cast("double")
     dx, dy, ex, ey = c("l_bx") - c("l_ax"), c("l_by_") - c("l_ay"), c("r_bx") - c("r_ax"), c("r_by_") - c("r_ay")
     det = dx * ey - dy * ex
@@ -52,10 +52,10 @@ def half_edges(edges: DataFrame) -> DataFrame:
     return around.select(F.struct(F.col("dy").alias("oy"), F.col("dx").alias("ox"), F.col("oy").alias("dy"), F.col("ox").alias("dx")).alias("h"), F.col("before").alias("nxt"))
 
 
-def cycles(successors: DataFrame, max_rounds: int = 40) -> DataFrame:
+def cycles(successors: DataFrame) -> DataFrame:
     """(h, cycle): the least member of each cycle of a permutation (h, nxt), by pointer doubling in log2(longest) rounds."""
     state = materialize(successors.select("h", "nxt", F.least("h", "nxt").alias("low")), "cycle")
-    for _ in range(max_rounds):
+    while True:  # least members only fall, so this ends
         ahead = state.select(F.col("h").alias("nxt"), F.col("nxt").alias("nn"), F.col("low").alias("nlow"))
         new = materialize(state.join(ahead, "nxt").select("h", F.col("nn").alias("nxt"), F.least("low", "nlow").alias("low"), (F.col("nlow") < F.col("low")).alias("moved")), "cycle")
         state = new.select("h", "nxt", "low")

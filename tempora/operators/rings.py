@@ -61,6 +61,36 @@ def shared_arcs(edges: DataFrame) -> DataFrame:
     return e.withColumn("arc", F.when(closes & (F.col("run") == F.col("runs")), 1).otherwise(F.col("run"))).select("rid", "seq", "ay", "ax", "arc", "users")
 
 
+def stored_arcs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arcs: arc_id, vs; uses: rid, arc_id, forward). Each arc is stored once, in the direction whose text is less, whoever uses it."""
+    users = shared_arcs(edges).select("rid", "seq", "arc").join(edges, ["rid", "seq"])
+    item = F.struct("seq", vertex_text("ay", "ax").alias("a"), vertex_text("by_", "bx").alias("b"))
+    runs = users.groupBy("rid", "arc").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    # an arc across the ring's first vertex begins after the gap in its sequence
+    gap = F.expr("filter(sequence(1, size(s)), i -> i > 1 AND s[i - 1].seq - s[i - 2].seq > 1)")
+    first = F.coalesce(F.get(gap, F.lit(0)), F.lit(1))
+    runs = runs.withColumn("s", F.concat(F.slice("s", first, F.size("s")), F.slice("s", 1, first - 1)))
+    vs = F.concat(F.transform("s", lambda x: x["a"]), F.array(F.element_at("s", -1)["b"]))
+    runs = runs.select("rid", vs.alias("vs"), F.array_join(vs, " ").alias("there"), F.array_join(F.reverse(vs), " ").alias("back"))
+    runs = runs.withColumn("arc_id", F.sha2(F.least("there", "back"), 256)).withColumn("forward", F.col("there") <= F.col("back"))
+    arcs = runs.groupBy("arc_id").agg(F.first(F.when(F.col("forward"), F.col("vs")).otherwise(F.reverse("vs"))).alias("vs"))
+    return arcs, runs.select("rid", "arc_id", "forward")
+
+
+def rebuilt(arcs: DataFrame, uses: DataFrame) -> DataFrame:
+    """rid, vs: rings put together from oriented arcs, each beginning where the one before ends; shared joints stand once.
+
+    A ring whose arcs don't close keeps what hangs together from its least arc on.
+    """
+    turned = uses.join(arcs, "arc_id").withColumn("vs", F.when(F.col("forward"), F.col("vs")).otherwise(F.reverse("vs")))
+    parts = turned.groupBy("rid").agg(F.array_sort(F.collect_list("vs")).alias("p"))
+    chain = F.expr("""aggregate(slice(p, 2, size(p)), p[0], (acc, x) -> coalesce(
+        concat(acc, slice(filter(p, a -> a[0] = element_at(acc, -1) AND acc[0] <> element_at(acc, -1))[0], 2, 1000000000)), acc))""")
+    whole = parts.withColumn("vs", chain)
+    closed = F.col("vs")[0] == F.element_at("vs", -1)
+    return whole.select("rid", F.when(closed, F.slice("vs", 1, F.size("vs") - 1)).otherwise(F.col("vs")).alias("vs"))
+
+
 def clipped(rows: DataFrame, key: str, y0: float, y1: float, x0: float, x1: float) -> DataFrame:
     """Rings cut to a rectangle: four half-plane passes over edges."""
     for axis, bound, side in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):

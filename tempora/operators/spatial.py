@@ -66,11 +66,14 @@ def within(points: DataFrame, radius: float, other: DataFrame | None = None) ->
     return (pairs.filter("a < b") if other is None else pairs).select("a", "b", "w")
 
 
-def segment_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of segments whose boxes share a cell, each pair once: the cell that holds the upper-left corner of the boxes' common part."""
+def segment_pairs(left: DataFrame, right: DataFrame, size: float, size_x: float | None = None) -> DataFrame:
+    """Pairs of segments whose boxes share a cell (``size`` high, ``size_x`` wide), each pair once: the cell that holds the upper-left
+    corner of the boxes' common part."""
+    size_x = size_x or size
+
     def spread(s, p):
         y0, y1, x0, x1 = F.least("ay", "by_"), F.greatest("ay", "by_"), F.least("ax", "bx"), F.greatest("ax", "bx")
-        s = s.select("*", F.explode(cells_of(y0, y1, size)).alias("cy")).select("*", F.explode(cells_of(x0, x1, size)).alias("cx"))
+        s = s.select("*", F.explode(cells_of(y0, y1, size)).alias("cy")).select("*", F.explode(cells_of(x0, x1, size_x)).alias("cx"))
         return s.select("cy", "cx", *[F.col(c).alias(f"{p}_{c}") for c in ("rid", "seq", "ay", "ax", "by_", "bx")])
 
     j = spread(left, "l").join(spread(right, "r"), ["cy", "cx"])
@@ -79,4 +82,4 @@ def segment_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     ys, xs = ("ay", "by_"), ("ax", "bx")
     top, side = F.greatest(low(ys, "l"), low(ys, "r")), F.greatest(low(xs, "l"), low(xs, "r"))
     meet = (top <= F.least(high(ys, "l"), high(ys, "r"))) & (side <= F.least(high(xs, "l"), high(xs, "r")))
-    return j.filter(meet & (F.col("cy") == cell(top, size)) & (F.col("cx") == cell(side, size))).drop("cy", "cx")
+    return j.filter(meet & (F.col("cy") == cell(top, size)) & (F.col("cx") == cell(side, size_x))).drop("cy", "cx")

@@ -17,6 +17,7 @@ from tempora.plans.catalog import query
 from tempora.plans.fixtures import T1, T2, with_
 from tempora.plans.scratch import shared_root
 from tempora.plans.spatial import PSEG, path_segments
+from tempora.plans.temporal import EVENTS
 from tempora.sources import geojson, raster, store
 from tempora.sources.tables import table
 
@@ -156,24 +157,37 @@ def s14(spark, sf):
     return store.verified_store(spark, path).select("id", "e", "f")
 
 
-@query("S15_pinned_manifest", "SELECT o_orderpriority AS file, count(*) AS rows_, sha256(string_agg(sha256(o_orderkey::VARCHAR), '' ORDER BY o_orderkey)) AS pin FROM orders GROUP BY 1")
+@query("S15_pinned_manifest", """WITH leaf AS (SELECT o_orderpriority f, o_orderkey // 4096 a, count(*) n, sha256(string_agg(sha256(o_orderkey::VARCHAR), '' ORDER BY o_orderkey)) h FROM orders GROUP BY 1, 2),
+  node AS (SELECT f, a // 4096 a, sum(n) n, sha256(string_agg(h, '' ORDER BY a)) h FROM leaf GROUP BY 1, leaf.a // 4096)
+  SELECT f AS file, CAST(sum(n) AS BIGINT) AS rows_, sha256(string_agg(h, '' ORDER BY a)) AS pin FROM node GROUP BY 1""")
 def s15(spark, sf):
-    """One pin a source file, over the ordered hashes of its rows; rows are hashed where they are, only hashes travel."""
-    o = table(spark, sf, "orders").select("o_orderpriority", F.struct("o_orderkey", F.sha2(C("o_orderkey").cast("string"), 256).alias("h")).alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "")
-    return o.groupBy(C("o_orderpriority").alias("file")).agg(F.count("*").alias("rows_"), F.sha2(text, 256).alias("pin"))
+    """One pin a source file: a tree of hashes over ranges of 4096 keys, then of 4096 ranges, so that no group grows with the file."""
+    o = table(spark, sf, "orders").select(C("o_orderpriority").alias("file"), C("o_orderkey").alias("a"), F.lit(1).alias("n"), F.sha2(C("o_orderkey").cast("string"), 256).alias("h"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "h"))), lambda x: x["h"]), "")
+    for part in (F.floor(C("a") / 4096), F.floor(C("a") / 4096), F.lit(0)):
+        o = o.groupBy("file", part.alias("b")).agg(F.sum("n").alias("n"), F.sha2(text, 256).alias("h")).select("file", C("b").alias("a"), "n", "h")
+    return o.select("file", C("n").alias("rows_"), C("h").alias("pin"))
 
 
-@query("S16_geojson_export", with_("rings") + """SELECT rid, '{"type":"Feature","id":' || rid || ',"n":' || count(*) || ',"first":[' || arg_min(qlon, seq) || ',' || arg_min(qlat, seq) || ']}' AS feature FROM rings GROUP BY 1""")
+@query("S16_geojson_export", with_("rings") + """, p AS (SELECT rid, string_agg('[' || qlon || ',' || qlat || ']', ',' ORDER BY seq) || ',[' || arg_min(qlon, seq) || ',' || arg_min(qlat, seq) || ']' AS pts FROM rings GROUP BY 1)
+  SELECT rid, '{"type":"Feature","id":' || rid || ',"geometry":{"type":"Polygon","coordinates":[[' || pts || ']]},"properties":{"name":"' || c_name || '","layer":"' || c_mktsegment || '"},"attribution":["' || n_name || '"]}' AS feature
+  FROM p JOIN customer ON c_custkey = rid JOIN nation ON n_nationkey = c_nationkey""")
 def s16(spark, sf):
-    r = fx.rings(spark, sf).groupBy("rid").agg(F.count("*").alias("n"), F.min_by(F.array("qlon", "qlat"), "seq").alias("first"))
-    return r.select("rid", F.to_json(F.struct(F.lit("Feature").alias("type"), C("rid").alias("id"), "n", "first")).alias("feature"))
+    """Features with closed geometry (units of 1e-7 degree), properties and attribution, one a line."""
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "qlon", "qlat"))), lambda p: F.array(p["qlon"], p["qlat"]))
+    r = fx.rings(spark, sf).groupBy("rid").agg(pts.alias("p")).withColumn("p", F.concat("p", F.slice("p", 1, 1)))
+    names = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), C("c_nationkey") == C("n_nationkey")).select(C("c_custkey").alias("rid"), "c_name", "c_mktsegment", "n_name")
+    feature = F.struct(F.lit("Feature").alias("type"), C("rid").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array("p").alias("coordinates")).alias("geometry"),
+                       F.struct(C("c_name").alias("name"), C("c_mktsegment").alias("layer")).alias("properties"), F.array("n_name").alias("attribution"))
+    return r.join(names, "rid").select("rid", F.to_json(feature).alias("feature"))
 
 
-@query("S17_transition_json", with_("bodies") + f""", nb AS (SELECT *, lag(u) OVER w lu FROM bodies WINDOW w AS (PARTITION BY e ORDER BY f)) SELECT '{{"verb":"FadeIn","subject":' || e || ',"at":' || f || '}}' AS step FROM nb WHERE lu IS DISTINCT FROM f AND f > {T1} AND f <= {T2}""")
+@query("S17_transition_json", with_("bodies") + EVENTS + f"""SELECT '{{"verb":"' || CASE kind WHEN 'Rise' THEN 'FadeIn' WHEN 'Fall' THEN 'FadeOut' ELSE 'Morph' END || '","subject":' || e || ',"at":' || t || '}}' AS step FROM ev WHERE t > {T1} AND t <= {T2}""")
 def s17(spark, sf):
-    rises = iv.derive_events(fx.bodies(spark, sf), ["e"], "st").filter(f"kind = 'Rise' AND t > {T1} AND t <= {T2}")
-    return rises.select(F.to_json(F.struct(F.lit("FadeIn").alias("verb"), C("e").alias("subject"), C("t").alias("at"))).alias("step"))
+    """Every step of a transition plan as JSON."""
+    span = iv.derive_events(fx.bodies(spark, sf), ["e"], "st").filter(f"t > {T1} AND t <= {T2}")
+    verb = F.when(C("kind") == "Rise", "FadeIn").when(C("kind") == "Fall", "FadeOut").otherwise("Morph")
+    return span.select(F.to_json(F.struct(verb.alias("verb"), C("e").alias("subject"), C("t").alias("at"))).alias("step"))
 
 
 @query("S18_query_batch", with_("standings") + """, q AS (SELECT DISTINCT year(o_orderdate)*12+6 t, 'layer=' || c_mktsegment || '&t=' || (year(o_orderdate)*12+6) AS text, c_mktsegment l FROM orders JOIN customer ON c_custkey = o_custkey)

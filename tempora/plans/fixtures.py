@@ -32,7 +32,7 @@ CTE = {
       ((event_id*7919123) % 1200000000 - 600000000)/1e7 lat, ((event_id*104729017) % 3400000000 - 1700000000)/1e7 lon FROM events),
       pvec AS (SELECT *, cos(radians(lat))*cos(radians(lon)) x, cos(radians(lat))*sin(radians(lon)) y, sin(radians(lat)) z FROM paths)""",
     "grid": "grid AS (SELECT p_partkey // 50 i, p_partkey % 50 j, (p_size*137) % 1000 v FROM part)",
-    "edges": "edges AS (SELECT c_custkey a, (c_custkey*c_custkey+7) % (SELECT count(*) FROM customer) b FROM customer WHERE c_custkey % 3 = 0)",
+    "edges": "edges AS (SELECT c_custkey a, c_custkey // 12 * 12 + (c_custkey*c_custkey+7) % 12 b FROM customer)",
     "presence": "presence AS (SELECT user_id who, min(event_id) f, max(event_id)+1 u FROM events GROUP BY 1)",
     "steps": """steps AS (SELECT user_id e, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) seq FROM events)""",
 }
@@ -111,10 +111,9 @@ def grid(spark, sf) -> DataFrame:
 
 
 def graph_edges(spark, sf) -> DataFrame:
-    c = table(spark, sf, "customer").select("c_custkey")
-    n = c.agg(F.count("*").alias("n"))
+    """One edge a customer, to another key of its dozen: many components."""
     k = F.col("c_custkey")
-    return c.filter(k % 3 == 0).join(F.broadcast(n)).select(k.alias("a"), ((k * k + 7) % F.col("n")).alias("b"))  # n is one row
+    return table(spark, sf, "customer").select(k.alias("a"), (F.floor(k / 12) * 12 + (k * k + 7) % 12).alias("b"))
 
 
 def presence(spark, sf) -> DataFrame:

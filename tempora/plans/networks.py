@@ -148,14 +148,24 @@ def j14(spark, sf):
 
 @query("J21_edges_on_river")
 def j21(spark, sf):
-    """Path segments whose midpoint lies near a segment end of another path, as river edges."""
+    """Path segments whose midpoint lies within 0.01 radians of another path, as river edges."""
     s = path_segments(spark, sf)
     mids = s.select(F.struct("id", "seq").alias("k"), g.slerp(C("v"), C("n"), F.lit(0.5)).alias("v")).filter("v IS NOT NULL")
-    ends = s.select(F.struct("id", "seq").alias("k"), "v")
-    hit = sp.within(mids, 0.01, ends).filter("a.id <> b.id").select("a").distinct()
+    hit = near_arcs(mids, s.select(F.struct("id", "seq").alias("k"), "v", "n"), 0.01).filter("a.id <> b.id").select("a").distinct()
     return hit.select("a.id", "a.seq", F.lit(True).alias("on_river"))
 
 
+def near_arcs(pts: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
+    """(a, b): points (k, v) within ``radius`` of arcs (k, v, n). Arcs are met at samples one radius apart, then measured."""
+    steps = F.ceil(g.angle(C("v"), C("n")) / radius).cast("int")
+    at = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), steps)), lambda i: i / F.greatest(F.lit(1), steps))
+    parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows that grow: they need their tasks before that
+    samples = arcs.repartition(parts, "k").select(C("k"), "v", "n", F.explode(at).alias("t")).select("k", g.slerp(C("v"), C("n"), C("t")).alias("v")).filter("v IS NOT NULL")
+    met = sp.within(samples, radius * 1.2, pts).select(C("b").alias("a"), C("a").alias("b")).distinct()  # points are the fewer ones to spread
+    met = materialize(met, "met").join(pts.select(C("k").alias("a"), C("v").alias("p")), "a").join(arcs.select(C("k").alias("b"), "v", "n"), "b")
+    return met.filter(g.to_arc(C("p"), C("v"), C("n")) <= radius).select("a", "b")
+
+
 @query("J22_watershed")
 def j22(spark, sf):
     """Networks of 50 keys: drained where a point lies in water or an end lies within the mouth gap of a shore."""
@@ -176,7 +186,7 @@ def w23(spark, sf):
     edges = materialize(sp.ring_edges(r), "edges")
     box = sp.ring_boxes(r).select("rid", ((C("y0") + C("y1")) / 2).alias("cy"), ((C("x0") + C("x1")) / 2).alias("cx"), (C("y1") - C("y0")).cast("double").alias("h"), (C("x1") - C("x0")).cast("double").alias("w"))
     best = box
-    for n in (9, 5, 5):
+    for n in (24, 5, 5, 5, 5, 5):  # the coarse grid and its refinements
         steps = F.sequence(F.lit(0), F.lit(n - 1))
         cand = best.select("*", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
         cand = cand.select("rid", "h", "w", (C("cy") + (C("i") / (n - 1.0) - 0.5) * C("h")).alias("y"), (C("cx") + (C("j") / (n - 1.0) - 0.5) * C("w")).alias("x"))
@@ -189,18 +199,32 @@ def w23(spark, sf):
         got = j.groupBy("rid", "h", "w", "y", "x").agg(F.min(d).alias("d"), (F.count_if(ray) % 2 == 1).alias("inside"))
         score = F.struct(F.when(C("inside"), C("d")).otherwise(-C("d")).alias("s"), (-C("y")).alias("ny"), (-C("x")).alias("nx"))
         top = got.groupBy("rid").agg(F.max(score).alias("m"), F.first("h").alias("h"), F.first("w").alias("w"))
-        best = materialize(top.select("rid", (-C("m.ny")).alias("cy"), (-C("m.nx")).alias("cx"), (C("h") / 4).alias("h"), (C("w") / 4).alias("w"), C("m.s").alias("s")), "best")
+        best = materialize(top.select("rid", (-C("m.ny")).alias("cy"), (-C("m.nx")).alias("cx"), (C("h") * (2.0 / (n - 1))).alias("h"), (C("w") * (2.0 / (n - 1))).alias("w"), C("m.s").alias("s")), "best")
     return best.select("rid", F.round("cy", 1).alias("y"), F.round("cx", 1).alias("x"), F.round("s", 1).alias("room"))
 
 
 @query("W27_iso_band", with_("grid") + """, b AS (SELECT DISTINCT v // 100 band FROM grid), m AS (SELECT list(band ORDER BY band) l FROM b), p AS (SELECT l[(len(l)+1)//2] band FROM m),
-  n AS (SELECT g.i, g.j, min(abs(g.i-h.i) + abs(g.j-h.j)) gap FROM grid g JOIN p ON g.v // 100 = p.band JOIN grid h ON h.v // 100 = p.band + 1 AND h.i BETWEEN g.i-40 AND g.i+40 GROUP BY 1, 2) SELECT max(gap) AS budget, count(*) AS n FROM n""")
+  n AS (SELECT g.i, g.j, min(abs(g.i-h.i) + abs(g.j-h.j)) gap FROM grid g JOIN p ON g.v // 100 = p.band JOIN grid h ON h.v // 100 = p.band + 1 GROUP BY 1, 2) SELECT max(gap) AS budget, count(*) AS n FROM n""")
 def w27(spark, sf):
     """The middle band of the grid and the largest gap from it to the next band: the snap budget."""
     gr = fx.grid(spark, sf).withColumn("band", F.floor(C("v") / 100))
     bands = gr.agg(F.array_sort(F.collect_set("band")).alias("l")).select(F.get("l", (F.floor((F.size("l") + 1) / 2) - 1).cast("int")).alias("mid"))  # ten bands
-    here = gr.join(F.broadcast(bands), C("band") == C("mid")).select("i", "j", F.explode(sp.cells_around(C("i"), 40.0)).alias("ci"))
-    there = gr.join(F.broadcast(bands), C("band") == C("mid") + 1).select(C("i").alias("hi"), C("j").alias("hj"), sp.cell(C("i"), 40.0).alias("ci"))
-    gap = F.abs(C("i") - C("hi")) + F.abs(C("j") - C("hj"))
-    near = here.join(there, "ci").filter(F.abs(C("i") - C("hi")) <= 40).groupBy("i", "j").agg(F.min(gap).alias("gap"))
-    return near.agg(F.max("gap").alias("budget"), F.count("*").alias("n"))
+    here = gr.join(F.broadcast(bands), C("band") == C("mid")).select("i", "j")
+    there = gr.join(F.broadcast(bands), C("band") == C("mid") + 1).select(C("i").alias("hi"), C("j").alias("hj"))
+    return gaps(here, there).agg(F.max("gap").alias("budget"), F.count("*").alias("n"))
+
+
+def gaps(here: DataFrame, there: DataFrame, first: int = 8) -> DataFrame:
+    """i, j, gap: the least |i - hi| + |j - hj|, by cells whose size doubles for those that have found nothing yet."""
+    left, there = materialize(here, "left"), materialize(there, "there")
+    done = left.select("i", "j", F.lit(0).cast("long").alias("gap")).limit(0)
+    if there.isEmpty():
+        return done
+    size = float(first)
+    while not left.isEmpty():
+        cells = left.select("i", "j", F.explode(sp.cells_around(C("i"), size)).alias("ci")).select("*", F.explode(sp.cells_around(C("j"), size)).alias("cj"))
+        at = there.select("hi", "hj", sp.cell(C("hi"), size).alias("ci"), sp.cell(C("hj"), size).alias("cj"))
+        gap = F.abs(C("i") - C("hi")) + F.abs(C("j") - C("hj"))
+        near = materialize(cells.join(at, ["ci", "cj"]).groupBy("i", "j").agg(F.min(gap).alias("gap")).filter(C("gap") <= size), "near")
+        done, left, size = done.union(near), materialize(left.join(near, ["i", "j"], "left_anti"), "left"), size * 2
+    return done

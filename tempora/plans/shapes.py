@@ -62,15 +62,19 @@ def w16(spark, sf):
 
 @query("W17_ring_from_arcs", with_("rings") + LISTS + "SELECT rid, sha256(least(x, y)) AS ring_id FROM t")
 def w17(spark, sf):
-    arcs = rg.shared_arcs(sp.ring_edges(fx.rings(spark, sf)))
-    parts = arcs.groupBy("rid", "arc").agg(F.array_sort(F.collect_list(F.struct("seq", rg.vertex_text("ay", "ax").alias("t")))).alias("p"))
-    whole = parts.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
-    return whole.select("rid", F.sha2(rg.canonical_text(F.transform("p", lambda s: s["t"])), 256).alias("ring_id"))
+    return _rebuilt(sp.ring_edges(fx.rings(spark, sf)))
+
+
+def _rebuilt(edges):
+    arcs, uses = rg.stored_arcs(edges)
+    return rg.rebuilt(arcs, uses).select("rid", F.sha2(rg.canonical_text(F.col("vs")), 256).alias("ring_id"))
 
 
-@query("L12_fidelity", with_("rings") + "SELECT rid, 0 AS missing FROM rings WHERE false")
+@query("L12_fidelity", "SELECT c_custkey AS rid, m AS missing FROM customer, (VALUES (1), (-1)) v(m) WHERE c_custkey % 97 = 5")
 def l12(spark, sf):
-    rebuilt, source = w17(spark, sf), w15(spark, sf).select("rid", "ring_id")
+    """Rings rebuilt from stored arcs against the source rings; a store that lost a vertex of some rings is told by both rings."""
+    kept = fx.rings(spark, sf).filter("NOT (rid % 97 = 5 AND seq = 1)")
+    rebuilt, source = _rebuilt(sp.ring_edges(kept)), w15(spark, sf).select("rid", "ring_id")
     return source.exceptAll(rebuilt).select("rid", F.lit(1).alias("missing")).union(rebuilt.exceptAll(source).select("rid", F.lit(-1)))
 
 
@@ -161,13 +165,13 @@ def a10(spark, sf):
     return s.groupBy("face").agg(F.max_by("other", F.struct(F.round("len"), -F.col("other"))).alias("other"), F.round(F.max("len"), 1).alias("len"))
 
 
-@query("A21_best_ring_when_all_collapse", with_("rings") + """, w AS (SELECT rid // 10 feature, rid, count(*) - (rid % 3) * 3 n, max(qlon) - min(qlon) + rid % 7 width FROM rings GROUP BY 1, 2),
-  k AS (SELECT *, bool_or(n >= 8) OVER (PARTITION BY feature) live, row_number() OVER (PARTITION BY feature ORDER BY width DESC, rid) rn FROM w WHERE rid % 10 <> 3)
+@query("A21_best_ring_when_all_collapse", with_("rings") + """, w AS (SELECT rid // 10 feature, rid, count(*) - (rid // 10 % 3) * 3 n, max(qlon) - min(qlon) + rid % 7 width FROM rings GROUP BY 1, 2),
+  k AS (SELECT *, bool_or(n >= 8) OVER (PARTITION BY feature) live, row_number() OVER (PARTITION BY feature ORDER BY width DESC, rid) rn FROM w)
   SELECT feature, rid FROM k WHERE CASE WHEN live THEN n >= 8 ELSE rn = 1 END""")
 def a21(spark, sf):
     rid = F.col("rid")
-    w = fx.rings(spark, sf).groupBy("rid").agg((F.count("*") - F.first(rid % 3) * 3).alias("n"), (F.max("qlon") - F.min("qlon") + F.first(rid % 7)).alias("width"))
-    w = w.filter(rid % 10 != 3).withColumn("feature", F.floor(rid / 10))
+    w = fx.rings(spark, sf).groupBy("rid").agg((F.count("*") - F.first(F.floor(rid / 10) % 3) * 3).alias("n"), (F.max("qlon") - F.min("qlon") + F.first(rid % 7)).alias("width"))
+    w = w.withColumn("feature", F.floor(rid / 10))
     p = Window.partitionBy("feature")
     k = w.withColumn("live", F.bool_or(F.col("n") >= 8).over(p)).withColumn("rn", F.row_number().over(p.orderBy(F.col("width").desc(), "rid")))
     return k.filter(F.when(F.col("live"), F.col("n") >= 8).otherwise(F.col("rn") == 1)).select("feature", "rid")
@@ -209,7 +213,7 @@ def two_layers(spark, sf):
 
 def overlaid(spark, sf):
     segments, rings = two_layers(spark, sf)
-    edges = materialize(ov.split_at_nodes(segments, 1e6), "edges")
+    edges = materialize(ov.split_at_nodes(segments, 1e6, 1e5), "edges")
     traced = materialize(ov.cycles(ov.half_edges(edges)), "traced")
     faces = materialize(ov.face_table(traced), "faces")
     owner = ov.claims(faces, rings, 1e6).groupBy("face").agg(F.min("rid").alias("rid"))
@@ -223,7 +227,7 @@ def _named(face):
 @query("G4_cycle_tracing")
 def g4(spark, sf):
     segments, _ = two_layers(spark, sf)
-    return ov.cycles(ov.half_edges(ov.split_at_nodes(segments, 1e6))).groupBy(_named("cycle").alias("face")).agg(F.count("*").alias("edges"))
+    return ov.cycles(ov.half_edges(ov.split_at_nodes(segments, 1e6, 1e5))).groupBy(_named("cycle").alias("face")).agg(F.count("*").alias("edges"))
 
 
 @query("G5_overlay")
@@ -250,14 +254,24 @@ def g8(spark, sf):
     return ov.dissolved(owner, traced).select("rid", _named("h").alias("half"))
 
 
-@query("L11_topology", "SELECT '' AS law, 0.0 AS amount WHERE false")
+@query("L11_topology", with_("redges") + """SELECT 'background edges' AS law, count(*)::DOUBLE AS amount FROM redges a WHERE NOT EXISTS (SELECT 1 FROM redges b WHERE b.ay = a.by_ AND b.ax = a.bx AND b.by_ = a.ay AND b.bx = a.ax)""")
 def l11(spark, sf):
-    """Bounded faces and outer boundaries have equal areas, no edge has length zero, and every half edge has a next."""
+    """Laws that hold tell nothing: faces and outer boundaries of the overlay have equal areas, no edge is a point, every half edge
+    has a twin and a next, and no edge of a ring stands twice. Told always: the rings' edges that border the background."""
     edges, traced, faces, _ = overlaid(spark, sf)
     area = faces.agg(F.sum("area").alias("amount")).filter(F.abs("amount") > 1).select(F.lit("area").alias("law"), "amount")
     zero = edges.filter("uy = vy AND ux = vx").agg(F.count("*").cast("double").alias("amount")).filter("amount > 0").select(F.lit("zero edge"), "amount")
     lost = traced.agg(F.count("*").alias("h")).join(F.broadcast(edges.agg(F.count("*").alias("e")))).filter("h <> 2 * e").select(F.lit("half edges"), F.col("h").cast("double"))
-    return area.union(zero).union(lost)
+    alone = twinless(traced.select("h.oy", "h.ox", "h.dy", "h.dx")).agg(F.count("*").cast("double").alias("amount")).filter("amount > 0").select(F.lit("twins"), "amount")
+    ring = sp.ring_edges(fx.rings(spark, sf)).select(F.col("ay").alias("oy"), F.col("ax").alias("ox"), F.col("by_").alias("dy"), F.col("bx").alias("dx"))
+    twice = ring.groupBy(*ring.columns).agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").cast("double").alias("amount")).filter("amount > 0").select(F.lit("twice"), "amount")
+    border = twinless(ring).agg(F.count("*").cast("double").alias("amount")).select(F.lit("background edges"), "amount")
+    return area.union(zero).union(lost).union(alone).union(twice).union(border)
+
+
+def twinless(half):
+    """Directed edges (oy, ox, dy, dx) whose reverse is missing."""
+    return half.join(half.select(F.col("dy").alias("oy"), F.col("dx").alias("ox"), F.col("oy").alias("dy"), F.col("ox").alias("dx")), ["oy", "ox", "dy", "dx"], "left_anti")
 
 
 @query("J7_overlap_self_join")
@@ -276,13 +290,29 @@ def j7(spark, sf):
     return deep.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-@query("L4_partition_structure", "SELECT 0 AS rid, 0 AS seq WHERE false")
+@query("L4_partition_structure", with_("redges") + """, stored AS (SELECT rid, seq, ay, ax, by_ + CASE WHEN rid % 89 = 3 AND seq = 2 THEN 1 ELSE 0 END AS by_, bx FROM redges),
+  known AS (SELECT DISTINCT rid, seq FROM redges WHERE NOT (rid % 83 = 7 AND seq = 1)),
+  c AS (SELECT *, coalesce(lead(ay) OVER w, first_value(ay) OVER w) ny, coalesce(lead(ax) OVER w, first_value(ax) OVER w) nx FROM stored WINDOW w AS (PARTITION BY rid ORDER BY seq))
+  SELECT 'broken' AS law, rid, seq FROM c WHERE ny <> by_ OR nx <> bx UNION ALL SELECT 'dangling', rid, seq FROM redges r WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.rid = r.rid AND k.seq = r.seq)""")
 def l4(spark, sf):
+    """A store in which some edges end beside the next one's start and some that rings refer to are absent: both are told."""
     e = sp.ring_edges(fx.rings(spark, sf))
+    off = F.when((F.col("rid") % 89 == 3) & (F.col("seq") == 2), 1).otherwise(0)
+    stored = e.withColumn("by_", F.col("by_") + off)
+    return broken_cycles(stored).select(F.lit("broken").alias("law"), "rid", "seq").union(
+        dangling(e.select("rid", "seq"), e.filter("NOT (rid % 83 = 7 AND seq = 1)"), ["rid", "seq"]).select(F.lit("dangling"), "rid", "seq"))
+
+
+def broken_cycles(edges):
+    """Edges of a cycle that don't end where the next one starts."""
     w = Window.partitionBy("rid").orderBy("seq")
     first = F.first(F.struct("ay", "ax")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    nxt = F.coalesce(F.lead(F.struct("ay", "ax")).over(w), first)
-    return e.withColumn("nxt", nxt).filter("nxt.ay <> by_ OR nxt.ax <> bx").select("rid", "seq")
+    return edges.withColumn("nxt", F.coalesce(F.lead(F.struct("ay", "ax")).over(w), first)).filter("nxt.ay <> by_ OR nxt.ax <> bx")
+
+
+def dangling(uses, stored, key: list[str]):
+    """Uses of what isn't stored."""
+    return uses.join(stored.select(*key), key, "left_anti")
 
 
 @query("W21_simplify")

@@ -231,9 +231,9 @@ def _shifted(edges, dy=300000, dx=30000):
     return edges.select("rid", "seq", *[(F.col(c) + (dy if c in ("ay", "by_") else dx)).alias(c) for c in ("ay", "ax", "by_", "bx")])
 
 
-def segment_crossings(left, right, size=1e6):
+def segment_crossings(left, right, size=1e6, size_x=1e5):
     """Pairs of segments that cross in their interiors, with the crossing point."""
-    pairs = sp.segment_pairs(left, right, size)
+    pairs = sp.segment_pairs(left, right, size, size_x)
     for p in "lr":
         for e, (y, x) in (("a", ("ay", "ax")), ("b", ("by_", "bx"))):
             pairs = pairs.withColumn(f"{p}{e}", g.vec(F.col(f"{p}_{y}") / 1e7, F.col(f"{p}_{x}") / 1e7))

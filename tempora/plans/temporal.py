@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tempora.functions.sets import set_text
 from tempora.operators import intervals as iv
+from tempora.operators.order import numbered
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import T1, T2, with_
 from tempora.sources.tables import table
 
-L = "long"
 AT = lambda t: f"f <= {t} AND (u IS NULL OR {t} < u)"
 
 
@@ -125,9 +125,12 @@ def t4(spark, sf):
     return n.agg(F.count("e").alias("n"), F.sha2(set_text("e"), 256).alias("snapshot"))
 
 
-@query("T9_one_snapshot_an_instant", with_("bodies") + "SELECT e, f, count(DISTINCT st) AS n FROM bodies GROUP BY 1, 2 HAVING count(DISTINCT st) > 1")
+@query("T9_one_snapshot_an_instant", """SELECT o_custkey AS e, year(o_orderdate)*12+month(o_orderdate) AS f, count(DISTINCT o_orderstatus) AS n FROM orders
+  GROUP BY 1, 2 HAVING count(DISTINCT o_orderstatus) > 1""")
 def t9(spark, sf):
-    return fx.bodies(spark, sf).groupBy("e", "f").agg(F.countDistinct("st").alias("n")).filter("n > 1")
+    """Instants of an entity for which its witnesses tell more than one state: such a history is refused."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("e"), fx.month("o_orderdate").alias("f"), "o_orderstatus")
+    return o.groupBy("e", "f").agg(F.countDistinct("o_orderstatus").alias("n")).filter("n > 1")
 
 
 @query("T3_merge_refusing_duplicates", "SELECT k, count(*) AS n FROM (SELECT c_custkey k FROM customer UNION ALL SELECT s_suppkey FROM supplier) GROUP BY 1 HAVING count(*) > 1")
@@ -169,8 +172,7 @@ def transition_plan(events, lo: int, hi: int):
     span = events.filter((F.col("t") > min(lo, hi)) & (F.col("t") <= max(lo, hi)))
     named = F.when(F.col("kind") == "Rise", verb["Rise"]).when(F.col("kind") == "Fall", verb["Fall"]).otherwise("Morph")
     keys = [F.col(c).desc() if back else F.col(c) for c in ("t", "e", "kind")]
-    # a plan is an ordered list by nature; its rows are the changes of one span
-    return span.select(named.alias("verb"), "e", "t", F.row_number().over(Window.orderBy(*keys)).cast(L).alias("seq"))
+    return numbered(span, keys, "seq").select(named.alias("verb"), "e", "t", "seq")
 
 
 @query("W6_date_fill", with_("steps") + """, d AS (SELECT e, seq, CASE WHEN event_type = 'purchase' THEN event_id END v FROM steps)
@@ -208,14 +210,14 @@ ERAS = """, cuts AS (SELECT f t FROM presence UNION SELECT u FROM presence), win
 @query("W9_eras_absent", with_("presence") + ERAS + """SELECT w.f, w.u, count(p.who) AS standing, (SELECT count(*) FROM presence) - count(p.who) AS absent FROM wins w
   LEFT JOIN presence p ON p.f <= w.f AND w.u <= p.u WHERE w.u IS NOT NULL GROUP BY 1, 2""")
 def w9(spark, sf):
-    p = fx.presence(spark, sf)
-    windows, who = iv.eras(p)
-    span = windows.agg(F.max("u") - F.min("f")).first()[0] or 1
-    bucket = max(1, span // 256)
-    held = iv.instants_within(windows.select(F.col("f").alias("t"), F.col("u").alias("wu")), p, bucket=bucket).filter("wu <= u").groupBy("t").agg(F.count("*").alias("standing"))
-    total = who.agg(F.count("*").alias("total"))
-    return (windows.join(held, windows["f"] == held["t"], "left").join(F.broadcast(total))
-            .select("f", "u", F.coalesce("standing", F.lit(0)).alias("standing"), (F.col("total") - F.coalesce("standing", F.lit(0))).alias("absent")))
+    return iv.eras(fx.presence(spark, sf)).select("f", "u", "standing", "absent")
+
+
+@query("W9_absent_spans", with_("presence") + """, ends AS (SELECT min(f) lo, max(u) hi FROM presence)
+  SELECT who, lo AS f, p.f AS u FROM presence p, ends WHERE p.f > lo UNION ALL SELECT who, p.u, hi FROM presence p, ends WHERE p.u < hi""")
+def w9_spans(spark, sf):
+    """The absent sets of all eras as spans: who is absent in an era is whose span covers it."""
+    return iv.absent_spans(fx.presence(spark, sf)).select("who", "f", "u")
 
 
 @query("W22_sample_times", with_("bodies") + EVENTS + f"SELECT {T1} AS t UNION SELECT {T2} UNION SELECT t FROM ev WHERE t >= {T1} AND t <= {T2}")
@@ -246,7 +248,7 @@ def p11(spark, sf):
 
 @query("K1_total_order", with_("bodies") + f"SELECT e, st, row_number() OVER (ORDER BY st, e, f) AS place FROM bodies WHERE {AT(T1)}")
 def k1(spark, sf):
-    return iv.valid_at(fx.bodies(spark, sf), T1).select("e", "st", F.row_number().over(Window.orderBy("st", "e", "f")).cast(L).alias("place"))
+    return numbered(iv.valid_at(fx.bodies(spark, sf), T1), [F.col(c) for c in ("st", "e", "f")], "place").select("e", "st", "place")
 
 
 @query("J25_before_and_after", with_("bodies") + "SELECT e, f AS t, st AS after_, lag(st) OVER w AS before_ FROM bodies WINDOW w AS (PARTITION BY e ORDER BY f) QUALIFY lag(u) OVER w = f")

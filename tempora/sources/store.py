@@ -15,8 +15,9 @@ def with_id(rows: DataFrame) -> DataFrame:
 
 
 def write_store(rows: DataFrame, path: str) -> None:
-    """One folder a layer, rows once each, in the order of their ids within files."""
-    with_id(rows).dropDuplicates(["id"]).repartition("layer").sortWithinPartitions("id").write.partitionBy("layer").parquet(path)
+    """One folder a layer, rows once each, in the order of their ids within files; a large layer is written by many tasks."""
+    spread = with_id(rows).dropDuplicates(["id"]).repartition("layer", F.substring("id", 1, 3))
+    spread.sortWithinPartitions("layer", "id").write.partitionBy("layer").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
