@@ -196,7 +196,7 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: tuple[str, ...] = ("d
             langs, scores = parser.predict(cols[-1].to_pylist())
             yield pa.RecordBatch.from_arrays([*cols[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_" * (1 + max([0, *map(len, keep)]))))  # longer than any name there
     out = StructType([*rows.schema.fields[:-1], StructField(answer[0], StringType()), StructField(answer[1], DoubleType())])
     names = out.names
     return rows.mapInArrow(run, out)
