@@ -85,7 +85,7 @@ def rebuilt(arcs: DataFrame, uses: DataFrame) -> DataFrame:
     turned = uses.join(arcs, "arc_id").withColumn("vs", F.when(F.col("forward"), F.col("vs")).otherwise(F.reverse("vs")))
     parts = turned.groupBy("rid").agg(F.array_sort(F.collect_list("vs")).alias("p"))
     chain = F.expr("""aggregate(slice(p, 2, size(p)), p[0], (acc, x) -> coalesce(
-        concat(acc, slice(filter(p, a -> a[0] = element_at(acc, -1) AND acc[0] <> element_at(acc, -1))[0], 2, 1000000000)), acc))""")
+        concat(acc, slice(get(filter(p, a -> a[0] = element_at(acc, -1) AND acc[0] <> element_at(acc, -1)), 0), 2, 1000000000)), acc))""")
     whole = parts.withColumn("vs", chain)
     closed = F.col("vs")[0] == F.element_at("vs", -1)
     return whole.select("rid", F.when(closed, F.slice("vs", 1, F.size("vs") - 1)).otherwise(F.col("vs")).alias("vs"))
