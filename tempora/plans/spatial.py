@@ -59,6 +59,20 @@ def f3(spark, sf):
     return points(spark, sf).select("k", g.slerp(F.col("v"), pole, F.lit(0.25)).alias("s")).select("k", *[F.round(f"s.{c}", 7).alias(c) for c in "xyz"])
 
 
+@query("F3_ring_morph", with_("rvec") + """, m AS (SELECT a.rid, a.seq, a.x ax, a.y ay, a.z az, b.x bx, b.y by_, b.z bz, acos(greatest(-1.0,least(1.0,a.x*b.x+a.y*b.y+a.z*b.z))) w FROM rvec a JOIN rvec b ON b.rid = a.rid + 1 AND b.seq = a.seq)
+  SELECT rid, seq, round((ax*sin(0.6*w)+bx*sin(0.4*w))/sin(w),7) AS x, round((ay*sin(0.6*w)+by_*sin(0.4*w))/sin(w),7) AS y, round((az*sin(0.6*w)+bz*sin(0.4*w))/sin(w),7) AS z FROM m""")
+def f3_rings(spark, sf):
+    """Every ring on its way to the next one: vertices of equal place interpolated pairwise."""
+    r = ring_vectors(spark, sf)
+    return morphed(r, r.withColumn("rid", F.col("rid") - 1), 0.4).select("rid", "seq", *[F.round(f"v.{c}", 7).alias(c) for c in "xyz"])
+
+
+def morphed(before, after, t: float):
+    """rid, seq, v: rings (rid, seq, v) of one id and number of vertices, ``t`` of the way from one to the other; null between antipodes."""
+    return before.select("rid", "seq", F.col("v").alias("a")).join(after.select("rid", "seq", F.col("v").alias("b")), ["rid", "seq"]).select(
+        "rid", "seq", g.slerp(F.col("a"), F.col("b"), F.lit(t)).alias("v"))
+
+
 @query("F4_distance_to_arc", with_("geo") + """, q AS (SELECT k, abs(asin(greatest(-1.0,least(1.0,z)))) off, x >= 0 AND y >= 0 inside, acos(greatest(-1.0,least(1.0,x))) a, acos(greatest(-1.0,least(1.0,y))) b FROM vec)
   SELECT k, round(CASE WHEN inside THEN off ELSE least(a, b) END * 6371, 3) AS km FROM q""")
 def f4(spark, sf):
