@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tempora.llm import oracle
 from tempora.llm.columnwise import op4_columnwise_bwt_substring_dedup
 from tempora.llm.decontamination import op1_simhash_decontamination
 from tempora.llm.embeddings import op9_rotated_code_near_vectors
@@ -17,4 +18,6 @@ QUERIES = {f.__name__: f for f in (
     op1_simhash_decontamination, op2_deletion_neighbourhood_lines, op3_entropy_balanced_mix, op4_columnwise_bwt_substring_dedup,
     op5_recompression_substring_dedup, op6_compression_distance_toxicity, op7_consistent_hash_shards, op8_lsh_forest_near_dups, op9_rotated_code_near_vectors,
     op10_cross_parsing_language)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_simhash_decontamination": oracle.LEAKS, "op2_deletion_neighbourhood_lines": oracle.LINES, "op4_columnwise_bwt_substring_dedup": oracle.BYTES,
+    "op5_recompression_substring_dedup": oracle.WORDS, "op8_lsh_forest_near_dups": oracle.NEAR_TEXTS, "op9_rotated_code_near_vectors": oracle.NEAR_VECTORS}
