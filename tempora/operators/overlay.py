@@ -74,31 +74,119 @@ def face_table(traced: DataFrame) -> DataFrame:
         (F.sum(h("ox") * h("dy") - h("dx") * h("oy")) / 2).alias("area"), F.count("*").alias("n"), F.max(point).alias("p")).select("face", "area", "n", "p.y", "p.x")
 
 
+def innermost(points: DataFrame, traced: DataFrame, size: float) -> DataFrame:
+    """(k, face): the least bounded cycle around each point (k, y, x), which is the outer boundary of the face that holds it."""
+    area = face_table(traced).filter("area > 0").select(F.col("face").alias("rid"), "area")
+    edges = traced.select(F.col("cycle").alias("rid"), F.col("h.oy").alias("ay"), F.col("h.ox").alias("ax"), F.col("h.dy").alias("by_"), F.col("h.dx").alias("bx")).join(area, "rid")
+    boxes = edges.groupBy("rid").agg(F.min("ay").alias("y0"), F.max("ay").alias("y1"), F.min("ax").alias("x0"), F.max("ax").alias("x1"))
+    around = sp.points_in_outlines(points.select("k", "y", "x"), edges.drop("area"), boxes, size)
+    return around.join(area, "rid").groupBy("k").agg(F.min(F.struct("area", "rid")).alias("m")).select("k", F.col("m.rid").alias("face"))
+
+
+def located(traced: DataFrame, size: float) -> DataFrame:
+    """(h, cycle) with the face of each half edge in place of its cycle: a bounded cycle names its face, the outer boundary of an
+    enclosed part belongs to the face around it, and null is the outside."""
+    cycles_ = face_table(traced)
+    holes = innermost(cycles_.filter("area <= 0").select(F.col("face").alias("k"), "y", "x"), traced, size)
+    own = cycles_.filter("area > 0").select(F.col("face").alias("k"), "face").union(holes.select("k", "face"))
+    return traced.withColumnRenamed("cycle", "k").join(own, "k", "left").select("h", F.col("face").alias("cycle"))
+
+
+def bounded_faces(sides: DataFrame, traced: DataFrame) -> DataFrame:
+    """face, area (without what it encloses), n (edges on all its boundaries), y, x (a point inside)."""
+    h = lambda c: F.col(f"h.{c}").cast("double")
+    area = sides.filter("cycle IS NOT NULL").groupBy(F.col("cycle").alias("face")).agg((F.sum(h("ox") * h("dy") - h("dx") * h("oy")) / 2).alias("area"), F.count("*").alias("n"))
+    return area.join(face_table(traced).filter("area > 0").select("face", "y", "x"), "face")
+
+
 def claims(faces: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """(face, rid): the rings that hold each bounded face."""
     pts = faces.filter("area > 0").select(F.col("face").alias("k"), "y", "x")
     return sp.points_in_rings(pts, rings, size).withColumnRenamed("k", "face")
 
 
-def healed(edges: DataFrame, owner: DataFrame, traced: DataFrame) -> DataFrame:
-    """Edges without those that have the same face, or no claimed face, on both sides."""
-    side = traced.join(owner.withColumnRenamed("face", "cycle"), "cycle", "left")
+def owned(claimed: DataFrame, rings: DataFrame, witnesses: DataFrame | None = None) -> DataFrame:
+    """(face, rid): the claim that names each face: lowest rank first, then the deepest in its chain of parents, the least ring, the least id.
+
+    ``witnesses`` (rid, rank, parent) may leave rings out (rank 0, no parent). A claim counts only where its parent's counts.
+    """
+    size = sp.ring_edges(rings).groupBy("rid").agg((F.abs(F.sum(F.col("ax").cast("double") * F.col("by_") - F.col("bx").cast("double") * F.col("ay"))) / 2).alias("size"))
+    told = claimed.select("face", "rid").join(size, "rid")
+    if witnesses is None:
+        told = told.withColumn("rank", F.lit(0)).withColumn("depth", F.lit(0))
+    else:
+        told = materialize(told.join(_deep(witnesses), "rid", "left").select("face", "rid", "size", F.coalesce("rank", F.lit(0)).alias("rank"), "parent", F.coalesce("depth", F.lit(0)).alias("depth")), "claims")
+        left, n = told.count(), -1
+        while left != n:
+            known = told.select("face", F.col("rid").alias("parent"))
+            told = materialize(told.filter("parent IS NULL").unionByName(told.join(known, ["face", "parent"], "left_semi")), "claims")
+            n, left = left, told.count()
+    return told.groupBy("face").agg(F.min(F.struct("rank", (-F.col("depth")).alias("up"), "size", "rid")).alias("m")).select("face", "m.rid")
+
+
+def _deep(witnesses: DataFrame) -> DataFrame:
+    """Witnesses with the number of parents above them; those whose chain never ends have none."""
+    done = materialize(witnesses.filter("parent IS NULL").withColumn("depth", F.lit(0)), "deep")
+    front, depth = done, 0
+    while not front.isEmpty():
+        depth += 1
+        front = materialize(witnesses.join(front.select(F.col("rid").alias("parent")), "parent").select("rid", "rank", "parent", F.lit(depth).alias("depth")), "deep")
+        done = done.unionByName(front)
+    return done
+
+
+def seeded(owner: DataFrame, seeds: DataFrame, traced: DataFrame, size: float) -> DataFrame:
+    """Owners after each seed (rid, y, x) claimed the face that holds it; of several seeds in a face the greatest rid has it."""
+    at = innermost(seeds.select(F.col("rid").alias("k"), "y", "x"), traced, size).groupBy("face").agg(F.max("k").alias("seed"))
+    return owner.join(at, "face", "full").select("face", F.coalesce("seed", "rid").alias("rid"))
+
+
+def _edge_sides(sides: DataFrame, owner: DataFrame) -> DataFrame:
+    """(uy, ux, vy, vx, lf, lo, rf, ro): each edge with the faces and owners on its left and right."""
+    side = sides.join(owner.withColumnRenamed("face", "cycle"), "cycle", "left")
     left = side.select(F.col("h.oy").alias("uy"), F.col("h.ox").alias("ux"), F.col("h.dy").alias("vy"), F.col("h.dx").alias("vx"), F.col("cycle").alias("lf"), F.col("rid").alias("lo"))
     right = side.select(F.col("h.dy").alias("uy"), F.col("h.dx").alias("ux"), F.col("h.oy").alias("vy"), F.col("h.ox").alias("vx"), F.col("cycle").alias("rf"), F.col("rid").alias("ro"))
-    j = edges.join(left, ["uy", "ux", "vy", "vx"]).join(right, ["uy", "ux", "vy", "vx"])
-    return j.filter("lf <> rf AND (lo IS NOT NULL OR ro IS NOT NULL)").select(*edges.columns)
-
-
-def absorbed(owner: DataFrame, faces: DataFrame, traced: DataFrame, least_area: float) -> DataFrame:
-    """Owners after each face below ``least_area`` went to the neighbour with which it shares the longest boundary."""
+    return left.join(right, KEY)
+
+
+KEY = ["uy", "ux", "vy", "vx"]
+
+
+def healed(edges: DataFrame, rings: DataFrame, size: float, least_area: float = 0.0, witnesses: DataFrame | None = None):
+    """(edges, sides, faces, owner) without edges that have one face, or no claimed face, on both sides; until none is left.
+
+    Edges inside one face fall first; then small faces and enclosed pockets go to neighbours, and edges that bound nothing claimed fall.
+    """
+    none = None
+    while True:
+        traced = materialize(cycles(half_edges(edges)), "traced")
+        if none is None:
+            none = traced.select(F.col("cycle").alias("face"), F.lit(0).cast("long").alias("rid")).limit(0)
+        # edges within one face are bridges: the same cycle runs along both of their sides
+        inner = materialize(edges.select(*KEY).join(_edge_sides(traced, none).filter("lf = rf"), KEY, "left_semi"), "inner")
+        if not inner.isEmpty():
+            edges = materialize(edges.join(inner, KEY, "left_anti"), "edges")
+            continue
+        sides = materialize(located(traced, size), "sides")
+        faces = materialize(bounded_faces(sides, traced), "faces")
+        owner = materialize(absorbed(owned(claims(faces, rings, size), rings, witnesses), faces, sides, least_area), "owner")
+        loose = materialize(edges.select(*KEY).join(_edge_sides(sides, owner).filter("lo IS NULL AND ro IS NULL"), KEY, "left_semi"), "loose")
+        if loose.isEmpty():
+            return edges, sides, faces, owner
+        edges = materialize(edges.join(loose, KEY, "left_anti"), "edges")
+
+
+def absorbed(owner: DataFrame, faces: DataFrame, sides: DataFrame, least_area: float) -> DataFrame:
+    """Owners after each bounded face below ``least_area``, and each unclaimed one of any size, went to the owner of the neighbour with
+    which it shares the longest boundary; where that is nobody's, so is the face."""
     h = lambda c: F.col(f"h.{c}").cast("double")
-    here = traced.select("h", "cycle", F.hypot(h("dy") - h("oy"), h("dx") - h("ox")).alias("len"))
-    twin = traced.select(F.struct(F.col("h.dy").alias("oy"), F.col("h.dx").alias("ox"), F.col("h.oy").alias("dy"), F.col("h.ox").alias("dx")).alias("h"), F.col("cycle").alias("other"))
-    shared = here.join(twin, "h").filter("cycle <> other").groupBy(F.col("cycle").alias("face"), "other").agg(F.sum("len").alias("len"))
-    small = faces.filter((F.col("area") > 0) & (F.col("area") < least_area)).select("face")
-    to = shared.join(small, "face").join(owner.select(F.col("face").alias("other"), F.col("rid").alias("to")), "other")
-    to = to.groupBy("face").agg(F.max(F.struct("len", (-F.col("to")).alias("to"))).alias("m")).select("face", (-F.col("m.to")).alias("to"))
-    return owner.join(to, "face", "left").select("face", F.coalesce("to", "rid").alias("rid"))
+    small = faces.filter("area > 0").join(owner, "face", "left").filter((F.col("area") < least_area) | F.col("rid").isNull()).select("face")
+    here = sides.select("h", F.col("cycle").alias("face"), F.hypot(h("dy") - h("oy"), h("dx") - h("ox")).alias("len")).join(small, "face")
+    twin = sides.select(F.struct(F.col("h.dy").alias("oy"), F.col("h.dx").alias("ox"), F.col("h.oy").alias("dy"), F.col("h.ox").alias("dx")).alias("h"), F.col("cycle").alias("other"))
+    shared = here.join(twin, "h").filter(~F.col("face").eqNullSafe(F.col("other"))).groupBy("face", "other").agg(F.sum("len").alias("len"))
+    to = shared.join(owner.select(F.col("face").alias("other"), F.col("rid").alias("to")), "other", "left")
+    to = to.groupBy("face").agg(F.min(F.struct((-F.col("len")).alias("len"), "other", "to")).alias("m")).select("face", "m.to", F.lit(True).alias("goes"))
+    return owner.join(to, "face", "full").select("face", F.when(F.col("goes"), F.col("to")).otherwise(F.col("rid")).alias("rid")).filter("rid IS NOT NULL")
 
 
 def dissolved(owner: DataFrame, traced: DataFrame) -> DataFrame:

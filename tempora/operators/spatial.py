@@ -47,8 +47,13 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, margin: in
 
 def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """(k, rid) of points inside rings: crossings of an eastward ray, odd ones are inside."""
-    near = points_in_boxes(points, ring_boxes(rings), size)
-    hit = near.join(ring_edges(rings), "rid")
+    return points_in_outlines(points, ring_edges(rings), ring_boxes(rings), size)
+
+
+def points_in_outlines(points: DataFrame, edges: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """(k, rid) of points inside closed outlines, given as edges in any order and as boxes."""
+    near = points_in_boxes(points, boxes, size)
+    hit = near.join(edges, "rid")
     crosses = ((F.col("ay") > F.col("y")) != (F.col("by_") > F.col("y"))) & (
         F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by_") - F.col("ay")) + F.col("ax"))
     # try_divide-free: the first test already rules out level edges, but both sides of AND may be evaluated

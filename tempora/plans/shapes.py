@@ -215,9 +215,9 @@ def overlaid(spark, sf):
     segments, rings = two_layers(spark, sf)
     edges = materialize(ov.split_at_nodes(segments, 1e6, 1e5), "edges")
     traced = materialize(ov.cycles(ov.half_edges(edges)), "traced")
-    faces = materialize(ov.face_table(traced), "faces")
-    owner = ov.claims(faces, rings, 1e6).groupBy("face").agg(F.min("rid").alias("rid"))
-    return edges, traced, faces, materialize(owner, "owner")
+    sides = materialize(ov.located(traced, 1e6), "sides")
+    faces = materialize(ov.bounded_faces(sides, traced), "faces")
+    return edges, traced, sides, faces, materialize(ov.owned(ov.claims(faces, rings, 1e6), rings), "owner")
 
 
 def _named(face):
@@ -232,34 +232,35 @@ def g4(spark, sf):
 
 @query("G5_overlay")
 def g5(spark, sf):
-    _, _, faces, owner = overlaid(spark, sf)
-    return faces.filter("area > 0").join(owner, "face", "left").select(_named("face").alias("face"), F.col("area"), "rid")
+    _, _, _, faces, owner = overlaid(spark, sf)
+    return faces.join(owner, "face", "left").select(_named("face").alias("face"), F.col("area"), "rid")
 
 
 @query("G6_healing")
 def g6(spark, sf):
-    edges, traced, _, owner = overlaid(spark, sf)
-    return ov.healed(edges, owner, traced).select("uy", "ux", "vy", "vx")
+    segments, rings = two_layers(spark, sf)
+    edges = materialize(ov.split_at_nodes(segments, 1e6, 1e5), "edges")
+    return ov.healed(edges, rings, 1e6)[0].select("uy", "ux", "vy", "vx")
 
 
 @query("G7_sliver_absorption")
 def g7(spark, sf):
-    _, traced, faces, owner = overlaid(spark, sf)
-    return ov.absorbed(owner, faces, traced, 6e10).select(_named("face").alias("face"), "rid")
+    _, _, sides, faces, owner = overlaid(spark, sf)
+    return ov.absorbed(owner, faces, sides, 6e10).select(_named("face").alias("face"), "rid")
 
 
 @query("G8_dissolve")
 def g8(spark, sf):
-    _, traced, _, owner = overlaid(spark, sf)
-    return ov.dissolved(owner, traced).select("rid", _named("h").alias("half"))
+    _, _, sides, _, owner = overlaid(spark, sf)
+    return ov.dissolved(owner, sides).select("rid", _named("h").alias("half"))
 
 
 @query("L11_topology", with_("redges") + """SELECT 'background edges' AS law, count(*)::DOUBLE AS amount FROM redges a WHERE NOT EXISTS (SELECT 1 FROM redges b WHERE b.ay = a.by_ AND b.ax = a.bx AND b.by_ = a.ay AND b.bx = a.ax)""")
 def l11(spark, sf):
     """Laws that hold tell nothing: faces and outer boundaries of the overlay have equal areas, no edge is a point, every half edge
     has a twin and a next, and no edge of a ring stands twice. Told always: the rings' edges that border the background."""
-    edges, traced, faces, _ = overlaid(spark, sf)
-    area = faces.agg(F.sum("area").alias("amount")).filter(F.abs("amount") > 1).select(F.lit("area").alias("law"), "amount")
+    edges, traced, _, _, _ = overlaid(spark, sf)
+    area = ov.face_table(traced).agg(F.sum("area").alias("amount")).filter(F.abs("amount") > 1).select(F.lit("area").alias("law"), "amount")
     zero = edges.filter("uy = vy AND ux = vx").agg(F.count("*").cast("double").alias("amount")).filter("amount > 0").select(F.lit("zero edge"), "amount")
     lost = traced.agg(F.count("*").alias("h")).join(F.broadcast(edges.agg(F.count("*").alias("e")))).filter("h <> 2 * e").select(F.lit("half edges"), F.col("h").cast("double"))
     alone = twinless(traced.select("h.oy", "h.ox", "h.dy", "h.dx")).agg(F.count("*").cast("double").alias("amount")).filter("amount > 0").select(F.lit("twins"), "amount")
