@@ -144,6 +144,24 @@ def _simplify_inner(key: str, tolerance: float):
     return kept
 
 
+def resampled(lines: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """(key, i, v): each line (key, seq, v) at as many points (key, n) in equal steps along its length, ends included.
+
+    A line without length has its first point n times, a single point stays one.
+    """
+    w = Window.partitionBy(key).orderBy("seq")
+    legs = lines.select(key, "seq", "v", F.lead("v").over(w).alias("nv"), F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy(key)).alias("m"))
+    legs = legs.filter("nv IS NOT NULL OR m = 1").withColumn("len", F.when(F.col("nv").isNull(), 0.0).otherwise(g.angle(F.col("v"), F.col("nv"))))
+    legs = legs.withColumn("c1", F.sum("len").over(w)).withColumn("c0", F.coalesce(F.lag("c1").over(w), F.lit(0.0))).withColumn("total", F.max("c1").over(Window.partitionBy(key)))
+    legs = legs.join(counts.select(key, "n"), key)
+    place = lambda c: F.floor(F.col(c) / F.col("total") * (F.col("n") - 1))
+    last = F.when(F.col("m") == 1, F.lit(0)).when(F.col("total") > 0, place("c1")).otherwise(F.col("n") - 1).cast("long")
+    first = F.when(F.col("rn") == 1, F.lit(0)).when(F.col("total") > 0, place("c0") + 1).otherwise(F.col("n")).cast("long")
+    legs = legs.withColumn("lo", first).withColumn("hi", last).filter("hi >= lo").withColumn("i", F.explode(F.sequence("lo", "hi")))
+    t = F.when(F.col("len") > 0, g.clamp((F.col("total") * F.col("i") / (F.col("n") - 1) - F.col("c0")) / F.col("len"), 0.0, 1.0)).otherwise(0.0)
+    return legs.withColumn("t", t).select(key, "i", F.coalesce(F.when(F.col("t") > 0, g.slerp(F.col("v"), F.col("nv"), F.col("t"))), F.col("v")).alias("v"))
+
+
 def distances_to_arc(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Angular distances of points from one arc."""
     ends = np.minimum(np.arccos(np.clip(p @ a, -1, 1)), np.arccos(np.clip(p @ b, -1, 1)))

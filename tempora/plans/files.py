@@ -17,7 +17,7 @@ from tempora.plans.catalog import query
 from tempora.plans.fixtures import T1, T2, with_
 from tempora.plans.scratch import shared_root
 from tempora.plans.spatial import PSEG, path_segments
-from tempora.plans.temporal import EVENTS
+from tempora.plans.temporal import TURNS, turns, verbs
 from tempora.sources import geojson, raster, store
 from tempora.sources.tables import table
 
@@ -182,12 +182,13 @@ def s16(spark, sf):
     return r.join(names, "rid").select("rid", F.to_json(feature).alias("feature"))
 
 
-@query("S17_transition_json", with_("bodies") + EVENTS + f"""SELECT '{{"verb":"' || CASE kind WHEN 'Rise' THEN 'FadeIn' WHEN 'Fall' THEN 'FadeOut' ELSE 'Morph' END || '","subject":' || e || ',"at":' || t || '}}' AS step FROM ev WHERE t > {T1} AND t <= {T2}""")
+@query("S17_transition_json", with_("bodies") + TURNS + f"""SELECT '{{"verb":"' || verb || '","subject":' || e || CASE WHEN others IS NULL THEN '' ELSE ',"others":[' || others || ']' END || ',"at":' || t || '}}' AS step
+  FROM plan WHERE t > {T1} AND t <= {T2}""")
 def s17(spark, sf):
-    """Every step of a transition plan as JSON."""
-    span = iv.derive_events(fx.bodies(spark, sf), ["e"], "st").filter(f"t > {T1} AND t <= {T2}")
-    verb = F.when(C("kind") == "Rise", "FadeIn").when(C("kind") == "Fall", "FadeOut").otherwise("Morph")
-    return span.select(F.to_json(F.struct(verb.alias("verb"), C("e").alias("subject"), C("t").alias("at"))).alias("step"))
+    """Every step of a transition plan as JSON; a split has its children with it, a merge its parents."""
+    span = turns(spark, sf).filter(f"t > {T1} AND t <= {T2}")
+    others = F.transform(F.split("others", ","), lambda x: x.cast("long"))
+    return span.select(F.to_json(F.struct(verbs(C("kind")).alias("verb"), C("e").alias("subject"), others.alias("others"), C("t").alias("at"))).alias("step"))
 
 
 @query("S18_query_batch", with_("standings") + """, q AS (SELECT DISTINCT year(o_orderdate)*12+6 t, 'layer=' || c_mktsegment || '&t=' || (year(o_orderdate)*12+6) AS text, c_mktsegment l FROM orders JOIN customer ON c_custkey = o_custkey)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tempora.functions import geo as g
 from tempora.operators import spatial as sp
+from tempora.operators.rings import resampled
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
+from tempora.plans.scratch import materialize
 
 R300 = 300.0 / 6371.0
 DOT = lambda a, b: f"({a}x*{b}x+{a}y*{b}y+{a}z*{b}z)"
@@ -73,6 +75,28 @@ def morphed(before, after, t: float):
         "rid", "seq", g.slerp(F.col("a"), F.col("b"), F.lit(t)).alias("v"))
 
 
+@query("T8_morph_points", with_("paths") + """, many AS (SELECT id, count(*) m FROM pvec GROUP BY 1 HAVING count(*) > 1),
+  pairs AS (SELECT a.id, greatest(a.m, b.m) n FROM many a JOIN many b ON b.id = a.id + 1),
+  need AS (SELECT id line, id pair, 0 side, n FROM pairs UNION ALL SELECT id + 1, id, 1, n FROM pairs),
+  leg AS (SELECT id, seq, x, y, z, lead(x) OVER w nx, lead(y) OVER w ny, lead(z) OVER w nz, row_number() OVER w rn FROM pvec WINDOW w AS (PARTITION BY id ORDER BY seq)),
+  cum AS (SELECT *, acos(greatest(-1.0, least(1.0, x*nx+y*ny+z*nz))) len, sum(acos(greatest(-1.0, least(1.0, x*nx+y*ny+z*nz)))) OVER (PARTITION BY id ORDER BY seq) c1 FROM leg WHERE nx IS NOT NULL),
+  legs AS (SELECT *, coalesce(lag(c1) OVER (PARTITION BY id ORDER BY seq), 0.0) c0, max(c1) OVER (PARTITION BY id) total FROM cum),
+  at_ AS (SELECT * FROM (SELECT l.*, p.pair, p.side, p.n, unnest(range(CASE WHEN rn = 1 THEN 0 ELSE CAST(floor(c0/total*(n-1)) AS BIGINT) + 1 END, CAST(floor(c1/total*(n-1)) AS BIGINT) + 1)) i FROM legs l JOIN need p ON p.line = l.id)),
+  s AS (SELECT pair, side, i, len, greatest(0.0, least(1.0, (total*i/(n-1) - c0)/len)) t, x, y, z, nx, ny, nz FROM at_),
+  q AS (SELECT pair, side, i, (x*sin((1-t)*len)+nx*sin(t*len))/sin(len) x, (y*sin((1-t)*len)+ny*sin(t*len))/sin(len) y, (z*sin((1-t)*len)+nz*sin(t*len))/sin(len) z FROM s)
+  SELECT a.pair AS boundary, a.i, round(a.x, 5) AS from_x, round(a.y, 5) AS from_y, round(a.z, 5) AS from_z, round(b.x, 5) AS to_x, round(b.y, 5) AS to_y, round(b.z, 5) AS to_z
+  FROM q a JOIN q b ON b.pair = a.pair AND b.i = a.i AND a.side = 0 AND b.side = 1""")
+def t8_morphs(spark, sf):
+    """Geometry of morphs: every path and the next one, resampled to as many points as the longer one has, point by point."""
+    lines = path_points(spark, sf).select("id", "seq", "v")
+    many = materialize(lines.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1"), "many")
+    pairs = many.join(many.select((F.col("id") - 1).alias("id"), F.col("m").alias("m2")), "id").select("id", F.greatest("m", "m2").alias("n"))
+    before = resampled(lines, "id", pairs)
+    after = resampled(lines.withColumn("id", F.col("id") - 1), "id", pairs)
+    both = before.withColumnRenamed("v", "a").join(after.withColumnRenamed("v", "b"), ["id", "i"])
+    return both.select(F.col("id").alias("boundary"), "i", *[F.round(f"a.{c}", 5).alias(f"from_{c}") for c in "xyz"], *[F.round(f"b.{c}", 5).alias(f"to_{c}") for c in "xyz"])
+
+
 @query("F4_distance_to_arc", with_("geo") + """, q AS (SELECT k, abs(asin(greatest(-1.0,least(1.0,z)))) off, x >= 0 AND y >= 0 inside, acos(greatest(-1.0,least(1.0,x))) a, acos(greatest(-1.0,least(1.0,y))) b FROM vec)
   SELECT k, round(CASE WHEN inside THEN off ELSE least(a, b) END * 6371, 3) AS km FROM q""")
 def f4(spark, sf):

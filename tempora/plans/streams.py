@@ -15,6 +15,7 @@ SILENCE = 5 * 86400
 @query("R1_change_stream", f"""WITH o AS (SELECT user_id AS key_, ts, event_type body, lag(ts) OVER w pt, lag(event_type) OVER w pb FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
   SELECT key_, 'Rise' AS kind, body, epoch_us(ts) // 1000000 AS at_ FROM o WHERE pt IS NULL OR epoch_us(ts) - epoch_us(pt) > {SILENCE}000000
   UNION ALL SELECT key_, 'Fall', pb, epoch_us(pt) // 1000000 + {SILENCE} FROM o WHERE epoch_us(ts) - epoch_us(pt) > {SILENCE}000000
+  UNION ALL SELECT user_id, 'Fall', arg_max(event_type, (ts, event_id)), epoch_us(max(ts)) // 1000000 + {SILENCE} FROM events GROUP BY 1 HAVING epoch_ms(max(ts)) + {SILENCE}000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)
   UNION ALL SELECT key_, 'Shift', body, epoch_us(ts) // 1000000 FROM o WHERE epoch_us(ts) - epoch_us(pt) <= {SILENCE}000000 AND pb <> body""")
 def r1(spark, sf):
     src, out, cp = (fresh(spark, n) for n in ("observations", "changes", "offsets"))

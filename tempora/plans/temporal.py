@@ -158,21 +158,53 @@ def t7(spark, sf):
     return side(T1, "held").unionByName(side(T2, "current"))
 
 
-@query("T8_transition_plan", with_("bodies") + EVENTS + f"""SELECT CASE kind WHEN 'Rise' THEN 'FadeIn' WHEN 'Fall' THEN 'FadeOut' ELSE 'Morph' END AS verb, e, t,
-  row_number() OVER (ORDER BY t, e, kind) AS seq FROM ev WHERE t > {T1} AND t <= {T1 + 3}""")
+# events in groups of twelve keys, those that make a split or a merge replaced by it; others: the children or parents
+TURNS = EVENTS + """, gr AS (SELECT *, e // 12 g FROM ev),
+  both_ AS (SELECT g, t, list(e ORDER BY e) FILTER (kind = 'Fall') falls, list(e ORDER BY e) FILTER (kind = 'Rise') rises FROM gr GROUP BY 1, 2),
+  turn AS (SELECT g, t, 'Split' kind, falls[1] e, array_to_string(rises, ',') others FROM both_ WHERE len(falls) = 1 AND len(rises) > 1
+    UNION ALL SELECT g, t, 'Merge', rises[1], array_to_string(falls, ',') FROM both_ WHERE len(rises) = 1 AND len(falls) > 1),
+  turned AS (SELECT kind, e, t, others FROM turn UNION ALL SELECT kind, e, t, NULL FROM gr WHERE kind = 'Shift' OR NOT EXISTS (SELECT 1 FROM turn x WHERE x.g = gr.g AND x.t = gr.t)),
+  plan AS (SELECT CASE kind WHEN 'Rise' THEN 'FadeIn' WHEN 'Fall' THEN 'FadeOut' WHEN 'Shift' THEN 'Morph' ELSE kind END AS verb, e, others, t, kind FROM turned) """
+
+
+@query("T8_transition_plan", with_("bodies") + TURNS + f"SELECT verb, e, others, t, row_number() OVER (ORDER BY t, e, kind) AS seq FROM plan WHERE t > {T1} AND t <= {T1 + 3}")
 def t8(spark, sf):
-    ev = iv.derive_events(fx.bodies(spark, sf), ["e"], "st")
-    return transition_plan(ev, T1, T1 + 3)
+    return transition_plan(turns(spark, sf), T1, T1 + 3)
+
+
+def turns(spark, sf):
+    """Events with splits and merges within groups of twelve keys."""
+    return splits_and_merges(iv.derive_events(fx.bodies(spark, sf), ["e"], "st").withColumn("g", F.floor(F.col("e") / 12)), "g")
+
+
+def splits_and_merges(events, group: str):
+    """Events (kind, e, t, others): where one key of a group falls at the instant at which several rise, it splits into them; where
+    several fall as one rises, they merge into it. ``others`` has the children or parents in order, comma-separated."""
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("e"))))
+    both = events.filter("kind <> 'Shift'").groupBy(group, "t").agg(of("Fall").alias("falls"), of("Rise").alias("rises"))
+    split, merge = (F.size("falls") == 1) & (F.size("rises") > 1), (F.size("rises") == 1) & (F.size("falls") > 1)
+    turn = both.filter(split | merge).select(group, "t", F.when(split, "Split").otherwise("Merge").alias("kind"), F.get(F.when(split, F.col("falls")).otherwise(F.col("rises")), F.lit(0)).alias("e"),
+                                             F.array_join(F.when(split, F.col("rises")).otherwise(F.col("falls")), ",").alias("others"))
+    plain = events.filter("kind <> 'Shift'").join(turn.select(group, "t"), [group, "t"], "left_anti").unionByName(events.filter("kind = 'Shift'"))
+    return turn.drop(group).unionByName(plain.select("kind", "e", "t", F.lit(None).cast("string").alias("others")))
+
+
+BACK = {"FadeIn": "FadeOut", "FadeOut": "FadeIn", "Split": "Merge", "Merge": "Split"}
 
 
 def transition_plan(events, lo: int, hi: int):
     """Ordered steps from instant lo to hi; a plan that runs backwards has the reverse order and the opposite verbs."""
     back = lo > hi
-    verb = {"Rise": "FadeOut" if back else "FadeIn", "Fall": "FadeIn" if back else "FadeOut", "Shift": "Morph"}
     span = events.filter((F.col("t") > min(lo, hi)) & (F.col("t") <= max(lo, hi)))
-    named = F.when(F.col("kind") == "Rise", verb["Rise"]).when(F.col("kind") == "Fall", verb["Fall"]).otherwise("Morph")
     keys = [F.col(c).desc() if back else F.col(c) for c in ("t", "e", "kind")]
-    return numbered(span, keys, "seq").select(named.alias("verb"), "e", "t", "seq")
+    verb = verbs(F.col("kind"))
+    if back:
+        verb = F.coalesce(*[F.when(verb == a, b) for a, b in BACK.items()], verb)
+    return numbered(span, keys, "seq").select(verb.alias("verb"), "e", "others", "t", "seq")
+
+
+def verbs(kind):
+    return F.when(kind == "Rise", "FadeIn").when(kind == "Fall", "FadeOut").when(kind == "Shift", "Morph").otherwise(kind)
 
 
 @query("W6_date_fill", with_("steps") + """, d AS (SELECT e, seq, CASE WHEN event_type = 'purchase' THEN event_id END v FROM steps)

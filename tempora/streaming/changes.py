@@ -16,13 +16,20 @@ STATE = "body string, seen double"
 
 def _changes(silence_s: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         body, seen = state.get if state.exists else (None, None)
+        fallen = lambda: (key[0], "Fall", pd.Timestamp(seen + silence_s, unit="s"), body)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([fallen()], columns=["key", "kind", "at", "body"])
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for ts, now in zip(rows["ts"], rows["body"], strict=True):
             t = ts.timestamp()
+            if body is not None and t < seen:
+                continue  # a later one is told already
             if body is not None and t - seen > silence_s:
-                out.append((key[0], "Fall", pd.Timestamp(seen + silence_s, unit="s"), body))
+                out.append(fallen())
                 body = None
             if body is None:
                 out.append((key[0], "Rise", ts, now))
@@ -30,6 +37,7 @@ def _changes(silence_s: float):
                 out.append((key[0], "Shift", ts, now))
             body, seen = now, t
         state.update((body, seen))
+        state.setTimeoutTimestamp(max(int((seen + silence_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "kind", "at", "body"])
 
     return step
@@ -38,10 +46,11 @@ def _changes(silence_s: float):
 def change_stream(observations: DataFrame, silence_s: float, lateness: str = "1 hour") -> DataFrame:
     """Rise, Shift and Fall of each key from a stream of (key, ts, event_id, body).
 
-    A Fall is dated ``silence_s`` after the last observation and told when the next one arrives. Rows later than ``lateness`` go.
+    A Fall is dated ``silence_s`` after the last observation and told when the next one arrives or when the watermark passes that date,
+    at which the key's state goes. Rows later than ``lateness``, and those before a key's latest row of an earlier batch, are passed over.
     """
     rows = observations.withWatermark("ts", lateness)
-    return rows.groupBy("key").applyInPandasWithState(_changes(silence_s), CHANGES, STATE, "append", "NoTimeout")
+    return rows.groupBy("key").applyInPandasWithState(_changes(silence_s), CHANGES, STATE, "append", "EventTimeTimeout")
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:

@@ -15,7 +15,7 @@ from tempora.operators.graph import connected_components
 from tempora.plans import fixtures as fx
 from tempora.plans.laws import incoherent, missing
 from tempora.plans.networks import coloured, thinned
-from tempora.plans.temporal import transition_plan
+from tempora.plans.temporal import splits_and_merges, transition_plan, turns
 from tempora.sources import geojson, raster, store
 
 
@@ -31,14 +31,31 @@ def test_moments_are_the_union_of_edges(spark, sf_dir):
 
 
 def test_plan_backwards_is_the_reverse(spark, sf_dir):
-    ev = iv.derive_events(fx.bodies(spark, sf_dir), ["e"], "st")
+    ev = turns(spark, sf_dir)
     there = [(r.verb, r.e, r.t) for r in transition_plan(ev, fx.T1, fx.T2).orderBy("seq").collect()]
     back = [(r.verb, r.e, r.t) for r in transition_plan(ev, fx.T2, fx.T1).orderBy("seq").collect()]
-    turned = {"FadeIn": "FadeOut", "FadeOut": "FadeIn", "Morph": "Morph"}
+    turned = {"FadeIn": "FadeOut", "FadeOut": "FadeIn", "Morph": "Morph", "Split": "Merge", "Merge": "Split"}
+    assert {v for v, _, _ in there} == set(turned)
     assert there and back == [(turned[v], e, t) for v, e, t in reversed(there)]
     assert transition_plan(ev, fx.T1, fx.T1).isEmpty()
 
 
+def test_splits_and_merges_take_their_events(spark):
+    rows = [("Fall", 1, 5), ("Rise", 2, 5), ("Rise", 3, 5), ("Fall", 2, 9), ("Fall", 3, 9), ("Rise", 4, 9), ("Shift", 5, 9), ("Fall", 4, 12), ("Rise", 6, 12)]
+    ev = spark.createDataFrame([(*r, 0) for r in rows], "kind string, e long, t long, g long")
+    got = {(r.kind, r.e, r.t, r.others) for r in splits_and_merges(ev, "g").collect()}
+    assert got == {("Split", 1, 5, "2,3"), ("Merge", 4, 9, "2,3"), ("Shift", 5, 9, None), ("Fall", 4, 12, None), ("Rise", 6, 12, None)}
+
+
+def test_resampling_goes_in_equal_steps(spark):
+    at = lambda k, lons: [(k, i, 0.0, float(x)) for i, x in enumerate(lons)]
+    rows = at(1, [0, 10, 40]) + at(2, [5, 5, 5]) + at(3, [7])
+    line = spark.createDataFrame(rows, "id long, seq long, lat double, lon double").select("id", "seq", g.vec(F.col("lat"), F.col("lon")).alias("v"))
+    n = spark.createDataFrame([(1, 5), (2, 3), (3, 2)], "id long, n long")
+    got = [(r.id, r.i, round(r.lon, 6)) for r in rg.resampled(line, "id", n).select("id", "i", g.lon_of(F.col("v")).alias("lon")).orderBy("id", "i").collect()]
+    assert got == [(1, 0, 0), (1, 1, 10), (1, 2, 20), (1, 3, 30), (1, 4, 40), (2, 0, 5), (2, 1, 5), (2, 2, 5), (3, 0, 7)]
+
+
 def test_open_intervals_hold_later_instants(spark):
     t = spark.createDataFrame([(1, 5, None), (2, 5, 9)], "e long, f long, u long")
     asked = spark.createDataFrame([(4,), (5,), (9,), (500,)], "t long")
