@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempora.functions import geo as g
 from tempora.operators import spatial as sp
 from tempora.operators.graph import connected_components
+from tempora.operators.rings import cleaned
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
@@ -128,6 +129,44 @@ def j9(spark, sf):
     return best.select("k", "m.rid", "m.seq", (C("m.ay") + C("m.t") * (C("m.by_") - C("m.ay"))).cast("long").alias("y"), (C("m.ax") + C("m.t") * (C("m.bx") - C("m.ax"))).cast("long").alias("x"))
 
 
+@query("J9_snap_with_splice")
+def j9_rings(spark, sf):
+    """Every ring, moved a little, snapped onto the rings: its vertices project, the target's vertices between them are spliced in."""
+    r = fx.rings(spark, sf)
+    moved = r.select(C("rid").alias("path"), "seq", (C("qlat") + 30000).alias("y"), (C("qlon") + 7000).alias("x"))
+    return snapped(moved, r, 1e6, 200000).select("path", "place", F.round("y", 1).alias("y"), F.round("x", 1).alias("x"))
+
+
+def snapped(paths: DataFrame, rings: DataFrame, size: float, margin: int, most: int = 60) -> DataFrame:
+    """(path, place, y, x): closed paths (path, seq, y, x) whose points within ``margin`` of a ring go onto it.
+
+    Between neighbours on one ring its own vertices are spliced in, the short way round unless that has more than ``most`` of them.
+    Ring vertices are numbered from 0 without gaps.
+    """
+    pts = paths.select(F.struct("path", "seq").alias("k"), "y", "x")
+    near = _near_segments(pts, sp.ring_edges(rings), size, margin)
+    on = near.groupBy("k").agg(F.min(F.struct("d2", "rid", "seq", "t", "ay", "ax", "by_", "bx")).alias("m"))
+    sizes = rings.groupBy("rid").agg(F.count("*").alias("size"))
+    rows = pts.join(on, "k", "left").select("k.path", "k.seq", C("m.rid").alias("rid"), (C("m.seq") + C("m.t")).alias("s"), "y", "x",
+                                            (C("m.ay") + C("m.t") * (C("m.by_") - C("m.ay"))).alias("sy"), (C("m.ax") + C("m.t") * (C("m.bx") - C("m.ax"))).alias("sx"))
+    w = Window.partitionBy("path").orderBy("seq")
+    here = F.struct("rid", "s")
+    nxt = F.coalesce(F.lead(here).over(w), F.first(here).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = materialize(rows.withColumn("nxt", nxt), "snapped")
+    own = rows.select("path", "seq", F.lit(0).alias("part"), F.coalesce("sy", C("y").cast("double")).alias("y"), F.coalesce("sx", C("x").cast("double")).alias("x"))
+    walk = rows.filter("rid = nxt.rid").join(sizes, "rid").withColumn("ahead", F.pmod(C("nxt.s") - C("s"), C("size").cast("double"))).withColumn("back", F.pmod(C("s") - C("nxt.s"), C("size").cast("double")))
+    forth = (C("ahead") <= C("back")) & (C("ahead") <= most)
+    aback = (C("ahead") > C("back")) & (C("back") <= most)
+    first, last = F.floor("s") + 1, F.ceil(C("s") + C("ahead")) - 1
+    high, low = F.ceil("s") - 1, F.floor(C("s") - C("back")) + 1
+    at = F.when(forth & (last >= first), F.sequence(first, F.greatest(first, last))).when(aback & (high >= low), F.sequence(F.greatest(high, low), low))
+    walk = walk.select("path", "seq", "rid", "size", F.posexplode(at).alias("part", "n"))
+    vertices = rings.select("rid", C("seq").alias("n"), C("qlat").cast("double").alias("y"), C("qlon").cast("double").alias("x"))
+    between = walk.withColumn("n", F.pmod("n", "size")).join(vertices, ["rid", "n"]).select("path", "seq", (C("part") + 1).alias("part"), "y", "x")
+    every = own.union(between).withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("seq", "part")))
+    return cleaned(every, "path", ["y", "x"]).select("path", F.row_number().over(w).alias("place"), "y", "x")
+
+
 @query("J13_node_on_segment")
 def j13(spark, sf):
     """Ring edges cut at every point within 20,000 units of them, in order along the edge."""
@@ -146,6 +185,38 @@ def j14(spark, sf):
     return runs.filter("wet = 0").groupBy("path", "run").agg(F.min("k").alias("first_"), F.max("k").alias("last_"), F.count("*").alias("n"))
 
 
+@query("J14_shoreline_points")
+def j14_points(spark, sf):
+    """The same runs as points, each with the crossings of the shore at its ends."""
+    p = fx.pip(spark, sf).select(F.floor(C("k") / 100).alias("path"), "k", "y", "x")
+    return outside_runs(p, fx.rings(spark, sf), 1e6, 4e6).select("path", "run", "place", F.round("y", 1).alias("y"), F.round("x", 1).alias("x"))
+
+
+def outside_runs(points: DataFrame, rings: DataFrame, size: float, leg: float) -> DataFrame:
+    """(path, run, place, y, x): runs of the points (path, k, y, x) outside all rings; where the path goes on inside, the run ends at the
+    first crossing of a shore. ``size`` and ``leg``: cells for rings and for legs of the paths."""
+    wet = sp.points_in_rings(points.select("k", "y", "x"), rings, size).select("k").distinct().withColumn("wet", F.lit(1))
+    w = Window.partitionBy("path").orderBy("k")
+    state = F.struct("wet", "y", "x")
+    p = points.join(wet, "k", "left").withColumn("wet", F.coalesce("wet", F.lit(0))).withColumn("before", F.lag(state).over(w)).withColumn("after", F.lead(state).over(w))
+    p = p.withColumn("run", F.sum((F.coalesce("before.wet", F.lit(-1)) != C("wet")).cast("int")).over(w))
+    dry = materialize(p.filter("wet = 0"), "dry")
+    legs = dry.filter("before.wet = 1").select("k", F.lit(-1).alias("side"), "y", "x", C("before.y").alias("oy"), C("before.x").alias("ox")).union(
+        dry.filter("after.wet = 1").select("k", F.lit(1), "y", "x", "after.y", "after.x"))
+    legs = legs.select(C("k").alias("rid"), C("side").alias("seq"), C("y").alias("ay"), C("x").alias("ax"), C("oy").alias("by_"), C("ox").alias("bx"))
+    c = lambda n: C(n).cast("double")
+    pairs = sp.segment_pairs(legs, sp.ring_edges(rings), leg)
+    dy, dx, ey, ex = c("l_by_") - c("l_ay"), c("l_bx") - c("l_ax"), c("r_by_") - c("r_ay"), c("r_bx") - c("r_ax")
+    det = F.nullif(dx * ey - dy * ex, F.lit(0.0))
+    pairs = pairs.withColumn("t", ((c("r_ax") - c("l_ax")) * ey - (c("r_ay") - c("l_ay")) * ex) / det).withColumn("u", ((c("r_ax") - c("l_ax")) * dy - (c("r_ay") - c("l_ay")) * dx) / det)
+    shore = pairs.filter(C("t").between(0, 1) & C("u").between(-1e-12, 1 + 1e-12)).groupBy("l_rid", "l_seq").agg(F.min("t").alias("t"))
+    ends = legs.join(shore, (C("rid") == C("l_rid")) & (C("seq") == C("l_seq"))).select(
+        C("rid").alias("k"), C("seq").alias("side"), (C("ay") + C("t") * (C("by_") - C("ay"))).alias("y"), (C("ax") + C("t") * (C("bx") - C("ax"))).alias("x"))
+    own = dry.select("path", "run", "k", F.lit(0).alias("side"), c("y").alias("y"), c("x").alias("x"))
+    every = own.unionByName(ends.join(dry.select("k", "path", "run"), "k"))
+    return every.select("path", "run", F.row_number().over(Window.partitionBy("path", "run").orderBy("k", "side")).alias("place"), "y", "x")
+
+
 @query("J21_edges_on_river")
 def j21(spark, sf):
     """Path segments whose midpoint lies within 0.01 radians of another path, as river edges."""
