@@ -9,7 +9,7 @@ from tempora.llm.registry import ORACLE_SQL, QUERIES
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
 
