@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators import spatial as sp
+from tempora.operators.edgecells import edge_cells, points_in_cells
 from tempora.plans.scratch import materialize
 
 
@@ -78,8 +79,7 @@ def innermost(points: DataFrame, traced: DataFrame, size: float) -> DataFrame:
     """(k, face): the least bounded cycle around each point (k, y, x), which is the outer boundary of the face that holds it."""
     area = face_table(traced).filter("area > 0").select(F.col("face").alias("rid"), "area")
     edges = traced.select(F.col("cycle").alias("rid"), F.col("h.oy").alias("ay"), F.col("h.ox").alias("ax"), F.col("h.dy").alias("by_"), F.col("h.dx").alias("bx")).join(area, "rid")
-    boxes = edges.groupBy("rid").agg(F.min("ay").alias("y0"), F.max("ay").alias("y1"), F.min("ax").alias("x0"), F.max("ax").alias("x1"))
-    around = sp.points_in_outlines(points.select("k", "y", "x"), edges.drop("area"), boxes, size)
+    around = points_in_cells(points.select("k", "y", "x"), edge_cells(edges.drop("area")))
     return around.join(area, "rid").groupBy("k").agg(F.min(F.struct("area", "rid")).alias("m")).select("k", F.col("m.rid").alias("face"))
 
 
@@ -102,7 +102,7 @@ def bounded_faces(sides: DataFrame, traced: DataFrame) -> DataFrame:
 def claims(faces: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """(face, rid): the rings that hold each bounded face."""
     pts = faces.filter("area > 0").select(F.col("face").alias("k"), "y", "x")
-    return sp.points_in_rings(pts, rings, size).withColumnRenamed("k", "face")
+    return sp.points_in_rings(pts, rings).withColumnRenamed("k", "face")
 
 
 def owned(claimed: DataFrame, rings: DataFrame, witnesses: DataFrame | None = None) -> DataFrame:

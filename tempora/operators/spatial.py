@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import geo as g
+from tempora.operators.edgecells import edge_cells, points_in_cells
 
 
 def cell(c, size: float) -> Column:
@@ -36,29 +37,9 @@ def ring_edges(rings: DataFrame, rid: str = "rid") -> DataFrame:
     return rings.select(rid, "seq", F.col("qlat").alias("ay"), F.col("qlon").alias("ax"), n.alias("n")).select(rid, "seq", "ay", "ax", F.col("n.qlat").alias("by_"), F.col("n.qlon").alias("bx"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, margin: int = 0) -> DataFrame:
-    """Candidate (k, y, x, rid): boxes spread over cells about their own size, points in one cell each."""
-    spread = boxes.select("*", F.explode(cells_of(F.col("y0") - margin, F.col("y1") + margin, size)).alias("cy")).select(
-        "*", F.explode(cells_of(F.col("x0") - margin, F.col("x1") + margin, size)).alias("cx"))
-    placed = points.withColumn("cy", cell(F.col("y"), size)).withColumn("cx", cell(F.col("x"), size))
-    inside = F.col("y").between(F.col("y0") - margin, F.col("y1") + margin) & F.col("x").between(F.col("x0") - margin, F.col("x1") + margin)
-    return placed.join(spread, ["cy", "cx"]).filter(inside).select("k", "y", "x", "rid")
-
-
-def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
-    """(k, rid) of points inside rings: crossings of an eastward ray, odd ones are inside."""
-    return points_in_outlines(points, ring_edges(rings), ring_boxes(rings), size)
-
-
-def points_in_outlines(points: DataFrame, edges: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """(k, rid) of points inside closed outlines, given as edges in any order and as boxes."""
-    near = points_in_boxes(points, boxes, size)
-    hit = near.join(edges, "rid")
-    crosses = ((F.col("ay") > F.col("y")) != (F.col("by_") > F.col("y"))) & (
-        F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by_") - F.col("ay")) + F.col("ax"))
-    # try_divide-free: the first test already rules out level edges, but both sides of AND may be evaluated
-    safe = F.when((F.col("ay") > F.col("y")) == (F.col("by_") > F.col("y")), F.lit(False)).otherwise(crosses)
-    return hit.groupBy("k", "rid").agg(F.count_if(safe).alias("n")).filter("n % 2 = 1").select("k", "rid")
+def points_in_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """(k, rid): the rings that hold each point (k, y, x)."""
+    return points_in_cells(points, edge_cells(ring_edges(rings)))
 
 
 def within(points: DataFrame, radius: float, other: DataFrame | None = None) -> DataFrame:

@@ -178,7 +178,7 @@ def j13(spark, sf):
 @query("J14_clip_against_water")
 def j14(spark, sf):
     """Runs of the points of a path (100 keys each) that lie outside all rings."""
-    wet = sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf), 1e6).select("k").distinct().withColumn("wet", F.lit(1))
+    wet = sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf)).select("k").distinct().withColumn("wet", F.lit(1))
     p = fx.pip(spark, sf).join(wet, "k", "left").select(F.floor(C("k") / 100).alias("path"), "k", F.coalesce("wet", F.lit(0)).alias("wet"))
     w = Window.partitionBy("path").orderBy("k")
     runs = p.withColumn("run", F.sum((F.coalesce(F.lag("wet").over(w), F.lit(-1)) != C("wet")).cast("int")).over(w))
@@ -189,13 +189,13 @@ def j14(spark, sf):
 def j14_points(spark, sf):
     """The same runs as points, each with the crossings of the shore at its ends."""
     p = fx.pip(spark, sf).select(F.floor(C("k") / 100).alias("path"), "k", "y", "x")
-    return outside_runs(p, fx.rings(spark, sf), 1e6, 4e6).select("path", "run", "place", F.round("y", 1).alias("y"), F.round("x", 1).alias("x"))
+    return outside_runs(p, fx.rings(spark, sf), 4e6).select("path", "run", "place", F.round("y", 1).alias("y"), F.round("x", 1).alias("x"))
 
 
-def outside_runs(points: DataFrame, rings: DataFrame, size: float, leg: float) -> DataFrame:
+def outside_runs(points: DataFrame, rings: DataFrame, leg: float) -> DataFrame:
     """(path, run, place, y, x): runs of the points (path, k, y, x) outside all rings; where the path goes on inside, the run ends at the
-    first crossing of a shore. ``size`` and ``leg``: cells for rings and for legs of the paths."""
-    wet = sp.points_in_rings(points.select("k", "y", "x"), rings, size).select("k").distinct().withColumn("wet", F.lit(1))
+    first crossing of a shore. ``leg``: cells for legs of the paths."""
+    wet = sp.points_in_rings(points.select("k", "y", "x"), rings).select("k").distinct().withColumn("wet", F.lit(1))
     w = Window.partitionBy("path").orderBy("k")
     state = F.struct("wet", "y", "x")
     p = points.join(wet, "k", "left").withColumn("wet", F.coalesce("wet", F.lit(0))).withColumn("before", F.lag(state).over(w)).withColumn("after", F.lead(state).over(w))
@@ -242,7 +242,7 @@ def j22(spark, sf):
     """Networks of 50 keys: drained where a point lies in water or an end lies within the mouth gap of a shore."""
     pts = fx.pip(spark, sf)
     edges = sp.ring_edges(fx.rings(spark, sf))
-    wet = sp.points_in_rings(pts, fx.rings(spark, sf), 1e6).select("k").distinct().withColumn("wet", F.lit(True))
+    wet = sp.points_in_rings(pts, fx.rings(spark, sf)).select("k").distinct().withColumn("wet", F.lit(True))
     shore = _near_segments(pts, edges, 1e6, 500000).groupBy("k").agg(F.sqrt(F.min("d2")).alias("gap"))
     net = pts.withColumn("net", F.floor(C("k") / 50)).join(wet, "k", "left").join(shore, "k", "left")
     ends = F.min("k").over(Window.partitionBy("net")), F.max("k").over(Window.partitionBy("net"))

@@ -283,7 +283,7 @@ def j7(spark, sf):
     probes = e.select("rid", F.explode(F.array(*[F.struct((F.col("ay") + (F.col("by_") - F.col("ay")) * t).cast("long").alias("y"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).cast("long").alias("x"))
                                                  for t in (0.0, 0.25, 0.5, 0.75)])).alias("p"))
     pts = probes.select(F.struct("rid", "p.y", "p.x").alias("k"), "p.y", "p.x").distinct()
-    inside = sp.points_in_rings(pts, both, 1e6).filter("k.rid <> rid")
+    inside = sp.points_in_rings(pts, both).filter("k.rid <> rid")
     edges = inside.select(F.col("k.rid").alias("a"), F.col("rid").alias("b"), F.col("k.y").alias("y"), F.col("k.x").alias("x"))
     box = sp.ring_boxes(both).withColumnRenamed("rid", "b")
     # points on the border touch but don't overlap: they need some depth inside the other's box

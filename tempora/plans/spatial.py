@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempora.functions import geo as g
+from tempora.operators import edgecells as ec
 from tempora.operators import spatial as sp
 from tempora.operators.rings import resampled
 from tempora.plans import fixtures as fx
@@ -214,13 +215,13 @@ def a8(spark, sf):
 @query("J5_point_in_polygon", with_("pip", "redges") + """, c AS (SELECT p.k, e.rid, count(*) n FROM pip p JOIN redges e ON (e.ay > p.y) <> (e.by_ > p.y) AND p.x < (e.bx-e.ax)*(p.y-e.ay)/(e.by_-e.ay)+e.ax GROUP BY 1, 2)
   SELECT k, rid FROM c WHERE n % 2 = 1""")
 def j5(spark, sf):
-    return sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf), 1e6)
+    return sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf))
 
 
 @query("L15_water_sites", with_("pip", "redges") + """, c AS (SELECT p.k, e.rid, count(*) n FROM pip p JOIN redges e ON (e.ay > p.y) <> (e.by_ > p.y) AND p.x < (e.bx-e.ax)*(p.y-e.ay)/(e.by_-e.ay)+e.ax GROUP BY 1, 2)
   SELECT k, min(rid) AS water FROM c WHERE n % 2 = 1 GROUP BY 1""")
 def l15(spark, sf):
-    return sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf), 1e6).groupBy("k").agg(F.min("rid").alias("water"))
+    return sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf)).groupBy("k").agg(F.min("rid").alias("water"))
 
 
 @query("J6_point_ring_distance", with_("pip", "redges") + """, b AS (SELECT rid, min(ay) y0, max(ay) y1, min(ax) x0, max(ax) x1 FROM redges GROUP BY 1),
@@ -230,11 +231,10 @@ def l15(spark, sf):
   SELECT k, rid, round(min(sqrt((px-u*ex)*(px-u*ex)+(py-u*ey)*(py-u*ey)))/1e7, 8) AS deg FROM t GROUP BY 1, 2""")
 def j6(spark, sf):
     r = fx.rings(spark, sf)
-    near = sp.points_in_boxes(fx.pip(spark, sf), sp.ring_boxes(r), 1e6, margin=500000)
-    d = near.join(sp.ring_edges(r), "rid")
-    px, py, ex, ey = ((F.col(a) - F.col(b)).cast("double") for a, b in (("x", "ax"), ("y", "ay"), ("bx", "ax"), ("by_", "ay")))
-    u = g.clamp((px * ex + py * ey) / (ex * ex + ey * ey), 0.0, 1.0)
-    return d.groupBy("k", "rid").agg(F.round(F.min(F.sqrt((px - u * ex) * (px - u * ex) + (py - u * ey) * (py - u * ey))) / 1e7, 8).alias("deg"))
+    edges = sp.ring_edges(r)
+    steps = ec.ring_steps(edges)
+    near = ec.points_near_boxes(fx.pip(spark, sf), steps, margin=500000)
+    return ec.distances(near, ec.edge_cells(edges), steps).select("k", "rid", F.round(F.col("d") / 1e7, 8).alias("deg"))
 
 
 @query("J8_shared_border_adjacency", with_("rings") + "SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM rings a JOIN rings b ON a.qlat = b.qlat AND a.qlon = b.qlon AND a.rid < b.rid GROUP BY 1, 2 HAVING count(*) >= 2")

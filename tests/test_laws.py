@@ -170,7 +170,7 @@ def test_enclosed_pockets_go_to_a_neighbour_whatever_their_size(spark):
 
 def test_points_in_rings(spark):
     pts = spark.createDataFrame([(1, 500, 501), (2, 1500, 501), (3, 999, 1)], "k long, y long, x long")
-    got = sp.points_in_rings(pts, squares(spark, (7, 0, 0, 1000, 1000)), 300.0)
+    got = sp.points_in_rings(pts, squares(spark, (7, 0, 0, 1000, 1000)))
     assert sorted((r.k, r.rid) for r in got.collect()) == [(1, 7), (3, 7)]
 
 

@@ -36,7 +36,7 @@ def test_runs_outside_end_at_the_shore(spark):
     lake = squares(spark, (1, 0, 0, 1000, 1000))
     pts = spark.createDataFrame([(1, 1, 500, -1000), (1, 2, 500, -500), (1, 3, 500, 500), (1, 4, 500, 2000), (2, 5, 500, 600), (2, 6, 3000, 600), (3, 7, 9, 5000)],
                                 "path long, k long, y long, x long")
-    got = [tuple(r) for r in nw.outside_runs(pts, lake, 500.0, 700.0).orderBy("path", "run", "place").collect()]
+    got = [tuple(r) for r in nw.outside_runs(pts, lake, 700.0).orderBy("path", "run", "place").collect()]
     assert got == [(1, 1, 1, 500, -1000), (1, 1, 2, 500, -500), (1, 1, 3, 500, 0), (1, 3, 1, 500, 1000), (1, 3, 2, 500, 2000),
                    (2, 2, 1, 1000, 600), (2, 2, 2, 3000, 600), (3, 1, 1, 9, 5000)]
 
