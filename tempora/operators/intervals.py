@@ -118,3 +118,24 @@ def absent_spans(presence: DataFrame) -> DataFrame:
     spans = F.array(F.when(F.col("f") > F.col("_lo"), F.struct(F.col("_lo").alias("f"), F.col("f").alias("u"))),
                     F.when(F.col("u") < F.col("_hi"), F.struct(F.col("u").alias("f"), F.col("_hi").alias("u"))))
     return rows.select("who", F.explode(F.filter(spans, lambda x: x.isNotNull())).alias("s")).select("who", "s.f", "s.u")
+
+
+def repaired(rows: DataFrame, key: str, order: str, own: str, bound: str) -> DataFrame:
+    """``rows`` with date_ and driven: a bound date stays (and drives) only where it is later than the date its predecessor ended up with;
+    else, and where there is none, the row's own date stands. The first row of a key keeps its bound date.
+
+    A date depends on the one before only through which of two dates that was. So a row either settles its state whatever came before,
+    or passes the state before on, or turns it round; the state is the last settled one, turned as often as rows since say. That takes
+    sorted windows and no loop, however long a run of repairs is.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.row_number().over(w) == 1
+    own_, bound_ = F.col(own), F.col(bound)
+    after_kept = F.coalesce(bound_ > F.lag(F.coalesce(bound_, own_)).over(w), F.lit(False))  # kept if the row before kept its bound date
+    after_own = F.coalesce(bound_ > F.lag(own_).over(w), F.lit(False))  # kept if it did not
+    told = rows.withColumn("_a", F.when(first, bound_.isNotNull()).otherwise(after_kept)).withColumn("_b", F.when(first, bound_.isNotNull()).otherwise(after_own))
+    told = told.withColumn("_turns", F.sum((~F.col("_a") & F.col("_b")).cast("int")).over(seen) % 2 == 1)
+    told = told.withColumn("_set", F.last(F.when(F.col("_a") == F.col("_b"), F.col("_a") != F.col("_turns")), ignorenulls=True).over(seen))
+    driven = F.col("_set") != F.col("_turns")
+    return told.withColumn("driven", driven).withColumn("date_", F.when(driven, bound_).otherwise(own_)).drop("_a", "_b", "_turns", "_set")

@@ -290,15 +290,20 @@ def j25(spark, sf):
     return rows.filter("lu = t").drop("lu")
 
 
-@query("W28_bound_date_repair", with_("steps") + """, p AS (SELECT e, seq, event_id own, CASE WHEN event_id % 3 = 0 THEN event_id - 500 END bound FROM steps),
-  c AS (SELECT *, lag(coalesce(bound, own)) OVER (PARTITION BY e ORDER BY seq) before_ FROM p)
-  SELECT e, seq, CASE WHEN bound IS NOT NULL AND bound < before_ THEN own ELSE coalesce(bound, own) END AS date_, bound IS NOT NULL AND NOT coalesce(bound < before_, false) AS driven FROM c""")
+@query("W28_bound_date_repair", with_("steps").replace("WITH", "WITH RECURSIVE", 1) + """, p AS (SELECT e, seq, event_id own, CASE WHEN event_id % 4 <> 0 THEN event_id + event_id * 37 % 401 - 200 END bound FROM steps),
+  r AS (SELECT e, seq, coalesce(bound, own) d, bound IS NOT NULL driven FROM p WHERE seq = 1
+    UNION ALL SELECT p.e, p.seq, CASE WHEN p.bound > r.d THEN p.bound ELSE p.own END, coalesce(p.bound > r.d, false) FROM r JOIN p ON p.e = r.e AND p.seq = r.seq + 1),
+  ends AS (SELECT e, max(seq) seq, arg_max(d, seq) d, arg_max(own, seq) own FROM (SELECT r.e, r.seq, d, own FROM r JOIN p ON p.e = r.e AND p.seq = r.seq) GROUP BY e),
+  fall AS (SELECT e, seq + 1 seq, own + 100 own, CASE WHEN e % 2 = 0 THEN own + e % 300 - 150 END bound, d FROM ends)
+  SELECT e, seq, d AS date_, driven, 'phase' AS part FROM r UNION ALL SELECT e, seq, CASE WHEN bound > d THEN bound ELSE own END, coalesce(bound > d, false), 'fall' FROM fall""")
 def w28(spark, sf):
-    w = Window.partitionBy("e").orderBy("seq")
-    p = fx.steps(spark, sf).select("e", "seq", F.col("event_id").alias("own"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") - 500).alias("bound"))
-    p = p.withColumn("before_", F.lag(F.coalesce("bound", "own")).over(w))
-    broken = F.coalesce(F.col("bound") < F.col("before_"), F.lit(False))
-    return p.select("e", "seq", F.when(broken, F.col("own")).otherwise(F.coalesce("bound", "own")).alias("date_"), (F.col("bound").isNotNull() & ~broken).alias("driven"))
+    """Eras whose phases (a user's events) and falls have a date of their own and, some of them, one bound to an authority's event."""
+    i = F.col("event_id")
+    phases = fx.steps(spark, sf).select("e", "seq", i.alias("own"), F.when(i % 4 != 0, i + i * 37 % 401 - 200).alias("bound"))
+    ends = phases.groupBy("e").agg((F.max("seq") + 1).alias("seq"), F.max_by("own", "seq").alias("last"))
+    falls = ends.select("e", "seq", (F.col("last") + 100).alias("own"), F.when(F.col("e") % 2 == 0, F.col("last") + F.col("e") % 300 - 150).alias("bound"))
+    rows = phases.withColumn("part", F.lit("phase")).unionByName(falls.withColumn("part", F.lit("fall")))
+    return iv.repaired(rows, "e", "seq", "own", "bound").select("e", "seq", "date_", "driven", "part")
 
 
 @query("W29_route_construction", with_("steps") + """SELECT e, seq, event_id, 'way' AS part FROM steps UNION ALL

@@ -1,6 +1,7 @@
 """Properties that hold on any input, and seeded bad rows that the laws must find."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,20 @@ def test_bad_histories_and_references_are_found(spark):
     assert [r.f for r in missing(rows.filter("e = 'a'"), "f", known, "id").collect()] == [4]
 
 
+def test_bound_dates_are_repaired_in_order(spark):
+    """Against the plain fold: runs of repairs, equal dates, rows without a bound date, long keys."""
+    rng = random.Random(6)
+    rows = [(e, k, 10 * k + rng.randint(-15, 15), rng.choice([None, 10 * k + rng.randint(-40, 40)])) for e in range(40) for k in range(rng.choice([1, 2, 7, 60]))]
+    want, before = {}, {}
+    for e, k, own, bound in rows:
+        keeps = bound is not None and (e not in before or bound > before[e])
+        before[e] = bound if keeps else own
+        want[e, k] = (before[e], keeps)
+    df = spark.createDataFrame(rows, "e long, k long, own long, bound long").repartition(5)
+    got = {(r.e, r.k): (r.date_, r.driven) for r in iv.repaired(df, "e", "k", "own", "bound").collect()}
+    assert got == want and sum(b is not None and not want[e, k][1] for e, k, _, b in rows) > 50
+
+
 def test_years_have_no_zero(spark):
     rows = spark.createDataFrame([("-1450-01-14",), ("-1",), ("0",), ("12-13",), ("x",), ("7-02",)], "s string")
     assert [r[0] for r in rows.select(ta.parsed_key(F.col("s"))).collect()] == [-14499886, -10000, None, None, None, 70200]
