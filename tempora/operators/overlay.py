@@ -75,7 +75,7 @@ def face_table(traced: DataFrame) -> DataFrame:
         (F.sum(h("ox") * h("dy") - h("dx") * h("oy")) / 2).alias("area"), F.count("*").alias("n"), F.max(point).alias("p")).select("face", "area", "n", "p.y", "p.x")
 
 
-def innermost(points: DataFrame, traced: DataFrame, size: float) -> DataFrame:
+def innermost(points: DataFrame, traced: DataFrame) -> DataFrame:
     """(k, face): the least bounded cycle around each point (k, y, x), which is the outer boundary of the face that holds it."""
     area = face_table(traced).filter("area > 0").select(F.col("face").alias("rid"), "area")
     edges = traced.select(F.col("cycle").alias("rid"), F.col("h.oy").alias("ay"), F.col("h.ox").alias("ax"), F.col("h.dy").alias("by_"), F.col("h.dx").alias("bx")).join(area, "rid")
@@ -83,11 +83,11 @@ def innermost(points: DataFrame, traced: DataFrame, size: float) -> DataFrame:
     return around.join(area, "rid").groupBy("k").agg(F.min(F.struct("area", "rid")).alias("m")).select("k", F.col("m.rid").alias("face"))
 
 
-def located(traced: DataFrame, size: float) -> DataFrame:
+def located(traced: DataFrame) -> DataFrame:
     """(h, cycle) with the face of each half edge in place of its cycle: a bounded cycle names its face, the outer boundary of an
     enclosed part belongs to the face around it, and null is the outside."""
     cycles_ = face_table(traced)
-    holes = innermost(cycles_.filter("area <= 0").select(F.col("face").alias("k"), "y", "x"), traced, size)
+    holes = innermost(cycles_.filter("area <= 0").select(F.col("face").alias("k"), "y", "x"), traced)
     own = cycles_.filter("area > 0").select(F.col("face").alias("k"), "face").union(holes.select("k", "face"))
     return traced.withColumnRenamed("cycle", "k").join(own, "k", "left").select("h", F.col("face").alias("cycle"))
 
@@ -99,19 +99,24 @@ def bounded_faces(sides: DataFrame, traced: DataFrame) -> DataFrame:
     return area.join(face_table(traced).filter("area > 0").select("face", "y", "x"), "face")
 
 
-def claims(faces: DataFrame, rings: DataFrame, size: float) -> DataFrame:
+def claims(faces: DataFrame, rings: DataFrame) -> DataFrame:
     """(face, rid): the rings that hold each bounded face."""
     pts = faces.filter("area > 0").select(F.col("face").alias("k"), "y", "x")
     return sp.points_in_rings(pts, rings).withColumnRenamed("k", "face")
 
 
-def owned(claimed: DataFrame, rings: DataFrame, witnesses: DataFrame | None = None) -> DataFrame:
-    """(face, rid): the claim that names each face: lowest rank first, then the deepest in its chain of parents, the least ring, the least id.
+def ring_sizes(rings: DataFrame) -> DataFrame:
+    """rid, size: planar areas."""
+    return sp.ring_edges(rings).groupBy("rid").agg((F.abs(F.sum(F.col("ax").cast("double") * F.col("by_") - F.col("bx").cast("double") * F.col("ay"))) / 2).alias("size"))
+
+
+def owned(claimed: DataFrame, sizes: DataFrame, witnesses: DataFrame | None = None) -> DataFrame:
+    """(face, rid): the claim that names each face: lowest rank first, then the deepest in its chain of parents, the least ring (by
+    ``sizes``: rid, size), the least id.
 
     ``witnesses`` (rid, rank, parent) may leave rings out (rank 0, no parent). A claim counts only where its parent's counts.
     """
-    size = sp.ring_edges(rings).groupBy("rid").agg((F.abs(F.sum(F.col("ax").cast("double") * F.col("by_") - F.col("bx").cast("double") * F.col("ay"))) / 2).alias("size"))
-    told = claimed.select("face", "rid").join(size, "rid")
+    told = claimed.select("face", "rid").join(sizes.select("rid", "size"), "rid")
     if witnesses is None:
         told = told.withColumn("rank", F.lit(0)).withColumn("depth", F.lit(0))
     else:
@@ -135,9 +140,9 @@ def _deep(witnesses: DataFrame) -> DataFrame:
     return done
 
 
-def seeded(owner: DataFrame, seeds: DataFrame, traced: DataFrame, size: float) -> DataFrame:
+def seeded(owner: DataFrame, seeds: DataFrame, traced: DataFrame) -> DataFrame:
     """Owners after each seed (rid, y, x) claimed the face that holds it; of several seeds in a face the greatest rid has it."""
-    at = innermost(seeds.select(F.col("rid").alias("k"), "y", "x"), traced, size).groupBy("face").agg(F.max("k").alias("seed"))
+    at = innermost(seeds.select(F.col("rid").alias("k"), "y", "x"), traced).groupBy("face").agg(F.max("k").alias("seed"))
     return owner.join(at, "face", "full").select("face", F.coalesce("seed", "rid").alias("rid"))
 
 
@@ -152,7 +157,7 @@ def _edge_sides(sides: DataFrame, owner: DataFrame) -> DataFrame:
 KEY = ["uy", "ux", "vy", "vx"]
 
 
-def healed(edges: DataFrame, rings: DataFrame, size: float, least_area: float = 0.0, witnesses: DataFrame | None = None):
+def healed(edges: DataFrame, rings: DataFrame, least_area: float = 0.0, witnesses: DataFrame | None = None):
     """(edges, sides, faces, owner) without edges that have one face, or no claimed face, on both sides; until none is left.
 
     Edges inside one face fall first; then small faces and enclosed pockets go to neighbours, and edges that bound nothing claimed fall.
@@ -167,26 +172,46 @@ def healed(edges: DataFrame, rings: DataFrame, size: float, least_area: float =
         if not inner.isEmpty():
             edges = materialize(edges.join(inner, KEY, "left_anti"), "edges")
             continue
-        sides = materialize(located(traced, size), "sides")
+        sides = materialize(located(traced), "sides")
         faces = materialize(bounded_faces(sides, traced), "faces")
-        owner = materialize(absorbed(owned(claims(faces, rings, size), rings, witnesses), faces, sides, least_area), "owner")
+        owner = materialize(absorbed(owned(claims(faces, rings), ring_sizes(rings), witnesses), faces, sides, least_area), "owner")
         loose = materialize(edges.select(*KEY).join(_edge_sides(sides, owner).filter("lo IS NULL AND ro IS NULL"), KEY, "left_semi"), "loose")
         if loose.isEmpty():
             return edges, sides, faces, owner
         edges = materialize(edges.join(loose, KEY, "left_anti"), "edges")
 
 
+def settled(owner: DataFrame, picks: DataFrame) -> DataFrame:
+    """Owners (face, rid) after each face of ``picks`` (face, other), in order of their names, took the owner that ``other`` had by then.
+
+    A face that picks an earlier one of the picks gets what that one got, so faces point to earlier faces and chains of them are
+    followed by doubling, in as many rounds as the logarithm of the longest; a pick that comes later still has its owner of before.
+    """
+    told = picks.join(picks.select(F.col("face").alias("other"), F.lit(True).alias("goes")), "other", "left").select(
+        "face", "other", F.when(F.col("goes") & (F.col("other") < F.col("face")), F.col("other")).otherwise(F.col("face")).alias("root"))
+    told = materialize(told, "picks")
+    state = told.select("face", "root")
+    while True:
+        up = state.select(F.col("face").alias("root"), F.col("root").alias("next"))
+        new = materialize(state.join(up, "root").select("face", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "picks")
+        state = new.select("face", "root")
+        if new.filter("moved").isEmpty():
+            break
+    end = state.join(told.select(F.col("face").alias("root"), "other"), "root").select("face", "other")
+    to = end.join(owner.select(F.col("face").alias("other"), F.col("rid").alias("to")), "other", "left").select("face", "to", F.lit(True).alias("goes"))
+    return owner.join(to, "face", "full").select("face", F.when(F.col("goes"), F.col("to")).otherwise(F.col("rid")).alias("rid")).filter("rid IS NOT NULL")
+
+
 def absorbed(owner: DataFrame, faces: DataFrame, sides: DataFrame, least_area: float) -> DataFrame:
-    """Owners after each bounded face below ``least_area``, and each unclaimed one of any size, went to the owner of the neighbour with
-    which it shares the longest boundary; where that is nobody's, so is the face."""
+    """Owners after each bounded face below ``least_area``, and each unclaimed one of any size, in order of their names, took the owner
+    that the neighbour with which it shares the longest boundary had by then; where that is nobody's, so is the face."""
     h = lambda c: F.col(f"h.{c}").cast("double")
     small = faces.filter("area > 0").join(owner, "face", "left").filter((F.col("area") < least_area) | F.col("rid").isNull()).select("face")
     here = sides.select("h", F.col("cycle").alias("face"), F.hypot(h("dy") - h("oy"), h("dx") - h("ox")).alias("len")).join(small, "face")
     twin = sides.select(F.struct(F.col("h.dy").alias("oy"), F.col("h.dx").alias("ox"), F.col("h.oy").alias("dy"), F.col("h.ox").alias("dx")).alias("h"), F.col("cycle").alias("other"))
     shared = here.join(twin, "h").filter(~F.col("face").eqNullSafe(F.col("other"))).groupBy("face", "other").agg(F.sum("len").alias("len"))
-    to = shared.join(owner.select(F.col("face").alias("other"), F.col("rid").alias("to")), "other", "left")
-    to = to.groupBy("face").agg(F.min(F.struct((-F.col("len")).alias("len"), "other", "to")).alias("m")).select("face", "m.to", F.lit(True).alias("goes"))
-    return owner.join(to, "face", "full").select("face", F.when(F.col("goes"), F.col("to")).otherwise(F.col("rid")).alias("rid")).filter("rid IS NOT NULL")
+    picks = shared.groupBy("face").agg(F.min(F.struct((-F.col("len")).alias("len"), "other"))["other"].alias("other"))
+    return settled(owner, picks)
 
 
 def dissolved(owner: DataFrame, traced: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tempora.functions.sets import set_text
 from tempora.operators import overlay as ov
 from tempora.operators import rings as rg
 from tempora.operators import spatial as sp
+from tempora.operators import sphere_overlay as so
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
@@ -215,9 +216,9 @@ def overlaid(spark, sf):
     segments, rings = two_layers(spark, sf)
     edges = materialize(ov.split_at_nodes(segments, 1e6, 1e5), "edges")
     traced = materialize(ov.cycles(ov.half_edges(edges)), "traced")
-    sides = materialize(ov.located(traced, 1e6), "sides")
+    sides = materialize(ov.located(traced), "sides")
     faces = materialize(ov.bounded_faces(sides, traced), "faces")
-    return edges, traced, sides, faces, materialize(ov.owned(ov.claims(faces, rings, 1e6), rings), "owner")
+    return edges, traced, sides, faces, materialize(ov.owned(ov.claims(faces, rings), ov.ring_sizes(rings)), "owner")
 
 
 def _named(face):
@@ -240,7 +241,7 @@ def g5(spark, sf):
 def g6(spark, sf):
     segments, rings = two_layers(spark, sf)
     edges = materialize(ov.split_at_nodes(segments, 1e6, 1e5), "edges")
-    return ov.healed(edges, rings, 1e6)[0].select("uy", "ux", "vy", "vx")
+    return ov.healed(edges, rings)[0].select("uy", "ux", "vy", "vx")
 
 
 @query("G7_sliver_absorption")
@@ -255,6 +256,35 @@ def g8(spark, sf):
     return ov.dissolved(owner, sides).select("rid", _named("h").alias("half"))
 
 
+TAU = 1e-7  # two thirds of a metre: vertices of the two layers that close are one
+
+
+def overlaid_on_sphere(spark, sf, least_area: float = 0.0):
+    _, rings = two_layers(spark, sf)
+    arcs = so.ring_arcs(rings.select("rid", "seq", (F.col("qlat") / 1e7).alias("lat"), (F.col("qlon") / 1e7).alias("lon")))
+    return so.overlaid(arcs, TAU, TAU, least_area)
+
+
+def _place(v):
+    return F.concat_ws(":", F.round(F.degrees(F.asin(f"{v}.z")), 6), F.round(F.degrees(F.atan2(f"{v}.y", f"{v}.x")), 6))
+
+
+@query("G5_overlay_on_sphere")
+def g5_sphere(spark, sf):
+    """The two layers' faces on the sphere, the outside among them, with their owners; slivers went to neighbours, loose edges fell."""
+    _, _, faces, owner = overlaid_on_sphere(spark, sf, 1e-9)
+    return faces.join(owner, "face", "left").select(F.concat_ws(" ", _place("face.o"), _place("face.d")).alias("face"), F.round("area", 12).alias("area"), "n", "cycles", "rid")
+
+
+@query("L11_sphere_residual")
+def l11_sphere(spark, sf):
+    """What faces leave of the whole sphere, edges that one face has on both sides, and half edges without a twin."""
+    _, sides, faces, _ = overlaid_on_sphere(spark, sf)
+    twin = sides.select(F.struct(F.col("h.d").alias("o"), F.col("h.o").alias("d")).alias("h"), F.col("face").alias("other"))
+    both = sides.join(twin, "h", "left").agg(F.count_if(F.col("face") == F.col("other")).alias("bridges"), F.count_if(F.col("other").isNull()).alias("twinless"))
+    return faces.agg(F.round(4 * F.pi() - F.sum("area"), 9).alias("residual")).join(F.broadcast(both))  # one row each
+
+
 @query("L11_topology", with_("redges") + """SELECT 'background edges' AS law, count(*)::DOUBLE AS amount FROM redges a WHERE NOT EXISTS (SELECT 1 FROM redges b WHERE b.ay = a.by_ AND b.ax = a.bx AND b.by_ = a.ay AND b.bx = a.ax)""")
 def l11(spark, sf):
     """Laws that hold tell nothing: faces and outer boundaries of the overlay have equal areas, no edge is a point, every half edge

@@ -109,7 +109,7 @@ def overlay(spark, rings, size=500.0):
     edges = ov.split_at_nodes(s, size)
     traced = ov.cycles(ov.half_edges(edges))
     faces = ov.face_table(traced)
-    return edges, traced, faces, ov.claims(faces, rings, size)
+    return edges, traced, faces, ov.claims(faces, rings)
 
 
 def test_overlay_of_two_squares(spark):
@@ -145,9 +145,9 @@ def nested(spark, *boxes):
 def test_enclosed_parts_belong_to_the_face_around_them(spark):
     rings, edges = nested(spark, (1, 0, 0, 1000, 1000), (2, 200, 200, 400, 400), (3, 600, 600, 700, 700), (4, 2000, 0, 2100, 100))
     traced = ov.cycles(ov.half_edges(edges))
-    sides = ov.located(traced, 500.0)
+    sides = ov.located(traced)
     faces = ov.bounded_faces(sides, traced)
-    owner = {r.rid: (r.area, r.n) for r in ov.owned(ov.claims(faces, rings, 500.0), rings).join(faces, "face").collect()}
+    owner = {r.rid: (r.area, r.n) for r in ov.owned(ov.claims(faces, rings), ov.ring_sizes(rings)).join(faces, "face").collect()}
     assert owner == {1: (1000000 - 40000 - 10000, 12), 2: (40000, 4), 3: (10000, 4), 4: (10000, 4)}  # the least ring names a face
     assert sides.filter("cycle IS NULL").count() == 8  # outlines of 1 and 4
 
@@ -155,14 +155,14 @@ def test_enclosed_parts_belong_to_the_face_around_them(spark):
 def test_claims_count_under_their_parents_and_seeds_claim_faces(spark):
     rings, edges = nested(spark, (1, 0, 0, 1000, 1000), (2, 0, 500, 1000, 2000))
     traced = ov.cycles(ov.half_edges(edges))
-    faces = ov.bounded_faces(ov.located(traced, 500.0), traced)
-    claims = ov.claims(faces, rings, 500.0)
+    faces = ov.bounded_faces(ov.located(traced), traced)
+    claims = ov.claims(faces, rings)
     child = spark.createDataFrame([(2, 0, 1), (1, 0, None)], "rid long, rank int, parent long")
-    assert sorted((r.rid, r.area) for r in ov.owned(claims, rings, child).join(faces, "face").collect()) == [(1, 500000), (2, 500000)]
+    assert sorted((r.rid, r.area) for r in ov.owned(claims, ov.ring_sizes(rings), child).join(faces, "face").collect()) == [(1, 500000), (2, 500000)]
     water = spark.createDataFrame([(1, 1, None)], "rid long, rank int, parent long")
-    assert sorted((r.rid, r.area) for r in ov.owned(claims, rings, water).join(faces, "face").collect()) == [(1, 500000), (2, 500000), (2, 1000000)]
+    assert sorted((r.rid, r.area) for r in ov.owned(claims, ov.ring_sizes(rings), water).join(faces, "face").collect()) == [(1, 500000), (2, 500000), (2, 1000000)]
     seeds = spark.createDataFrame([(9, 500.0, 1500.0)], "rid long, y double, x double")
-    assert sorted(r.rid for r in ov.seeded(ov.owned(claims, rings, child), seeds, traced, 500.0).collect()) == [1, 2, 9]
+    assert sorted(r.rid for r in ov.seeded(ov.owned(claims, ov.ring_sizes(rings), child), seeds, traced).collect()) == [1, 2, 9]
 
 
 def test_healing_goes_on_to_a_fixpoint(spark):
@@ -170,7 +170,7 @@ def test_healing_goes_on_to_a_fixpoint(spark):
     line = [(1000, 1000, 1400, 1400), (1400, 1400, 1500, 1500)]  # an antenna of two edges
     loop = [(3000, 2000, 3000, 2100), (3000, 2100, 3100, 2100), (3000, 2000, 3100, 2100)]  # bounds nothing claimed
     more = spark.createDataFrame([(*e, [7]) for e in line + loop], "uy long, ux long, vy long, vx long, witnesses array<long>")
-    healed, _, faces, owner = ov.healed(edges.select(*more.columns).union(more), rings, 500.0)
+    healed, _, faces, owner = ov.healed(edges.select(*more.columns).union(more), rings)
     assert healed.select(*ov.KEY).exceptAll(edges.select(*ov.KEY)).isEmpty() and healed.count() == edges.count()
     assert sorted(r.area for r in faces.collect()) == [10000, 1000000] and sorted(r.rid for r in owner.collect()) == [1, 2]
 
@@ -178,7 +178,7 @@ def test_healing_goes_on_to_a_fixpoint(spark):
 def test_enclosed_pockets_go_to_a_neighbour_whatever_their_size(spark):
     frame = [(1, 0, 0, 1000, 3000), (2, 2000, 0, 3000, 3000), (3, 1000, 0, 2000, 1000), (4, 1000, 2500, 2000, 3000)]
     rings, edges = nested(spark, *frame)
-    kept, sides, faces, owner = ov.healed(edges, rings, 500.0)
+    kept, sides, faces, owner = ov.healed(edges, rings)
     pocket = faces.filter("area = 1500000").join(owner, "face")
     assert [r.rid for r in pocket.collect()] in ([1], [2]) and kept.count() == edges.count()
 
