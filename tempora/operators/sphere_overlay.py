@@ -53,23 +53,24 @@ def ring_arcs(rings: DataFrame) -> DataFrame:
     return v.select("rid", "a", nxt.alias("b")).filter("a <> b")
 
 
+def _packed(x: Column, y: Column, z: Column) -> Column:
+    """One number of a cell's three; each has 21 bits."""
+    return ((x + (1 << 20)) * (1 << 42) + (y + (1 << 20)) * (1 << 21) + z + (1 << 20)).cast("long")
+
+
 def _cell(v: Column, size: float) -> Column:
-    return F.struct(*[sp.cell(v[c], size).alias(c) for c in "xyz"])
+    return _packed(*[sp.cell(v[c], size) for c in "xyz"])
 
 
-def _along(arcs: DataFrame, size: float) -> DataFrame:
-    """Arcs with the cells of points at most half a cell apart on them (a point beside an arc is in one of these or next to one)."""
-    steps = F.greatest(F.lit(1), F.ceil(g.angle(C("a"), C("b")) / (size / 2)).cast("int"))
+def _along(arcs: DataFrame, size: float, tau: float) -> DataFrame:
+    """Arcs with each cell that they pass or pass by within ``tau``: those around points a quarter of a cell apart on them."""
+    reach = size / 8 + tau + 1e-12
+    steps = F.greatest(F.lit(1), F.ceil(g.angle(C("a"), C("b")) / (size / 4)).cast("int"))
     points = F.transform(F.sequence(F.lit(0), C("_steps")), lambda i: g.slerp(C("a"), C("b"), i / C("_steps")))
+    every = lambda v, c: sp.cells_of(v[c] - reach, v[c] + reach, size)
+    cells = lambda v: F.flatten(F.transform(every(v, "x"), lambda x: F.flatten(F.transform(every(v, "y"), lambda y: F.transform(every(v, "z"), lambda z: _packed(x, y, z))))))
     arcs = _held(_held(arcs, _steps=steps), _points=points)
-    arcs = _held(arcs, _cells=F.transform("_points", lambda v: _cell(v, size)))
-    new = F.filter(C("_cells"), lambda c, i: (i == 0) | (c != F.get("_cells", i - 1)))
-    return arcs.withColumn("cell", F.explode(new)).drop("_steps", "_points", "_cells")
-
-
-def _around(rows: DataFrame) -> DataFrame:
-    near = F.array(*[F.struct((C("cell.x") + i).alias("x"), (C("cell.y") + j).alias("y"), (C("cell.z") + k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    return rows.withColumn("cell", F.explode(near))
+    return arcs.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform("_points", cells))))).drop("_steps", "_points")
 
 
 def _meetings(pairs: DataFrame, tau: float) -> DataFrame:
@@ -95,9 +96,10 @@ def noded(arcs: DataFrame, tau_vertex: float, tau_edge: float) -> DataFrame:
 
 def _noded_once(arcs: DataFrame, tau_vertex: float, tau_edge: float) -> DataFrame:
     lines = materialize(arcs.groupBy("a", "b").agg(F.first(g.angle(C("a"), C("b"))).alias("w")).withColumn("n", g.unit(g.cross(C("a"), C("b")))), "lines")
-    size = max(2 * (lines.agg(F.avg("w")).first()[0] or 0.0), 4 * tau_vertex, 4 * tau_edge, 1e-7)
-    own = _along(lines, size)
-    other = _around(own).select("cell", C("a").alias("c"), C("b").alias("d"), C("n").alias("m"))
+    tau = max(tau_vertex, tau_edge)
+    size = max(lines.agg(F.avg("w")).first()[0] or 0.0, 8 * tau, 2e-6)
+    own = _along(lines, size, tau)
+    other = own.select("cell", C("a").alias("c"), C("b").alias("d"), C("n").alias("m"))
     pairs = own.select("cell", "a", "b", "n").join(other, "cell").filter(F.struct("a", "b") < F.struct("c", "d"))
     meets = _meetings(pairs, tau_vertex)
     places = materialize(lines.select(C("a").alias("v")).union(lines.select("b")).union(meets).distinct(), "places")
@@ -111,7 +113,7 @@ def _noded_once(arcs: DataFrame, tau_vertex: float, tau_edge: float) -> DataFram
     ends = lines.join(place.select(C("v").alias("a"), C("rep").alias("ra")), "a").join(place.select(C("v").alias("b"), C("rep").alias("rb")), "b").filter("ra <> rb")
     reps = place.select("rep").distinct().withColumn("cell", _cell(C("rep"), size))
     foot = g.unit(g.plus(C("rep"), g.scale(C("n"), -g.dot(C("rep"), C("n")))))
-    beside = _around(_along(ends, size)).join(reps, "cell").filter("rep <> ra AND rep <> rb")
+    beside = _along(ends, size, tau).join(reps, "cell").filter("rep <> ra AND rep <> rb")
     beside = _held(beside.filter(F.abs(F.asin(g.clamp(g.dot(C("rep"), C("n"))))) <= tau_edge), f=foot)
     sa, sb = g.angle(C("a"), C("f")), g.angle(C("f"), C("b"))
     beside = beside.filter((F.abs(sa + sb - C("w")) <= tau_edge) & (sa > tau_vertex / 2) & (sb > tau_vertex / 2)).select("a", "b", "rep", sa.alias("at")).distinct()
