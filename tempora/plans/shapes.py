@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempora.functions.sets import set_text
+from tempora.operators import contours as ct
 from tempora.operators import overlay as ov
 from tempora.operators import rings as rg
 from tempora.operators import spatial as sp
@@ -204,6 +205,27 @@ def contour_cells(grid, level: float):
                     F.when(code.isin(5, 10), 2).when(code.isin(0, 15), 0).otherwise(1).alias("segments")).filter("code NOT IN (0, 15)")
 
 
+# which sides a cell's segments join, by its case and whether a saddle's middle is high (sides: 0 lower, 1 right, 2 upper, 3 left)
+CASES = """(1,3,0),(2,0,1),(3,3,1),(4,1,2),(6,0,2),(7,3,2),(8,2,3),(9,2,0),(11,2,1),(12,1,3),(13,1,0),(14,0,3),(5,3,0),(5,1,2),(21,3,2),(21,1,0),(10,2,3),(10,0,1),(26,2,1),(26,0,3)"""
+
+
+@query("F14_contour_segments", with_("grid") + f""", k AS (SELECT i - a ci, j - b cj, a, b, v::DOUBLE v FROM grid, (VALUES (0,0),(0,1),(1,0),(1,1)) o(a, b)),
+  q AS (SELECT ci i, cj j, coalesce(max(v) FILTER (a=0 AND b=0), -30000) sw, coalesce(max(v) FILTER (a=0 AND b=1), -30000) se, coalesce(max(v) FILTER (a=1 AND b=1), -30000) ne, coalesce(max(v) FILTER (a=1 AND b=0), -30000) nw FROM k GROUP BY 1, 2),
+  c AS (SELECT *, (sw>=500)::INT + 2*(se>=500)::INT + 4*(ne>=500)::INT + 8*(nw>=500)::INT code, (sw+se+ne+nw)/4 >= 500 high FROM q),
+  s AS (SELECT c.*, x.f, x.t FROM c JOIN (VALUES {CASES}) x(code, f, t) ON x.code = c.code + CASE WHEN c.code IN (5, 10) AND high THEN 16 ELSE 0 END)
+  SELECT i + (f=2)::INT AS i, j + (f=1)::INT AS j, f % 2 = 0 AS lying, i + (t=2)::INT AS to_i, j + (t=1)::INT AS to_j, t % 2 = 0 AS to_lying,
+    round(CASE f WHEN 1 THEN i + (500-se)/(ne-se) WHEN 3 THEN i + (500-sw)/(nw-sw) ELSE i + (f=2)::INT END, 6) AS y, round(CASE f WHEN 0 THEN j + (500-sw)/(se-sw) WHEN 2 THEN j + (500-nw)/(ne-nw) ELSE j + (f=1)::INT END, 6) AS x FROM s""")
+def f14_segments(spark, sf):
+    s = ct.contour_segments(fx.grid(spark, sf), 500.0)
+    return s.select("h.i", "h.j", F.col("h.level_side").alias("lying"), F.col("nxt.i").alias("to_i"), F.col("nxt.j").alias("to_j"), F.col("nxt.level_side").alias("to_lying"), F.round("y", 6).alias("y"), F.round("x", 6).alias("x"))
+
+
+@query("F14_contour_rings")
+def f14_rings(spark, sf):
+    r = ct.contour_rings(fx.grid(spark, sf), 500.0)
+    return r.select(F.concat_ws(":", "ring.i", "ring.j", "ring.level_side").alias("ring"), "place", F.round("y", 6).alias("y"), F.round("x", 6).alias("x"))
+
+
 def two_layers(spark, sf):
     """Segments and rings of the cells and of the same cells moved by half a cell, ids below and above zero."""
     r = fx.rings(spark, sf)
