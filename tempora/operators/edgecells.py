@@ -131,10 +131,10 @@ def _placed(points: DataFrame, levels: list[int]) -> DataFrame:
     return at.withColumn("cy", _down(C("y"), C("level"))).withColumn("cx", _down(C("x"), C("level")))
 
 
-def points_in_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """(k, rid): the outlines that hold each point (k, y, x), by their cells."""
+def points_in_cells(points: DataFrame, cells: DataFrame, shared: tuple[str, ...] = ()) -> DataFrame:
+    """(k, rid): the outlines that hold each point (k, y, x), by their cells, of those that agree in the ``shared`` columns of both."""
     levels = [r.level for r in cells.select("level").distinct().collect()]  # about 40 at most
-    hit = _placed(points.select("k", "y", "x"), levels).join(cells, ["level", "cy", "cx"])
+    hit = _placed(points.select("k", "y", "x", *shared), levels).join(cells, [*shared, "level", "cy", "cx"])
     odd = _odd(C("edges"), _at(C("cy"), C("level")), _at(C("cx"), C("level")), C("y"), C("x"))
     return hit.filter(F.when(C("edges").isNull(), C("par")).otherwise(C("par") != odd)).select("k", "rid")
 

@@ -83,6 +83,17 @@ def _meetings(pairs: DataFrame, tau: float) -> DataFrame:
     return pairs.filter(F.least(*[g.angle(C(e), C("v")) for e in "abcd"]) > tau).select("v")
 
 
+def arcs_beside(points: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
+    """(k, arc): points (k, v) and arcs (arc, a, b) at most ``radius`` apart. Arcs enter the cells that they pass by, points their own."""
+    arcs = arcs.withColumn("w", g.angle(C("a"), C("b")))
+    size = max(arcs.agg(F.avg("w")).first()[0] or 0.0, 8 * radius, 2e-6)
+    met = _along(arcs, size, radius).join(points.select("k", "v", _cell(C("v"), size).alias("cell")), "cell")
+    met = _held(_held(met, n=g.cross(C("a"), C("b"))), n=g.unit(C("n")))
+    over = (g.dot(g.cross(C("n"), C("a")), C("v")) >= 0) & (g.dot(g.cross(C("b"), C("n")), C("v")) >= 0)
+    ends = F.least(g.angle(C("v"), C("a")), g.angle(C("v"), C("b")))
+    return met.filter(F.when(over, F.abs(F.asin(g.clamp(g.dot(C("v"), C("n")))))).otherwise(ends) <= radius).select("k", "arc")
+
+
 def noded(arcs: DataFrame, tau_vertex: float, tau_edge: float) -> DataFrame:
     """(u, v, rid, n): edges of the arrangement with their witnesses; n is 1 where the ring bounds something there, 0 where it runs to and fro."""
     arcs = materialize(arcs.select("rid", "a", "b", F.lit(1).alias("n")), "arcs")

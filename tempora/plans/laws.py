@@ -10,6 +10,7 @@ from tempora.operators import intervals as iv
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
+from tempora.plans.shapes import DEPTH, OVERLAPS, standing_rings, territories_overlap, two_layers
 from tempora.sources.tables import table
 
 C = F.col
@@ -68,14 +69,16 @@ def l6(spark, sf):
     return missing(refs, "ref", table(spark, sf, "part"), "p_partkey").select("k", "ref").distinct()
 
 
-@query("L7_store_closure", """SELECT 'snapshot' AS law, l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL
-  SELECT 'feature', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -900) UNION ALL SELECT 'backward', l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate""")
+@query("L7_store_closure", with_("standings", "rings") + OVERLAPS + """SELECT 'snapshot' AS law, l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL
+  SELECT 'feature', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -900) UNION ALL SELECT 'backward', l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate
+  UNION ALL SELECT 'overlap', a FROM clashes""")
 def l7(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     a = missing(li, "l_orderkey", o, "o_orderkey").select(F.lit("snapshot").alias("law"), C("l_orderkey").alias("k"))
     b = missing(o, "o_custkey", table(spark, sf, "customer").filter("c_acctbal > -900"), "c_custkey").select(F.lit("feature"), C("o_orderkey"))
     c = li.join(o, C("l_orderkey") == C("o_orderkey")).filter("l_shipdate < o_orderdate").select(F.lit("backward"), C("l_orderkey"))
-    return a.union(b).union(c)
+    d = territories_overlap(standing_rings(spark, sf), two_layers(spark, sf)[1], DEPTH).select(F.lit("overlap"), "a")
+    return a.union(b).union(c).union(d)
 
 
 @query("L8_frame_edge", with_("standings") + "SELECT e FROM standings WHERE u = (SELECT max(u) FROM standings) AND e NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tempora.functions import geo as g
 from tempora.functions.sets import set_text
 from tempora.operators import contours as ct
+from tempora.operators import edgecells as ec
 from tempora.operators import overlay as ov
 from tempora.operators import rings as rg
 from tempora.operators import spatial as sp
@@ -327,20 +331,52 @@ def twinless(half):
     return half.join(half.select(F.col("dy").alias("oy"), F.col("dx").alias("ox"), F.col("oy").alias("dy"), F.col("ox").alias("dx")), ["oy", "ox", "dy", "dx"], "left_anti")
 
 
-@query("J7_overlap_self_join")
+DEPTH = 0.002  # degrees: overlaps that are nowhere deeper are slips of tracing
+
+OVERLAPS = f""", lay AS (SELECT rid, oy y0, oy+2000000 y1, ox x0, ox+200000 x1 FROM cellsof UNION ALL SELECT -rid-1, oy+500000, oy+2500000, ox+50000, ox+250000 FROM cellsof),
+  feat AS (SELECT layer, rid, f, u FROM standings JOIN lay ON e = CASE WHEN rid < 0 THEN -rid-1 ELSE rid END),
+  probe AS (SELECT rid, y0 + a*250000 y, x0 + b*25000 x FROM lay, (SELECT unnest(range(0, 9)) a), (SELECT unnest(range(0, 9)) b) WHERE a IN (0, 8) OR b IN (0, 8)),
+  near AS (SELECT p.rid prid, l.rid lrid FROM probe p JOIN lay l ON p.rid <> l.rid AND y > y0 AND y < y1 AND x > x0 AND x < x1
+    AND least(y-y0, y1-y)/1e7 > {DEPTH} AND degrees(asin(sin(radians(least(x-x0, x1-x)/1e7))*cos(radians(y/1e7)))) > {DEPTH}),
+  pairs AS (SELECT DISTINCT least(prid, lrid) a, greatest(prid, lrid) b FROM near),
+  clashes AS (SELECT p.layer, a, b, greatest(p.f, q.f) f, least(p.u, q.u) u FROM pairs JOIN feat p ON p.rid = a JOIN feat q ON q.rid = b AND q.layer = p.layer AND p.f < q.u AND q.f < p.u) """
+
+
+@query("J7_overlap_self_join", with_("standings", "rings") + OVERLAPS + "SELECT layer, a, b, f, u FROM clashes")
 def j7(spark, sf):
-    """Pairs of rings of the two layers that share an interior: a vertex or edge point of one inside the other."""
-    _, both = two_layers(spark, sf)
-    e = sp.ring_edges(both)
-    probes = e.select("rid", F.explode(F.array(*[F.struct((F.col("ay") + (F.col("by_") - F.col("ay")) * t).cast("long").alias("y"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).cast("long").alias("x"))
-                                                 for t in (0.0, 0.25, 0.5, 0.75)])).alias("p"))
-    pts = probes.select(F.struct("rid", "p.y", "p.x").alias("k"), "p.y", "p.x").distinct()
-    inside = sp.points_in_rings(pts, both).filter("k.rid <> rid")
-    edges = inside.select(F.col("k.rid").alias("a"), F.col("rid").alias("b"), F.col("k.y").alias("y"), F.col("k.x").alias("x"))
-    box = sp.ring_boxes(both).withColumnRenamed("rid", "b")
-    # points on the border touch but don't overlap: they need some depth inside the other's box
-    deep = edges.join(box, "b").filter("y > y0 + 1000 AND y < y1 - 1000 AND x > x0 + 1000 AND x < x1 - 1000")
-    return deep.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Territories of one layer that overlap deeply while both stand: a customer's ring and its twin half a cell off, in the customer's months."""
+    return territories_overlap(standing_rings(spark, sf), two_layers(spark, sf)[1], DEPTH)
+
+
+def standing_rings(spark, sf):
+    """layer, rid, f, u: when each ring of the two layers stands."""
+    st = fx.standings(spark, sf)
+    return st.select("layer", F.explode(F.array(F.col("e"), -F.col("e") - 1)).alias("rid"), "f", "u")
+
+
+def territories_overlap(standings, rings, depth: float, bucket: int = 12):
+    """(layer, a, b, f, u): pairs of rings of one layer that stand together from f to u and overlap by more than ``depth`` degrees.
+
+    ``standings`` (layer, rid, f, u), ``rings`` (rid, seq, qlat, qlon). A ring's vertices and the quarters of its edges are its probes; one
+    that lies in the other ring, farther than ``depth`` from its border on the sphere, tells. Probes meet rings where layer, cell and a
+    bucket of ``bucket`` instants agree, so what never stands together never meets; a border or corner shared is no overlap.
+    """
+    edges = sp.ring_edges(rings)
+    quarters = F.array(*[F.struct((F.col("ay") + (F.col("by_") - F.col("ay")) * t).alias("y"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x")) for t in (0.0, 0.25, 0.5, 0.75)])
+    probes = edges.select("rid", F.explode(quarters).alias("p")).select(F.struct("rid", "p.y", "p.x").alias("k"), "rid", "p.y", "p.x").distinct()
+    open_end = standings.agg(F.max(F.greatest("f", F.coalesce("u", "f")))).first()[0]
+    spans = materialize(standings.select("layer", "rid", F.explode(F.sequence(F.floor(F.col("f") / bucket), F.floor(F.coalesce(F.col("u") - 1, F.lit(open_end)) / bucket))).alias("time")).distinct(), "spans")
+    held = ec.points_in_cells(probes.join(spans, "rid"), ec.edge_cells(edges).join(spans, "rid"), ("layer", "time"))
+    held = materialize(held.filter("k.rid <> rid").distinct(), "held")
+    at = lambda y, x: g.vec(F.col(y) / 1e7, F.col(x) / 1e7)
+    places = held.select("k").distinct().select("k", at("k.y", "k.x").alias("v"))
+    arcs = edges.join(held.select("rid").distinct(), "rid").select(F.col("rid").alias("arc"), at("ay", "ax").alias("a"), at("by_", "bx").alias("b")).filter("a <> b")
+    shallow = so.arcs_beside(places, arcs, math.radians(depth)).withColumnRenamed("arc", "rid").distinct()
+    deep = held.join(shallow, ["k", "rid"], "left_anti").select(F.least("k.rid", "rid").alias("a"), F.greatest("k.rid", "rid").alias("b")).distinct()
+    one = standings.select("layer", F.col("rid").alias("a"), F.col("f").alias("f1"), F.col("u").alias("u1"))
+    two = standings.select("layer", F.col("rid").alias("b"), F.col("f").alias("f2"), F.col("u").alias("u2"))
+    both = deep.join(one, "a").join(two, ["layer", "b"]).filter(((F.col("u2").isNull()) | (F.col("f1") < F.col("u2"))) & (F.col("u1").isNull() | (F.col("f2") < F.col("u1"))))
+    return both.select("layer", "a", "b", F.greatest("f1", "f2").alias("f"), F.least("u1", "u2").alias("u"))
 
 
 @query("L4_partition_structure", with_("redges") + """, stored AS (SELECT rid, seq, ay, ax, by_ + CASE WHEN rid % 89 = 3 AND seq = 2 THEN 1 ELSE 0 END AS by_, bx FROM redges),
