@@ -2,55 +2,93 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tempora.functions.names import content_id
 
-CHANGES = "key long, kind string, at timestamp, body string"
-STATE = "body string, seen double"
-
-
-def _changes(silence_s: float):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        body, seen = state.get if state.exists else (None, None)
-        fallen = lambda: (key[0], "Fall", pd.Timestamp(seen + silence_s, unit="s"), body)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([fallen()], columns=["key", "kind", "at", "body"])
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, now in zip(rows["ts"], rows["body"], strict=True):
-            t = ts.timestamp()
-            if body is not None and t < seen:
-                continue  # a later one is told already
-            if body is not None and t - seen > silence_s:
-                out.append(fallen())
-                body = None
-            if body is None:
-                out.append((key[0], "Rise", ts, now))
-            elif body != now:
-                out.append((key[0], "Shift", ts, now))
-            body, seen = now, t
-        state.update((body, seen))
-        state.setTimeoutTimestamp(max(int((seen + silence_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "kind", "at", "body"])
-
-    return step
+CHANGES = "key long, kind string, us long, body string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Changes(StatefulProcessor):
+    """Tells a key's changes in order of event time, however its rows come.
+
+    Rows wait in a list until the watermark has reached them; then no earlier one can come, and they are told in order. The last one told
+    stands in a value until its fall. A timer is set for the first row that waits, or else for the fall.
+    """
+
+    def __init__(self, silence_s: float):
+        self.silence_ms = round(silence_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "body string, seen long")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, body string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for pdf in rows:
+            us = pdf["us"].tolist()
+            self.waiting.appendList(list(zip(us, pdf["event_id"].tolist(), pdf["body"].tolist(), strict=True)))
+            first = min([*us, *([] if first is None else [first])])
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        yield self._told(key, [])
+
+    def _told(self, key, out):
+        kinds, us, bodies = zip(*out) if out else ((), (), ())
+        return pd.DataFrame({"key": pd.array([key[0]] * len(out), "Int64"), "kind": pd.Series(kinds, dtype=object), "us": pd.Series(us, dtype="int64"), "body": pd.Series(bodies, dtype=object)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1], r[2] or ""))
+        ready = [r for r in rows if r[0] <= now]
+        body, seen = self.last.get() if self.last.exists() else (None, None)
+        silence, out = self.silence_ms * 1000, []
+        for us, _, text in ready:
+            if seen is not None and us - seen > silence:
+                out.append(("Fall", seen + silence, body))
+                seen = None
+            if seen is None:
+                out.append(("Rise", us, text))
+            elif body != text:
+                out.append(("Shift", us, text))
+            body, seen = text, us
+        late = rows[len(ready):]
+        if ready:
+            self.waiting.put(late) if late else self.waiting.clear()
+        if seen is not None and seen + silence < now and (not late or late[0][0] - seen > silence):
+            out.append(("Fall", seen + silence, body))
+            seen = None
+        if seen is None:
+            self.last.clear()
+        else:
+            self.last.update((body, seen))
+        if late:
+            self.handle.registerTimer(-(-late[0][0] // 1000))
+        if seen is not None:
+            self.handle.registerTimer((seen + silence) // 1000 + 1)
+        yield self._told(key, out)
+
+    def close(self) -> None:
+        pass
 
 
 def change_stream(observations: DataFrame, silence_s: float, lateness: str = "1 hour") -> DataFrame:
     """Rise, Shift and Fall of each key from a stream of (key, ts, event_id, body).
 
-    A Fall is dated ``silence_s`` after the last observation and told when the next one arrives or when the watermark passes that date,
-    at which the key's state goes. Rows later than ``lateness``, and those before a key's latest row of an earlier batch, are passed over.
+    A change is told when the watermark has passed it, a Fall (dated ``silence_s`` after the last observation) when it has passed that
+    date, at which the key's state goes. So the same rows come out however rows up to ``lateness`` late are cut into batches; later ones
+    are dropped. Rows that the watermark hasn't reached wait: a closed input is told to its end by a last row that is ``lateness`` later.
+    Rows without a key are left out. The session's state store becomes RocksDB, which the buffers need.
     """
-    rows = observations.withWatermark("ts", lateness)
-    return rows.groupBy("key").applyInPandasWithState(_changes(silence_s), CHANGES, STATE, "append", "EventTimeTimeout")
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = observations.withWatermark("ts", lateness).filter("key IS NOT NULL").select("key", "ts", F.unix_micros("ts").alias("us"), F.coalesce("event_id", F.lit(-1)).alias("event_id"), "body")
+    told = rows.groupBy("key").transformWithStateInPandas(Changes(silence_s), CHANGES, "Append", "EventTime")
+    return told.select("key", "kind", F.timestamp_micros("us").alias("at"), "body")
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
