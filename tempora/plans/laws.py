@@ -11,6 +11,7 @@ from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
 from tempora.plans.shapes import DEPTH, OVERLAPS, standing_rings, territories_overlap, two_layers
+from tempora.plans.scratch import materialize
 from tempora.sources.tables import table
 
 C = F.col
@@ -192,13 +193,14 @@ def j24(spark, sf):
     return s.join(table(spark, sf, "customer").select(C("c_custkey").alias("k"), "c_nationkey"), "k", "full").select("k", F.coalesce("s_nationkey", "c_nationkey").alias("nation"))
 
 
-def kept_under_parents(claims: DataFrame, parents: DataFrame, depth: int = 8) -> DataFrame:
-    """Claims (part, who) whose whole chain of parents (who, parent) also claims the part; roots need none."""
-    kept = claims
-    for _ in range(depth):
-        with_parent = kept.join(parents, "who", "left")
+def kept_under_parents(claims: DataFrame, parents: DataFrame) -> DataFrame:
+    """Claims (part, who) whose whole chain of parents (who, parent) also claims the part; roots need none. Rounds go on until none goes."""
+    kept = materialize(claims, "claims")
+    left, before = kept.count(), -1
+    while left != before:
         up = kept.select("part", C("who").alias("parent"), F.lit(True).alias("ok"))
-        kept = with_parent.join(up, ["part", "parent"], "left").filter("parent IS NULL OR ok").select("part", "who")
+        kept = materialize(kept.join(parents, "who", "left").join(up, ["part", "parent"], "left").filter("parent IS NULL OR ok").select("part", "who"), "claims")
+        before, left = left, kept.count()
     return kept
 
 
@@ -207,7 +209,7 @@ def kept_under_parents(claims: DataFrame, parents: DataFrame, depth: int = 8) ->
 def j26(spark, sf):
     claims = table(spark, sf, "lineitem").select(C("l_partkey").alias("part"), (C("l_suppkey") % 16).alias("who")).distinct()
     parents = F.broadcast(spark.range(1, 16).select(C("id").alias("who"), F.floor(C("id") / 2).alias("parent")))  # the hierarchy: 15 rows
-    return kept_under_parents(claims, parents, 4)
+    return kept_under_parents(claims, parents)
 
 
 @query("G9_parent_chain_depth", "SELECT c_custkey AS k, 1 + CASE WHEN n_nationkey IS NULL THEN 0 ELSE 1 END + CASE WHEN r_regionkey IS NULL THEN 0 ELSE 1 END AS depth FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
@@ -215,18 +217,21 @@ def g9(spark, sf):
     node = lambda kind, key: F.concat(F.lit(kind), key)
     links = (table(spark, sf, "customer").select(node("c", C("c_custkey")).alias("n"), node("n", C("c_nationkey")).alias("up"))
              .union(table(spark, sf, "nation").select(node("n", C("n_nationkey")), node("r", C("n_regionkey")))))
-    return chain_depth(links, 8).filter("n LIKE 'c%'").select(F.substring("n", 2, 20).cast("long").alias("k"), "depth")
-
-
-def chain_depth(links: DataFrame, most: int) -> DataFrame:
-    """n, depth: nodes on the way up from each node, itself included."""
-    at = links.select("n", "up", F.lit(1).alias("depth"))
-    for _ in range(most):
-        step = links.select(C("n").alias("up"), C("up").alias("above"))
-        at = at.join(step, "up", "left").select("n", C("above").alias("up"), (C("depth") + C("up").isNotNull().cast("int")).alias("depth"))
-        if at.filter("up IS NOT NULL").isEmpty():
-            break
-    return at.select("n", "depth")
+    return chain_depth(links).filter("n LIKE 'c%'").select(F.substring("n", 2, 20).cast("long").alias("k"), "depth")
+
+
+def chain_depth(links: DataFrame) -> DataFrame:
+    """n, depth: nodes on the way up from each node, itself included; by doubling, so rounds are the logarithm of the longest way. Ways
+    that never end are an error."""
+    at = materialize(links.select("n", "up", C("up").isNotNull().cast("int").alias("steps")), "chains")
+    left = at.filter("up IS NOT NULL").count()
+    while left:
+        ahead = at.select(C("n").alias("up"), C("up").alias("above"), C("steps").alias("more"))
+        at = materialize(at.join(ahead, "up", "left").select("n", C("above").alias("up"), (C("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "chains")
+        before, left = left, at.filter("up IS NOT NULL").count()
+        if left == before:
+            raise ValueError(f"{left} nodes have no end above them")
+    return at.select("n", (C("steps") + 1).alias("depth"))
 
 
 @query("A24_affine_fit", """WITH q AS (SELECT p_partkey % 97 * 1.0 u, p_size * 1.0 v, 0.5*(p_partkey % 97) - 0.25*p_size + 3.0 + (p_partkey % 5)*0.001 t FROM part),

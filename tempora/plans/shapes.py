@@ -15,6 +15,7 @@ from tempora.operators import overlay as ov
 from tempora.operators import rings as rg
 from tempora.operators import spatial as sp
 from tempora.operators import sphere_overlay as so
+from tempora.operators.order import numbered
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
@@ -148,10 +149,9 @@ def a12(spark, sf):
   SELECT band, size, row_number() OVER (ORDER BY size DESC, band) AS place, round((row_number() OVER (ORDER BY size DESC, band) - 1) / greatest(1.0, (SELECT count(*) FROM s) - 1.0), 6) AS depth FROM s""")
 def a18(spark, sf):
     s = ring_areas(ring_vectors(spark, sf)).groupBy(F.floor(F.col("rid") / 100).alias("band")).agg(F.round(F.sum(F.abs("area")) * 1e9, 3).alias("size"))
-    # bands are few: the ranking is over aggregated rows
-    place = F.row_number().over(Window.orderBy(F.col("size").desc(), "band"))
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return s.select("band", "size", place.cast("long").alias("place"), F.round((place - 1) / F.greatest(F.lit(1.0), n - 1.0), 6).alias("depth"))
+    ranked = numbered(s, [F.col("size").desc(), "band"], "place")
+    n = F.broadcast(ranked.agg(F.count("*").alias("n")))  # one row
+    return ranked.join(n).select("band", "size", "place", F.round((F.col("place") - 1) / F.greatest(F.lit(1.0), F.col("n") - 1.0), 6).alias("depth"))
 
 
 TWIN = """, k AS (SELECT rid, ay, ax, by_, bx, sqrt((ay-by_)*1.0*(ay-by_)+(ax-bx)*1.0*(ax-bx)) len FROM redges),

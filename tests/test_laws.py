@@ -14,7 +14,7 @@ from tempora.operators import rings as rg
 from tempora.operators import spatial as sp
 from tempora.operators.graph import connected_components
 from tempora.plans import fixtures as fx
-from tempora.plans.laws import incoherent, missing
+from tempora.plans.laws import chain_depth, incoherent, kept_under_parents, missing
 from tempora.plans.networks import coloured, thinned
 from tempora.plans.temporal import splits_and_merges, transition_plan, turns
 from tempora.sources import geojson, raster, store
@@ -85,6 +85,17 @@ def test_bound_dates_are_repaired_in_order(spark):
     assert got == want and sum(b is not None and not want[e, k][1] for e, k, _, b in rows) > 50
 
 
+def test_chains_of_any_length(spark):
+    long = [(f"n{k}", f"n{k + 1}") for k in range(90)] + [("x", None), ("y", "n89")]
+    depth = {r.n: r.depth for r in chain_depth(spark.createDataFrame(long, "n string, up string")).collect()}
+    assert depth["n0"] == 91 and depth["n89"] == 2 and depth["x"] == 1 and depth["y"] == 3
+    with pytest.raises(ValueError, match="no end"):
+        chain_depth(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d")], "n string, up string"))
+    claims = spark.createDataFrame([(1, k) for k in range(30)] + [(2, k) for k in range(30) if k != 3], "part long, who long")
+    parents = spark.range(1, 30).select(F.col("id").alias("who"), (F.col("id") - 1).alias("parent"))
+    assert sorted((r.part, r.who) for r in kept_under_parents(claims, parents).collect()) == [*((1, k) for k in range(30)), (2, 0), (2, 1), (2, 2)]
+
+
 def test_years_have_no_zero(spark):
     rows = spark.createDataFrame([("-1450-01-14",), ("-1",), ("0",), ("12-13",), ("x",), ("7-02",)], "s string")
     assert [r[0] for r in rows.select(ta.parsed_key(F.col("s"))).collect()] == [-14499886, -10000, None, None, None, 70200]
