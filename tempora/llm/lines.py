@@ -30,7 +30,17 @@ ID = ["h1", "h2"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """Texts are hashed and split before lines become rows; beside the explosion the whole text would be hashed for each line."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), F.split("text", "\n", -1).alias("lines"))
+    return texts.select("doc_id", "dk", F.posexplode("lines").alias("line_no", "line"))
+
+
+def _flagged(numbers: DataFrame, name: str) -> DataFrame:
+    """doc_id, dk and one boolean a line up to the last of ``numbers`` (doc_id, dk, line_no), so that a line is looked up in one step."""
+    nos = numbers.groupBy("doc_id", "dk").agg(F.array_sort(F.collect_set("line_no")).alias("nos"))
+    before = F.concat(F.array(F.lit(-1)), F.col("nos"))
+    upto = F.zip_with("nos", before, lambda x, p: F.when(x.isNull(), F.array().cast("array<boolean>")).otherwise(F.concat(F.array_repeat(F.lit(False), x - p - 1), F.array(F.lit(True)))))
+    return nos.select("doc_id", "dk", F.flatten(upto).alias(name))
 
 
 def _halves(n, line):
@@ -76,11 +86,11 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     wanted = keys.join(shared, "key").select(*ID).distinct()
     wanted = materialize(lines.select(*ID, "place").join(wanted, ID), "wanted")
-    per_doc = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.dk").alias("dk")).agg(F.collect_list("place.line_no").alias("nos"))
+    per_doc = _flagged(wanted.select("place.*"), "asked")
     texts = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), "text")
     texts = texts.join(per_doc.hint("merge"), ["doc_id", "dk"])  # one plan at every size
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
-    picked = texts.select("doc_id", F.explode(F.filter(numbered, lambda x: F.array_contains("nos", x["line_no"]))).alias("x"))
+    picked = texts.select("doc_id", F.explode(F.filter(numbered, lambda x: F.coalesce(F.get("asked", x["line_no"]), F.lit(False)))).alias("x"))
     picked = picked.select(F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(7), "x.line").alias("h2"), F.col("x.line").alias("line"), F.length("x.line").alias("n"))
     picked = materialize(wanted.join(picked, ID).dropDuplicates(ID), "picked")
 
@@ -106,11 +116,10 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def staying_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, dk (hash of the text), stay (line numbers): first places of the texts that have no earlier neighbour."""
+    """doc_id, dk (hash of the text), stay (by line number, up to the last true one): first places of the texts that have no earlier neighbour."""
     lines = materialize(distinct_lines(docs, min_chars, near_chars), "lines")
     near = materialize(near_lines(docs, lines), "near")
-    firsts = lines.join(near, ID, "left_anti").select(F.col("place.doc_id").alias("doc_id"), F.col("place.dk").alias("dk"), F.col("place.line_no").alias("line_no"))
-    return firsts.groupBy("doc_id", "dk").agg(F.collect_list("line_no").alias("stay"))
+    return _flagged(lines.join(near, ID, "left_anti").select("place.*"), "stay")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
@@ -119,8 +128,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = MIN_CHARS
     stay = staying_lines(docs, min_chars, near_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
-    joined = rows.withColumn("dk", F.xxhash64("text")).join(stay.hint("merge"), ["doc_id", "dk"], "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>"))).withColumn("lines", numbered)
-    keep = F.filter("lines", lambda x: F.col("doc_id").isNull() | (F.length(x["line"]) < min_chars) | F.array_contains("stay", x["no"]))
+    joined = rows.withColumn("dk", F.xxhash64("text")).join(stay.hint("merge"), ["doc_id", "dk"], "left").withColumn("lines", numbered)
+    keep = F.filter("lines", lambda x: F.col("doc_id").isNull() | (F.length(x["line"]) < min_chars) | F.coalesce(F.get("stay", x["no"]), F.lit(False)))
     joined = joined.withColumn("kept", keep)
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return joined.select("doc_id", F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"),

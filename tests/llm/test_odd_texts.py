@@ -1,5 +1,6 @@
 """Texts and rows that are easy to get wrong: hash-breaking words, very long texts, one doc_id with several texts, clashing columns."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -126,3 +127,13 @@ def test_empty_tables_pass_the_pipeline(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_many_lines_in_one_document(spark):
+    """A document of 200,000 lines: work goes with the lines, not with their square."""
+    unlike = "\n".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(200_000))
+    pair = "\n".join(["a line that stands twice", "a line that stands twicE", "x", "x", ""])
+    docs = spark.createDataFrame([(1, unlike), (2, unlike + "\n" + pair)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(docs).collect()}
+    assert got[1] == (200_000, 0, unlike)
+    assert got[2][:2] == (200_005, 200_002)
