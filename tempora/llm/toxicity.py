@@ -1,8 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-Both dictionaries are raw content and begin with what the classes have in common (the words of most ordinary texts). The toxic one
-goes on with segments of toxic texts: maximal stretches covered by pieces of ``PIECE`` bytes whose document frequency speaks for
-the class (z score of ``SURE`` and more), the commonest first. The ordinary one goes on with as many bytes of running ordinary text.
+Both dictionaries are raw content and end with what the classes have in common (the ``COMMON_WORDS`` words that most ordinary texts
+hold). The toxic one begins with segments of toxic texts: maximal stretches covered by pieces of ``PIECE`` bytes whose document
+frequency speaks for the class (z score of ``SURE`` and more), the commonest first. The ordinary one begins with as many bytes of
+running ordinary text, ``EXCERPT`` bytes from each text at a place that the text's checksum decides (shorter texts whole).
 (zstandard's own trainer picks segments by frequency in one class alone and separates the classes poorly.)
 
 A text, lower-cased, is cut into windows of ``WINDOW`` bytes of running text, one every ``STEP`` bytes, and each window is compressed
@@ -22,6 +23,7 @@ and doc_id never enter a score.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -36,7 +38,7 @@ from tempora.llm.words import small_batches
 CHARS, LEVEL = 20_000, 9
 PIECE, SURE = 7, 5.0
 WINDOW, STEP = 32, 16
-COMMON_WORDS, SEGMENT_BYTES = 600, 4096
+COMMON_WORDS, SEGMENT_BYTES, EXCERPT = 600, 4096, 60
 CALIBRATION = 300  # rows of each label that calibrate
 MARGINS = (2, 3, 4)
 
@@ -88,6 +90,11 @@ def _pieces(raw: bytes) -> set[bytes]:
     return {raw[i:i + PIECE] for i in range(len(raw) - PIECE + 1)}
 
 
+def _excerpt(raw: bytes) -> bytes:
+    at = zlib.crc32(raw) % max(1, len(raw) - EXCERPT + 1)
+    return raw[at:at + EXCERPT]
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The two dictionaries' contents from texts of both classes."""
     n1, n0 = len(toxic), len(ordinary)
@@ -113,10 +120,10 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
                 end = i + PIECE
         if start >= 0:
             segments[t[start:end]] += 1
-    common = Counter(w for t in ordinary for w in set(t[:4000].split()))
+    common = Counter(w for t in ordinary for w in set(t.split()))
     shared = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[COMMON_WORDS::-1])
     own = b"".join(s for s, _ in sorted(segments.items(), key=lambda x: (-x[1], x[0])))[:SEGMENT_BYTES]
-    running = b" ".join(t[100:160] for t in ordinary)[:len(own)]
+    running = b" ".join(_excerpt(t) for t in ordinary)[:len(own)]
     return own + shared, running + shared
 
 
