@@ -5,8 +5,9 @@ times its source's words and the excess is reshared by weight (closed form of th
 
 Rates: the rates nearest to 1 in relative entropy under one word constraint a source and the bound ``cap`` are exponentially
 tilted, ``rate = min(cap, exp(lambda_source * size / mean size))``. The dual is separable and convex; every Newton round is one
-distributed aggregate over the (source, size) histogram, kept safe by a bracket. A source whose target is ``cap`` times its
-words takes every document ``cap`` times.
+distributed aggregate over the (source, size) histogram, kept safe by a bracket. After ``NEWTON_ROUNDS`` rounds every second one
+halves the bracket, and rounds go on until each constraint holds or its bracket has no number left inside. Sums are decimals, so
+the order in which rows arrive decides nothing. A source whose target is ``cap`` times its words takes every document ``cap`` times.
 
 Copies: ``floor(rate + u + shift)``, u a hash of doc_id, at most ``cap``. The shift is one number a source, found by passes that
 evaluate many shifts at once: the largest that doesn't exceed the target. Further stages shift only documents no larger than
@@ -18,13 +19,15 @@ gives no rows; repeated rows get the same rate and copies.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.plans.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-NEWTON_ROUNDS, NEWTON_TOLERANCE = 60, 1e-9
+NEWTON_ROUNDS, NEWTON_TOLERANCE = 20, 1e-9
 PROBES, PROBE_ROUNDS, STAGES = 32, 3, 3
 
 
@@ -63,12 +66,13 @@ def balance(hist: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
     m = means.withColumnRenamed("source", "ms")
     state = state.join(m, state["source"].eqNullSafe(m["ms"]), "left").drop("ms").withColumn("mean", F.coalesce("mean", F.lit(1.0)))
     state = materialize(state, "dual")
-    for _ in range(NEWTON_ROUNDS):
+    for turn in itertools.count():
         s = state.select(F.col("source").alias("ss"), "lam", "mean", "full")
         terms = (hist.join(s, hist["source"].eqNullSafe(s["ss"])).withColumn("x", F.col("size") / F.col("mean")).withColumn("r", _rate(cap)))
+        exact = lambda c: F.sum(c.cast("decimal(38,8)")).cast("double")
         sums = terms.groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * F.col("r")).alias("got"),
-            F.sum(F.when(F.col("r") < cap, F.col("n") * F.col("size") * F.col("x") * F.col("r")).otherwise(0.0)).alias("slope"))
+            exact(F.col("n") * F.col("size") * F.col("r")).alias("got"),
+            exact(F.when(F.col("r") < cap, F.col("n") * F.col("size") * F.col("x") * F.col("r")).otherwise(0.0)).alias("slope"))
         g = sums.withColumnRenamed("source", "gs")
         j = state.join(g, state["source"].eqNullSafe(g["gs"]), "left").drop("gs")
         gap = F.col("got") - F.col("target")
@@ -79,8 +83,11 @@ def balance(hist: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
         reach = 2 * F.abs(F.col("lam")) + 1
         low = F.when(F.col("lo") == float("-inf"), F.least(F.col("hi"), F.col("lam")) - reach).otherwise(F.col("lo"))
         high = F.when(F.col("hi") == float("inf"), F.greatest(F.col("lo"), F.col("lam")) + reach).otherwise(F.col("hi"))
-        inside = F.col("step").isNotNull() & (F.col("step") > low) & (F.col("step") < high)
-        j = j.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, F.col("step")).otherwise((low + high) / 2))
+        halve = turn >= NEWTON_ROUNDS and turn % 2 == 0
+        inside = F.col("step").isNotNull() & (F.col("step") > low) & (F.col("step") < high) & F.lit(not halve)
+        j = j.withColumn("next", F.when(inside, F.col("step")).otherwise((low + high) / 2))
+        closed = (high - low) <= 4e-16 * F.greatest(F.abs(low), F.abs(high))
+        j = j.withColumn("done", F.col("done") | closed).withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(F.col("next")))
         state = materialize(j.select(*state.columns), "dual")
         if state.filter(~F.col("done")).isEmpty():
             break

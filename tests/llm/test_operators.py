@@ -1,10 +1,12 @@
 """The corpus operators against plain versions, on small inputs with every odd case."""
 
+import math
 import random
 import zlib
 
 import duckdb
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tempora.llm import columnwise, decontamination, embeddings, langid, lines, minhash, mixing, recompression, sharding, spans, toxicity
@@ -212,13 +214,30 @@ def test_mix(spark, docs, texts, nothing):
     for s, rs in by.items():
         assert all(r.source_size == source_size[s] and r.target == pytest.approx(target[s]) for r in rs)
         assert abs(sum(r.taken for r in rs) - target[s]) <= max(0.02 * target[s], 40)  # a short document of these
-    again = {(r.doc_id, r.taken) for r in mixing.mix_to_targets(docs).collect()}
+    again = {(r.doc_id, r.taken) for r in mixing.mix_to_targets(docs.repartition(7, "text")).collect()}
     assert again == {(r.doc_id, r.taken) for r in out}
     whole = mixing.repeated(docs)
     assert whole.columns == docs.columns and whole.count() == sum(r.copies for r in out)
     assert mixing.mix_to_targets(nothing).count() == 0
 
 
+def test_balance_goes_on_until_it_holds(spark, monkeypatch):
+    """One huge document among many tiny ones; a target next to the bound; rates against a plain bisection."""
+    monkeypatch.setattr(mixing, "NEWTON_ROUNDS", 2)
+    hist = [("a", 1, 1000), ("a", 1000, 1), ("b", 3, 7), ("b", 500, 2), ("c", 10, 5)]
+    targets = [("a", 2000, 2900.0), ("b", 1021, 3 * 1021 * 0.999999), ("c", 50, 1.0)]
+    state = mixing.balance(spark.createDataFrame(hist, "source string, size long, n long"), spark.createDataFrame(targets, "source string, source_size long, target double")).collect()
+    assert len(state) == 3 and all(r.done for r in state)
+    for r in state:
+        mine = [(size, n) for s, size, n in hist if s == r.source]
+        mean = sum(size * n for size, n in mine) / sum(n for _, n in mine)
+        got = lambda lam: sum(size * n * min(3.0, math.exp(min(50.0, lam * size / mean))) for size, n in mine)  # noqa: B023,E731
+        lo, hi = -1e7, 1e7
+        for _ in range(200):
+            lo, hi = (lo, (lo + hi) / 2) if got((lo + hi) / 2) > r.target else ((lo + hi) / 2, hi)
+        assert r.lam == pytest.approx(lo, rel=1e-6) and got(r.lam) == pytest.approx(r.target, rel=1e-8)
+
+
 def test_shards(docs, texts, nothing):
     out = sharding.shard_documents(docs, shards=7, vnodes=8, bin_rows=3).collect()
     assert len(out) == len(texts) + 2
@@ -287,3 +306,31 @@ def test_toxicity(spark, nothing):
     none = toxicity.fit(*toxicity.sample(docs, lab.limit(0), F.lit(True)))
     assert none is None and {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(nothing, model).count() == 0
+
+
+def test_toxicity_by_hand(spark):
+    """Scores against windows compressed one by one; repeated rows, clashing columns and a long text included."""
+    rng = random.Random(12)
+    rows = [(k, " ".join([words(rng, 40), "vile scum moron" if k % 3 == 0 else "fine kind friend", words(rng, 40)])) for k in range(120)]
+    model = toxicity.fit([t for _, t in rows], [int(k % 3 == 0) for k, _ in rows])
+    rows += [(3, rows[3][1]), (500, words(rng, 60_000) + " vile scum moron"), (501, "Ä" * 50), (502, "")]
+    df = spark.createDataFrame([(*r, 0.5, 9) for r in rows], "doc_id long, text string, score double, predicted int")
+    got = sorted((r.doc_id, r.score) for r in toxicity.score(df, model).collect())
+
+    def size(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    def score(text):
+        raw, hits, n, at = text.lower().encode(), 0, 0, 0
+        while raw and (at == 0 or at + 16 < len(raw)):  # a window every 16 bytes until the last byte is covered
+            hits += size(raw[at:at + 32], model.ordinary) - size(raw[at:at + 32], model.toxic) >= model.margin
+            n, at = n + 1, at + 16
+        v = model.curve[0] + model.curve[1] * math.log(1 + hits) + model.curve[2] * math.log((hits + 0.2) / (n + 40))
+        return 1 / (1 + math.exp(-v))
+
+    assert len(got) == len(rows)
+    plain = {r: score(r[1]) for r in rows if r[0] in (0, 1, 2, 3, 7, 501, 502)}
+    assert {k for k, _ in got} == {k for k, _ in rows} and [s for k, s in got if k == 3] == [plain[rows[3]]] * 2
+    for (k, _), want in plain.items():
+        assert all(s == pytest.approx(want, abs=1e-12) for i, s in got if i == k)
