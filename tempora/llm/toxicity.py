@@ -38,7 +38,7 @@ from tempora.llm.words import small_batches
 CHARS, LEVEL = 20_000, 9
 PIECE, SURE = 7, 5.0
 WINDOW, STEP = 32, 16
-COMMON_WORDS, SEGMENT_BYTES, EXCERPT = 600, 4096, 60
+COMMON_WORDS, SEGMENT_BYTES, EXCERPT = 600, 4096, 24
 CALIBRATION = 300  # rows of each label that calibrate
 MARGINS = (2, 3, 4)
 
