@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tempora.plans.catalog import query
 from tempora.plans.files import fresh
 from tempora.sources.tables import table
-from tempora.streaming.changes import change_stream, refresh_by_content, run_to_end
+from tempora.streaming.changes import change_stream, run_to_end
+from tempora.streaming.refresh import read_refreshed, refresh_by_content
 
 SILENCE = 5 * 86400
 NOBODY = -(2**63)
@@ -35,5 +36,6 @@ def r2(spark, sf):
     src, out, cp = (fresh(spark, n) for n in ("sources", "store", "offsets"))
     o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
     o.union(o).repartition(8).write.parquet(src)  # the same rows arrive twice
-    refresh_by_content(spark, src, "o_custkey long, o_orderstatus string, o_orderpriority string", o.columns, out, cp)
-    return spark.read.parquet(out).select(*o.columns)
+    schema = "o_custkey long, o_orderstatus string, o_orderpriority string"
+    refresh_by_content(spark, src, schema, o.columns, out, cp)
+    return read_refreshed(spark, out, schema).select(*o.columns)

@@ -1,14 +1,12 @@
-"""Structured Streaming jobs: change events from observations, and refresh of a store by content id."""
+"""Structured Streaming job: change events from observations."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tempora.functions.names import content_id
-
 CHANGES = "key long, kind string, us long, body string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -95,20 +93,3 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process what is there and stop."""
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-
-
-def refresh_by_content(spark: SparkSession, source: str, schema: str, fields: list[str], store: str, checkpoint: str) -> None:
-    """Append to ``store`` the rows of new source files whose content id it doesn't hold; replays add nothing."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("id", content_id(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in fields])).dropDuplicates(["id"])
-        try:
-            known = batch.sparkSession.read.parquet(store).select("id")
-            rows = rows.join(known, "id", "left_anti")
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(store)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -235,15 +235,16 @@ def test_geojson_rejects_other_geometries(spark, tmp_path):
         geojson.read_polygons(spark, str(tmp_path)).collect()
 
 
+
 def test_raster_round_trip(spark, tmp_path):
     import numpy as np
 
     cells = (np.arange(12) * 1000 - 5000).astype("<i2")
-    (tmp_path / "g.bin").write_bytes(cells.tobytes())
+    (tmp_path / "g.i16").write_bytes(cells.tobytes())
     rows = raster.read_grid(spark, str(tmp_path), 4).orderBy("i", "j").collect()
     assert [r.v for r in rows] == cells.tolist() and rows[5].i == 1 and rows[5].j == 1
-    packed = raster.packed_rows(spark.createDataFrame([(0, j, int(v)) for j, v in enumerate(cells)], "i long, j long, v long")).first()
-    assert bytes(packed.content) == cells.tobytes()
+    raster.write_grid(spark.createDataFrame([(j // 4, j % 4, int(v)) for j, v in enumerate(cells)], "i long, j long, v long"), str(tmp_path / "again"), 4, 3)
+    assert (tmp_path / "again" / "00000000.i16").read_bytes() == cells.tobytes()
 
 
 def test_forged_rows_stop_the_store(spark, tmp_path):
