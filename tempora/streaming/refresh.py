@@ -2,8 +2,9 @@
 
 The store is three tables in one folder. ``rows`` holds a folder a batch and, in it, one an id prefix; ``index`` holds for each of these
 files the words of a Bloom filter that are not zero; ``reads`` says for each batch how many files the store had and how many were opened.
-An id picks a prefix (two digits), a word of that prefix (the next four) and three bits of it (from later digits). So the filter is
-built by one aggregation and asked by one equality join on (prefix, word), and all of that stays in DataFrame functions.
+An id picks a prefix (its first digit), a word (four digits) and three bits of it; the digits for word and bits stand so far back that
+they are even within a file, whose ids are a range. So the filter is built by one aggregation and asked by one equality join on
+(prefix, word), and all of that stays in DataFrame functions.
 
 A batch is committed when its index is written. One that is cut off before is done again under the same name from the same files, and
 its half-written rows are replaced.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tempora.functions.names import content_id
 from tempora.plans.scratch import drop_scratch, materialize
 
-PREFIX, WORD = 2, 4  # digits of an id: folders, words of a filter
+PREFIX, WORD, WORD_AT = 1, 4, 33  # digits of an id: folders, words of a filter and where those begin
 ROWS_A_FILE = 500_000  # at most eight ids a word, at which three bits of another id are all set in three of a hundred files
 INDEX = "word int, file string, bits long, batch string, prefix string"
 READS = "held long, opened long, batch string"
@@ -29,9 +30,9 @@ def _digits(first: int, n: int):
 
 def _filter_place() -> list:
     """prefix, word and mask (three of 64 bits) of ``id``."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), _digits(PREFIX + WORD + 1 + 2 * k, 2) % 64)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), _digits(WORD_AT + WORD + 2 * k, 2) % 64)
     mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
-    return [F.substring("id", 1, PREFIX).alias("prefix"), _digits(PREFIX + 1, WORD).alias("word"), mask.alias("mask")]
+    return [F.substring("id", 1, PREFIX).alias("prefix"), _digits(WORD_AT, WORD).alias("word"), mask.alias("mask")]
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -54,11 +55,11 @@ def _put(rows: DataFrame, store: str, name: str, fields: list[str]) -> None:
     """Rows first, then the index that commits them."""
     spark = rows.sparkSession
     place = f"{store}/rows/batch={name}"
-    spread = rows.withColumn("prefix", F.substring("id", 1, PREFIX)).repartition("prefix").sortWithinPartitions("prefix", "id")
+    spread = rows.withColumn("prefix", F.substring("id", 1, PREFIX)).repartitionByRange("id").sortWithinPartitions("prefix", "id")
     spread.write.mode("overwrite").option("maxRecordsPerFile", ROWS_A_FILE).partitionBy("prefix").parquet(place)
     kept = spark.read.schema(rows.select("id", *fields).schema).parquet(place).select("id", F.col("_metadata.file_path").alias("file"))
     words = kept.select("file", *_filter_place()).groupBy("prefix", "word", "file").agg(F.bit_or("mask").alias("bits"))
-    words.repartition("prefix").sortWithinPartitions("prefix", "file", "word").write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/index/batch={name}")
+    words.repartitionByRange("prefix", "file").sortWithinPartitions("prefix", "file", "word").write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/index/batch={name}")
 
 
 def merge_batch(batch: DataFrame, name: str, fields: list[str], store: str) -> None:
