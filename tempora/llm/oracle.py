@@ -15,8 +15,11 @@ LEAKS = r"""WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(
   win AS (SELECT doc_id, item_id, n, h, b, unnest(range(greatest(1, p-n+5), least(p, m-n+1)+1)) s FROM hit),
   com AS (SELECT doc_id, item_id, n, s, h, least(count(*), any_value(b)) c FROM win GROUP BY 1, 2, 3, 4, 5),
   sim AS (SELECT doc_id, item_id, n, s, sum(c)::DOUBLE / (2*(n-4) - sum(c)) v FROM com GROUP BY 1, 2, 3, 4),
-  best AS (SELECT doc_id, item_id, n, max((v, -s)) x FROM sim WHERE v >= 0.8 - 1e-12 GROUP BY 1, 2, 3)
-  SELECT DISTINCT doc_id, item_id, CAST(-x[2] - 1 AS INTEGER) AS start, n::INTEGER AS n_words, round(x[1], 6) AS similarity FROM best"""
+  best AS (SELECT doc_id, item_id, n, max((v, -s)) x FROM sim WHERE v >= 0.8 - 1e-12 GROUP BY 1, 2, 3),
+  runs AS (SELECT doc_id, n, p, array_to_string(w[p:p+n-1], ' ') q FROM (SELECT doc_id, w, n, unnest(range(1, len(w)-n+2)) p FROM tok, (SELECT DISTINCT len(w) n FROM itok WHERE len(w) BETWEEN 1 AND 4))),
+  word_for_word AS (SELECT doc_id, item_id, min(p) p, n FROM runs JOIN itok ON n = len(itok.w) AND q = array_to_string(itok.w, ' ') GROUP BY doc_id, item_id, n)
+  SELECT DISTINCT doc_id, item_id, CAST(-x[2] - 1 AS INTEGER) AS start, n::INTEGER AS n_words, round(x[1], 6) AS similarity FROM best
+  UNION SELECT doc_id, item_id, CAST(p - 1 AS INTEGER), n::INTEGER, 1.0::DOUBLE FROM word_for_word"""
 
 # lines in order of document and number; a variant is a line without its i-th character
 LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) k FROM documents WHERE text IS NOT NULL),

@@ -193,6 +193,19 @@ def test_decontamination(spark, docs, texts, nothing):
     assert decontamination.find_leaks(nothing, bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_word_for_word(spark):
+    """Items under five words are found where they stand, at their first place; letters' case and marks don't matter, nulls match nothing."""
+    items = [(1, "Yes!"), (2, "red fox"), (2, "Red, fox."), (3, "a b c d"), (4, ""), (5, None), (6, "one two three four five")]
+    rows = [(1, "no yes, yes"), (2, "the RED-fox and the red fox"), (3, "a b c"), (4, "x a b c d a b c d"), (4, "red foxes"), (None, "yes"),
+            (5, ""), (6, None), (7, "redfox yesterday"), (1, "no yes, yes"), (8, "one two three four five yes"), (9, "w " * 50_000 + "red fox")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", F.lit(1)).withColumn("q", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1, 1, 1, 1.0), (2, 2, 1, 2, 1.0), (4, 3, 1, 4, 1.0), (None, 1, 0, 1, 1.0), (8, 6, 0, 5, 1.0), (8, 1, 5, 1, 1.0), (9, 2, 50_000, 2, 1.0)}
+    clean = decontamination.without_leaks(docs, bench).select("doc_id", "text").collect()
+    assert sorted((tuple(r) for r in clean), key=str) == sorted([(3, "a b c"), (4, "red foxes"), (5, ""), (6, None), (7, "redfox yesterday")], key=str)
+
+
 def test_mix(spark, docs, texts, nothing):
     out = mixing.mix_to_targets(docs).collect()
     sizes = {k: len(brute.WORD.findall(t or "")) for k, t in texts.items()}
