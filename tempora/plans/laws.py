@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempora.functions import names as nm
 from tempora.operators import intervals as iv
 from tempora.plans import fixtures as fx
-from tempora.plans.catalog import query
+from tempora.plans.catalog import ORACLE_SQL, QUERIES, query
 from tempora.plans.fixtures import with_
 from tempora.plans.shapes import DEPTH, OVERLAPS, standing_rings, territories_overlap, two_layers
 from tempora.plans.scratch import materialize
@@ -252,3 +252,30 @@ def affine_fit(points: DataFrame) -> DataFrame:
     left, right = [[C(x) for x in row] for row in (("n", "u", "v"), ("u", "uu", "uv"), ("v", "uv", "vv"))], [C("t"), C("ut"), C("vt")]
     put = lambda k: [[right[i] if j == k else left[i][j] for j in range(3)] for i in range(3)]
     return s.select(*[(det3(put(k)) / det3(left)).alias(n) for k, n in enumerate("cab")])
+
+
+# laws whose violations the report unites: what each query tells is a breach
+REPORTED = ["L1_anchor", "L2_history_coherence", "L3_provenance", "L5_authority_order", "L6_event_references", "L7_store_closure", "L8_frame_edge", "L9_registry_laws",
+            "L13_chronology_audit", "L16_era_overlap"]
+
+
+def breaches(spark, sf, names: list[str]) -> DataFrame:
+    """law, breach (the violating row as JSON) of every named law query, in one table."""
+    out = None
+    for name in names:
+        rows = QUERIES[name](spark, sf)
+        one = rows.select(F.lit(name.partition("_")[0]).alias("law"), F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("breach"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_LEVELS = "SELECT 'L10' AS law, CASE WHEN level_ = 'warning' THEN 'warning' ELSE 'violation' END AS level_, count(*) AS n FROM ({}) GROUP BY 2"
+
+
+@query("S19_law_report", " UNION ALL ".join([f"SELECT * FROM (SELECT '{n.partition('_')[0]}' AS law, 'violation' AS level_, count(*) AS n FROM ({ORACLE_SQL[n]}) HAVING count(*) > 0)" for n in REPORTED]
+                                            + [_LEVELS.format(ORACLE_SQL["L10_reconciliation"])]))
+def s19_report(spark, sf):
+    """How often each law is broken, over the union of all law queries; what reconciliation waives is a warning."""
+    every = breaches(spark, sf, REPORTED).select("law", F.lit("violation").alias("level_"))
+    pairs = QUERIES["L10_reconciliation"](spark, sf).select(F.lit("L10").alias("law"), "level_")
+    return every.unionByName(pairs).groupBy("law", "level_").agg(F.count("*").alias("n"))
