@@ -122,9 +122,14 @@ def _near_segments(pts: DataFrame, edges: DataFrame, size: float, margin: int) -
     return j.withColumn("d2", d2).filter(C("d2") <= float(margin) ** 2)
 
 
+def _first_edges(edges: DataFrame) -> DataFrame:
+    """Of edges that lie alike, in one direction, the least by ring and place: the nearest edge's choice among them."""
+    return edges.groupBy("ay", "ax", "by_", "bx").agg(F.min(F.struct("rid", "seq")).alias("m")).select("m.rid", "m.seq", "ay", "ax", "by_", "bx")
+
+
 @query("J9_nearest_segment_snap")
 def j9(spark, sf):
-    near = _near_segments(fx.pip(spark, sf), sp.ring_edges(fx.rings(spark, sf)), 1e6, 200000)
+    near = _near_segments(fx.pip(spark, sf), _first_edges(sp.ring_edges(fx.rings(spark, sf))), 1e6, 200000)
     best = near.groupBy("k").agg(F.min(F.struct("d2", "rid", "seq", "t", "ay", "ax", "by_", "bx")).alias("m"))
     return best.select("k", "m.rid", "m.seq", (C("m.ay") + C("m.t") * (C("m.by_") - C("m.ay"))).cast("long").alias("y"), (C("m.ax") + C("m.t") * (C("m.bx") - C("m.ax"))).cast("long").alias("x"))
 
@@ -144,7 +149,7 @@ def snapped(paths: DataFrame, rings: DataFrame, size: float, margin: int, most:
     Ring vertices are numbered from 0 without gaps.
     """
     pts = paths.select(F.struct("path", "seq").alias("k"), "y", "x")
-    near = _near_segments(pts, sp.ring_edges(rings), size, margin)
+    near = _near_segments(pts, _first_edges(sp.ring_edges(rings)), size, margin)
     on = near.groupBy("k").agg(F.min(F.struct("d2", "rid", "seq", "t", "ay", "ax", "by_", "bx")).alias("m"))
     sizes = rings.groupBy("rid").agg(F.count("*").alias("size"))
     rows = pts.join(on, "k", "left").select("k.path", "k.seq", C("m.rid").alias("rid"), (C("m.seq") + C("m.t")).alias("s"), "y", "x",
@@ -243,7 +248,7 @@ def j22(spark, sf):
     pts = fx.pip(spark, sf)
     edges = sp.ring_edges(fx.rings(spark, sf))
     wet = sp.points_in_rings(pts, fx.rings(spark, sf)).select("k").distinct().withColumn("wet", F.lit(True))
-    shore = _near_segments(pts, edges, 1e6, 500000).groupBy("k").agg(F.sqrt(F.min("d2")).alias("gap"))
+    shore = _near_segments(pts, _first_edges(edges), 1e6, 500000).groupBy("k").agg(F.sqrt(F.min("d2")).alias("gap"))
     net = pts.withColumn("net", F.floor(C("k") / 50)).join(wet, "k", "left").join(shore, "k", "left")
     ends = F.min("k").over(Window.partitionBy("net")), F.max("k").over(Window.partitionBy("net"))
     net = net.withColumn("mouth", ((C("k") == ends[0]) | (C("k") == ends[1])) & (C("gap") <= 100000))
