@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,17 +229,47 @@ def j21(spark, sf):
     """Path segments whose midpoint lies within 0.01 radians of another path, as river edges."""
     s = path_segments(spark, sf)
     mids = s.select(F.struct("id", "seq").alias("k"), g.slerp(C("v"), C("n"), F.lit(0.5)).alias("v")).filter("v IS NOT NULL")
-    hit = near_arcs(mids, s.select(F.struct("id", "seq").alias("k"), "v", "n"), 0.01).filter("a.id <> b.id").select("a").distinct()
-    return hit.select("a.id", "a.seq", F.lit(True).alias("on_river"))
+    return beside_others(mids, s.select(F.struct("id", "seq").alias("k"), "v", "n"), 0.01).select("k.id", "k.seq", F.lit(True).alias("on_river"))
+
+
+FEW = 10_000  # points whose cells are broadcast
 
 
-def near_arcs(pts: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
-    """(a, b): points (k, v) within ``radius`` of arcs (k, v, n). Arcs are met at samples one radius apart, then measured."""
-    steps = F.ceil(g.angle(C("v"), C("n")) / radius).cast("int")
-    at = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), steps)), lambda i: i / F.greatest(F.lit(1), steps))
+def beside_others(pts: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
+    """k (struct id, seq) of the points (k, v) within ``radius`` of an arc (k, v, n) of another id, in time linear in both.
+
+    Samples of arcs fall into cells no wider than the radius, and a cell keeps two ids at most: a point whose cell holds another id's sample
+    is near it. Only points that their cell doesn't settle meet arcs one by one; where those are many, few arcs lie around each.
+    """
+    size = 2.0 * math.sin(radius / 2.0) / math.sqrt(3.0) * 0.999
+    at = lambda v: [sp.cell(C(v + c), size).alias(f"c{c}") for c in "xyz"]
+    pts, arcs = materialize(pts, "points"), materialize(arcs, "arcs")
+    told = _arc_samples(arcs, radius).select(C("k.id").alias("id"), *at("")).groupBy("cx", "cy", "cz").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    sure = F.coalesce((C("lo") != C("k.id")) | (C("hi") != C("k.id")), F.lit(False)).alias("sure")
+    seen = materialize(pts.select("k", "v", *at("v.")).join(told, ["cx", "cy", "cz"], "left").select("k", "v", sure), "beside")
+    rest = seen.filter("NOT sure").select("k", "v")
+    open_ = rest.count()
+    near = near_arcs(rest, arcs, radius, few=open_ <= FEW).filter("a.id <> b.id").select("a.*").distinct() if open_ else None
+    done = seen.filter("sure").select("k")
+    return done if near is None else done.union(near.select(F.struct("id", "seq").alias("k")))
+
+
+def _arc_samples(arcs: DataFrame, step: float) -> DataFrame:
+    """(k, x, y, z): points of arcs (k, v, n) at most ``step`` radians apart, ends included; none of arcs between antipodes."""
     parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows that grow: they need their tasks before that
-    samples = arcs.repartition(parts, "k").select(C("k"), "v", "n", F.explode(at).alias("t")).select("k", g.slerp(C("v"), C("n"), C("t")).alias("v")).filter("v IS NOT NULL")
-    met = sp.within(samples, radius * 1.2, pts).select(C("b").alias("a"), C("a").alias("b")).distinct()  # points are the fewer ones to spread
+    flat = [C(f"{v}.{c}").alias(f"{v}{c}") for v in "vn" for c in "xyz"]
+    w = arcs.select("k", *flat, g.angle(C("v"), C("n")).alias("w")).repartition(parts, "k").withColumn("s", F.sin("w")).filter("w < 1e-12 OR abs(s) > 1e-12")
+    i = w.withColumn("steps", F.greatest(F.lit(1), F.ceil(C("w") / step).cast("int"))).select("*", F.explode(F.sequence(F.lit(0), C("steps"))).alias("i")).withColumn("t", C("i") / C("steps"))
+    part = lambda u, whole: F.when(C("w") < 1e-12, whole).otherwise(F.sin(u * C("w")) / C("s"))
+    i = i.withColumn("a", part(1.0 - C("t"), 1.0)).withColumn("b", part(C("t"), 0.0))  # plain columns: structs would be built for each of their parts
+    return i.select("k", *[(C(f"v{c}") * C("a") + C(f"n{c}") * C("b")).alias(c) for c in "xyz"])
+
+
+def near_arcs(pts: DataFrame, arcs: DataFrame, radius: float, few: bool = False) -> DataFrame:
+    """(a, b): points (k, v) within ``radius`` of arcs (k, v, n). Arcs are met at samples one radius apart, then measured. ``few``
+    points go to the samples instead of being shuffled with them."""
+    samples = _arc_samples(arcs, radius).select("k", F.struct("x", "y", "z").alias("v"))
+    met = sp.within(samples, radius * 1.2, pts, few=few).select(C("b").alias("a"), C("a").alias("b")).distinct()  # points are the fewer ones to spread
     met = materialize(met, "met").join(pts.select(C("k").alias("a"), C("v").alias("p")), "a").join(arcs.select(C("k").alias("b"), "v", "n"), "b")
     return met.filter(g.to_arc(C("p"), C("v"), C("n")) <= radius).select("a", "b")
 
