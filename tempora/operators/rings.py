@@ -49,9 +49,10 @@ def edge_users(edges: DataFrame) -> DataFrame:
 
 
 def shared_arcs(edges: DataFrame) -> DataFrame:
-    """rid, seq, arc, users: each edge with the number of its arc, the cyclic run of edges with equal users."""
+    """rid, seq, ay, ax, arc, users: each edge with the number of its arc, the cyclic run of edges with equal users, whose digest stands
+    for them: an edge has as many users as rings lie alike, so their lists would grow with the square of the copies."""
     a, b = F.concat_ws(":", "ay", "ax"), F.concat_ws(":", "by_", "bx")
-    users = edge_users(edges)
+    users = edge_users(edges).withColumn("users", F.sha2("users", 256))
     e = edges.withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b)).join(users, ["a", "b"])
     w = Window.partitionBy("rid").orderBy("seq")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
