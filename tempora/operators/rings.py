@@ -42,6 +42,23 @@ def ring_lists(rows: DataFrame, key: str = "rid", text=None) -> DataFrame:
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["t"]).alias("vs"))
 
 
+def by_shape(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shapes: the rings (rid, seq, qlat, qlon), of those whose vertices are equal in order only the one of least rid; members: shape, rid
+    of every ring). What depends on a ring's place alone is found for shapes and told for members last, so no pairs of copies are shuffled."""
+    item = F.struct("seq", "qlat", "qlon")
+    vs = rows.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(item)), lambda v: F.struct(v["qlat"], v["qlon"])).alias("vs")).select("rid", F.sha2(F.to_json("vs"), 256).alias("vs"))
+    vs = materialize(vs, "vs")
+    members = materialize(vs.join(vs.groupBy("vs").agg(F.min("rid").alias("shape")), "vs").select("shape", "rid"), "members")
+    return materialize(rows.join(members.filter("shape = rid").select("rid"), "rid"), "shapes"), members
+
+
+def told(found: DataFrame, members: DataFrame, *names: str) -> DataFrame:
+    """``found`` with every member in place of the shape in each of the named columns."""
+    for name in names:
+        found = found.join(members.select(F.col("shape").alias(name), F.col("rid").alias("_rid")), name).drop(name).withColumnRenamed("_rid", name)
+    return found
+
+
 def edge_users(edges: DataFrame) -> DataFrame:
     """a, b (least first), users: the rings that use each undirected edge."""
     a, b = F.concat_ws(":", "ay", "ax"), F.concat_ws(":", "by_", "bx")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempora.functions import geo as g
 from tempora.operators import edgecells as ec
 from tempora.operators import spatial as sp
+from tempora.operators import rings as rg
 from tempora.operators.rings import resampled
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
@@ -285,8 +286,9 @@ def segment_crossings(left, right, size=1e6, size_x=1e5):
   AND ((l.ay=l.by_ AND r.ax=r.bx AND r.ax > least(l.ax,l.bx) AND r.ax < greatest(l.ax,l.bx) AND l.ay > least(r.ay,r.by_) AND l.ay < greatest(r.ay,r.by_))
   OR (l.ax=l.bx AND r.ay=r.by_ AND l.ax > least(r.ax,r.bx) AND l.ax < greatest(r.ax,r.bx) AND r.ay > least(l.ay,l.by_) AND r.ay < greatest(l.ay,l.by_)))""")
 def j12(spark, sf):
-    e = sp.ring_edges(fx.rings(spark, sf))
-    return segment_crossings(e, _shifted(e)).select("l_rid", "l_seq", "r_rid", "r_seq")
+    shapes, members = rg.by_shape(fx.rings(spark, sf))
+    e = sp.ring_edges(shapes)
+    return rg.told(segment_crossings(e, _shifted(e)).select("l_rid", "l_seq", "r_rid", "r_seq"), members, "l_rid", "r_rid").select("l_rid", "l_seq", "r_rid", "r_seq")
 
 
 @query("W18_path_progress", with_("paths") + PSEG + """, cum AS (SELECT id, seq, w, sum(w) OVER (PARTITION BY id ORDER BY seq) reach, sum(w) OVER (PARTITION BY id) total FROM plen)
