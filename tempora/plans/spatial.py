@@ -240,9 +240,14 @@ def j6(spark, sf):
 
 @query("J8_shared_border_adjacency", with_("rings") + "SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM rings a JOIN rings b ON a.qlat = b.qlat AND a.qlon = b.qlon AND a.rid < b.rid GROUP BY 1, 2 HAVING count(*) >= 2")
 def j8(spark, sf):
-    r = fx.rings(spark, sf)
-    b = r.select(F.col("rid").alias("b"), "qlat", "qlon")
-    return r.select(F.col("rid").alias("a"), "qlat", "qlon").join(b, ["qlat", "qlon"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 2")
+    shapes, members = rg.by_shape(fx.rings(spark, sf))
+    return rg.told(neighbours(shapes), members, "a", "b").filter("a < b").select("a", "b", "n")
+
+
+def neighbours(shapes):
+    """a, b, n: rings that share n vertices, two at least, in both directions; each also beside itself, as its copies are."""
+    b = shapes.select(F.col("rid").alias("b"), "qlat", "qlon")
+    return shapes.select(F.col("rid").alias("a"), "qlat", "qlon").join(b, ["qlat", "qlon"]).groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
 @query("J11_distance_within", with_("geo") + f"SELECT p.k AS a, q.k AS b, round(acos(greatest(-1.0,least(1.0,p.x*q.x+p.y*q.y+p.z*q.z)))*6371, 2) AS km FROM vec p JOIN vec q ON p.k < q.k AND acos(greatest(-1.0,least(1.0,p.x*q.x+p.y*q.y+p.z*q.z))) <= {R300}")
