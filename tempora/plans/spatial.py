@@ -231,11 +231,11 @@ def l15(spark, sf):
   t AS (SELECT *, greatest(0.0, least(1.0, (px*ex+py*ey)/(ex*ex+ey*ey))) u FROM d)
   SELECT k, rid, round(min(sqrt((px-u*ex)*(px-u*ex)+(py-u*ey)*(py-u*ey)))/1e7, 8) AS deg FROM t GROUP BY 1, 2""")
 def j6(spark, sf):
-    r = fx.rings(spark, sf)
-    edges = sp.ring_edges(r)
+    shapes, members = rg.by_shape(fx.rings(spark, sf))
+    edges = sp.ring_edges(shapes)
     steps = ec.ring_steps(edges)
     near = ec.points_near_boxes(fx.pip(spark, sf), steps, margin=500000)
-    return ec.distances(near, ec.edge_cells(edges), steps).select("k", "rid", F.round(F.col("d") / 1e7, 8).alias("deg"))
+    return rg.told(ec.distances(near, ec.edge_cells(edges), steps), members, "rid").select("k", "rid", F.round(F.col("d") / 1e7, 8).alias("deg"))
 
 
 @query("J8_shared_border_adjacency", with_("rings") + "SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM rings a JOIN rings b ON a.qlat = b.qlat AND a.qlon = b.qlon AND a.rid < b.rid GROUP BY 1, 2 HAVING count(*) >= 2")
