@@ -216,13 +216,14 @@ def a8(spark, sf):
 @query("J5_point_in_polygon", with_("pip", "redges") + """, c AS (SELECT p.k, e.rid, count(*) n FROM pip p JOIN redges e ON (e.ay > p.y) <> (e.by_ > p.y) AND p.x < (e.bx-e.ax)*(p.y-e.ay)/(e.by_-e.ay)+e.ax GROUP BY 1, 2)
   SELECT k, rid FROM c WHERE n % 2 = 1""")
 def j5(spark, sf):
-    return sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf))
+    shapes, members = rg.by_shape(fx.rings(spark, sf))
+    return rg.told(sp.points_in_rings(fx.pip(spark, sf), shapes), members, "rid").select("k", "rid")
 
 
 @query("L15_water_sites", with_("pip", "redges") + """, c AS (SELECT p.k, e.rid, count(*) n FROM pip p JOIN redges e ON (e.ay > p.y) <> (e.by_ > p.y) AND p.x < (e.bx-e.ax)*(p.y-e.ay)/(e.by_-e.ay)+e.ax GROUP BY 1, 2)
   SELECT k, min(rid) AS water FROM c WHERE n % 2 = 1 GROUP BY 1""")
 def l15(spark, sf):
-    return sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf)).groupBy("k").agg(F.min("rid").alias("water"))
+    return sp.points_in_rings(fx.pip(spark, sf), rg.by_shape(fx.rings(spark, sf))[0]).groupBy("k").agg(F.min("rid").alias("water"))
 
 
 @query("J6_point_ring_distance", with_("pip", "redges") + """, b AS (SELECT rid, min(ay) y0, max(ay) y1, min(ax) x0, max(ax) x1 FROM redges GROUP BY 1),
