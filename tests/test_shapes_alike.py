@@ -22,7 +22,7 @@ def copies(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["W16_shared_arcs", "J12_segment_intersections", "J8_shared_border_adjacency", "A10_longest_shared_boundary", "J6_point_ring_distance", "J5_point_in_polygon"])
+@pytest.mark.parametrize("name", ["W16_shared_arcs", "J12_segment_intersections", "J8_shared_border_adjacency", "A10_longest_shared_boundary", "J6_point_ring_distance", "J5_point_in_polygon", "J7_overlap_self_join"])
 def test_copies_give_the_rows_of_the_sql(name, spark, copies, monkeypatch):
     built, plain = [], sp.ring_edges
 
