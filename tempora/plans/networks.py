@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tempora.functions import geo as g
 from tempora.operators import spatial as sp
 from tempora.operators.graph import connected_components
-from tempora.operators.rings import cleaned
+from tempora.operators.rings import by_shape, cleaned, told
 from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
@@ -290,7 +290,7 @@ def j22(spark, sf):
 @query("W23_label_anchor")
 def w23(spark, sf):
     """Pole of inaccessibility of each ring: a coarse grid, then refinements around the best point so far."""
-    r = fx.rings(spark, sf)
+    r, members = by_shape(fx.rings(spark, sf))
     edges = materialize(sp.ring_edges(r), "edges")
     box = sp.ring_boxes(r).select("rid", ((C("y0") + C("y1")) / 2).alias("cy"), ((C("x0") + C("x1")) / 2).alias("cx"), (C("y1") - C("y0")).cast("double").alias("h"), (C("x1") - C("x0")).cast("double").alias("w"))
     best = box
@@ -308,7 +308,7 @@ def w23(spark, sf):
         score = F.struct(F.when(C("inside"), C("d")).otherwise(-C("d")).alias("s"), (-C("y")).alias("ny"), (-C("x")).alias("nx"))
         top = got.groupBy("rid").agg(F.max(score).alias("m"), F.first("h").alias("h"), F.first("w").alias("w"))
         best = materialize(top.select("rid", (-C("m.ny")).alias("cy"), (-C("m.nx")).alias("cx"), (C("h") * (2.0 / (n - 1))).alias("h"), (C("w") * (2.0 / (n - 1))).alias("w"), C("m.s").alias("s")), "best")
-    return best.select("rid", F.round("cy", 1).alias("y"), F.round("cx", 1).alias("x"), F.round("s", 1).alias("room"))
+    return told(best, members, "rid").select("rid", F.round("cy", 1).alias("y"), F.round("cx", 1).alias("x"), F.round("s", 1).alias("room"))
 
 
 @query("W27_iso_band", with_("grid") + """, b AS (SELECT DISTINCT v // 100 band FROM grid), m AS (SELECT list(band ORDER BY band) l FROM b), p AS (SELECT l[(len(l)+1)//2] band FROM m),
