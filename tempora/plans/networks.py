@@ -177,9 +177,11 @@ def snapped(paths: DataFrame, rings: DataFrame, size: float, margin: int, most:
 @query("J13_node_on_segment")
 def j13(spark, sf):
     """Ring edges cut at every point within 20,000 units of them, in order along the edge."""
-    near = _near_segments(fx.pip(spark, sf), sp.ring_edges(fx.rings(spark, sf)), 1e6, 20000)
+    shapes, members = by_shape(fx.rings(spark, sf))
+    near = _near_segments(fx.pip(spark, sf), sp.ring_edges(shapes), 1e6, 20000)
     w = Window.partitionBy("rid", "seq").orderBy("t", "k")
-    return near.select("rid", "seq", F.row_number().over(w).cast("long").alias("part"), "k", F.round("t", 6).alias("t"))
+    parts = near.select("rid", "seq", F.row_number().over(w).cast("long").alias("part"), "k", F.round("t", 6).alias("t"))
+    return told(parts, members, "rid").select("rid", "seq", "part", "k", "t")
 
 
 @query("J14_clip_against_water")
