@@ -187,7 +187,7 @@ def j13(spark, sf):
 @query("J14_clip_against_water")
 def j14(spark, sf):
     """Runs of the points of a path (100 keys each) that lie outside all rings."""
-    wet = sp.points_in_rings(fx.pip(spark, sf), fx.rings(spark, sf)).select("k").distinct().withColumn("wet", F.lit(1))
+    wet = sp.points_in_rings(fx.pip(spark, sf), by_shape(fx.rings(spark, sf))[0]).select("k").distinct().withColumn("wet", F.lit(1))
     p = fx.pip(spark, sf).join(wet, "k", "left").select(F.floor(C("k") / 100).alias("path"), "k", F.coalesce("wet", F.lit(0)).alias("wet"))
     w = Window.partitionBy("path").orderBy("k")
     runs = p.withColumn("run", F.sum((F.coalesce(F.lag("wet").over(w), F.lit(-1)) != C("wet")).cast("int")).over(w))
@@ -204,6 +204,7 @@ def j14_points(spark, sf):
 def outside_runs(points: DataFrame, rings: DataFrame, leg: float) -> DataFrame:
     """(path, run, place, y, x): runs of the points (path, k, y, x) outside all rings; where the path goes on inside, the run ends at the
     first crossing of a shore. ``leg``: cells for legs of the paths."""
+    rings = by_shape(rings)[0]  # a second ring that lies alike changes neither what is wet nor where the shore is
     wet = sp.points_in_rings(points.select("k", "y", "x"), rings).select("k").distinct().withColumn("wet", F.lit(1))
     w = Window.partitionBy("path").orderBy("k")
     state = F.struct("wet", "y", "x")
