@@ -97,17 +97,23 @@ def w26(spark, sf):
 
 
 def thinned(pts: DataFrame, radius: float) -> DataFrame:
-    """k of the points that stay; smaller k is better."""
-    near = materialize(sp.within(pts, radius).select("a", "b"), "near")  # a is the better one
-    open_ = materialize(pts.select("k"), "open")
-    kept = open_.limit(0)
+    """k of the points that stay; smaller k is better.
+
+    In a cell no wider than the radius only the best open point can stay next, so rounds compare these few with what is open around them
+    and never list the pairs of near points.
+    """
+    size = 2.0 * math.sin(min(radius, math.pi) / 2.0) / math.sqrt(3.0) * 0.999
+    at = [sp.cell(C(f"v.{c}"), size).alias(f"c{c}") for c in "xyz"]
+    open_ = materialize(pts.select("k", "v", *at), "open")
+    kept = open_.select("k").limit(0)
     todo = open_.count()
     while todo:
-        blocked = near.join(open_.withColumnRenamed("k", "a"), "a").select(C("b").alias("k")).distinct()
-        now = materialize(open_.join(blocked, "k", "left_anti"), "now")
-        gone = near.join(now.withColumnRenamed("k", "a"), "a").select(C("b").alias("k")).distinct()
-        kept = materialize(kept.union(now), "kept")
-        open_ = materialize(open_.join(now, "k", "left_anti").join(gone, "k", "left_anti"), "open")
+        best = materialize(open_.groupBy("cx", "cy", "cz").agg(F.min_by("v", "k").alias("v"), F.min("k").alias("k")).select("k", "v"), "best")
+        blocked = sp.within(open_, radius, best).filter("a < b").select(C("b").alias("k")).distinct()
+        now = materialize(best.join(blocked, "k", "left_anti"), "now")
+        gone = sp.within(open_, radius, now).select(C("a").alias("k")).union(now.select("k")).distinct()
+        kept = materialize(kept.union(now.select("k")), "kept")
+        open_ = materialize(open_.join(gone, "k", "left_anti"), "open")
         todo = _fewer(open_, todo)
     return kept
 

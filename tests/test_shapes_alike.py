@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import rings as rg
 from tempora.operators import spatial as sp
+from tempora.plans import networks as nw
 from tempora.registry import ORACLE_SQL, QUERIES
 from tests.test_laws import squares
 from tests.test_queries import table
@@ -46,3 +47,18 @@ def test_users_of_an_edge_travel_as_a_digest(spark):
     rings = squares(spark, *[(i, 0, 0, 1000, 1000) for i in range(3, 43)])
     arcs = rg.shared_arcs(sp.ring_edges(rings)).collect()
     assert {len(r.users) for r in arcs} == {64} and len(arcs) == 160
+
+
+def test_near_points_are_thinned_without_their_pairs(spark, monkeypatch):
+    """300 points in one spot and one beside it: pairs of all would be 45,000."""
+    met, plain = [], sp.within
+
+    def counted(*a, **k):
+        out = plain(*a, **k)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(sp, "within", counted)
+    rows = [(k, (1.0, 0.0, 0.0)) for k in range(1, 301)] + [(0, (0.0, 1.0, 0.0))]
+    pts = spark.createDataFrame(rows, "k long, v struct<x:double,y:double,z:double>")
+    assert sorted(r.k for r in nw.thinned(pts, 0.1).collect()) == [0, 1] and sum(met) < 2000
