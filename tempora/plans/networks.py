@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from tempora.plans import fixtures as fx
 from tempora.plans.catalog import query
 from tempora.plans.fixtures import with_
 from tempora.plans.scratch import materialize
-from tempora.plans.spatial import R300, path_segments, points
+from tempora.plans.spatial import R300, neighbours, path_segments, points
 
 C = F.col
 
@@ -52,34 +53,48 @@ def bridges(parts: DataFrame, ties: DataFrame, most: int = 12) -> DataFrame:
 
 @query("G3_colouring")
 def g3(spark, sf):
-    r = fx.rings(spark, sf)
-    b = r.select(C("rid").alias("b"), "qlat", "qlon")
-    near = r.select(C("rid").alias("a"), "qlat", "qlon").join(b, ["qlat", "qlon"]).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 2").select("a", "b")
-    return coloured(r.select(C("rid").alias("id")).distinct(), near)
+    shapes, members = by_shape(fx.rings(spark, sf))
+    return coloured_alike(members.select(C("rid").alias("id"), "shape"), neighbours(shapes).select("a", "b"))
 
 
 def coloured(nodes: DataFrame, near: DataFrame, slots: int = 8) -> DataFrame:
-    """id, slot: neighbours differ wherever a node has fewer neighbours than slots. ``near`` holds both directions.
+    """id, slot: neighbours differ wherever a node has fewer neighbours than slots. ``near`` holds both directions."""
+    return coloured_alike(nodes.select("id", C("id").alias("shape")), near, slots)
+
 
-    Rounds colour every node that comes before all its uncoloured neighbours (higher degree first, then a hash, then id).
+def coloured_alike(members: DataFrame, near: DataFrame, slots: int = 8) -> DataFrame:
+    """(id, slot) of nodes (id, shape) that are neighbours where their shapes (a, b) are ``near``; a shape near itself has its nodes near
+    each other.
+
+    Nodes choose in turn (more neighbours first, then a hash, then id) among the slots that no neighbour before them has. Rounds colour
+    every node that comes before all its uncoloured neighbours, and every one whose neighbours before it have all slots already: it can
+    choose nothing, whatever the others take. A shape tells its neighbours no more than its first node of each slot.
     """
     near = materialize(near, "near")
-    degree = near.groupBy(C("a").alias("id")).agg(F.count("*").alias("d"))
-    left = materialize(nodes.join(degree, "id", "left").select("id", F.struct(-F.coalesce("d", F.lit(0)), F.xxhash64("id"), C("id")).alias("rank")), "left")
-    done = left.select("id", F.lit(0).alias("slot")).limit(0)
-    every = F.array(*[F.lit(i) for i in range(slots)])
+    size = members.groupBy(C("shape").alias("b")).agg(F.count("*").alias("n"))
+    degree = near.join(size, "b").groupBy(C("a").alias("shape")).agg((F.sum("n") - F.count_if(C("a") == C("b"))).alias("d"))
+    rank = F.struct(-F.coalesce("d", F.lit(0)), F.xxhash64("id"), C("id")).alias("rank")
+    left = materialize(members.join(degree, "shape", "left").select("id", "shape", rank), "left")
+    firsts = left.select("shape", F.lit(0).alias("slot"), C("rank").alias("first")).limit(0)
+    every, parts = F.array(*[F.lit(i) for i in range(slots)]), [left.select("id", F.lit(0).alias("slot")).limit(0)]
     todo = left.count()
     while todo:
-        theirs = near.join(left.select(C("id").alias("b"), C("rank").alias("rb")), "b").groupBy(C("a").alias("id")).agg(F.min("rb").alias("rb"))
-        ready = left.join(theirs, "id", "left").filter("rb IS NULL OR rank < rb").select("id")
-        used = near.join(done.select(C("id").alias("b"), "slot"), "b").groupBy(C("a").alias("id")).agg(F.collect_set("slot").alias("used"))
-        free = ready.join(used, "id", "left").withColumn("free", F.array_except(every, F.coalesce("used", F.array().cast("array<int>"))))
+        ahead = near.join(left.groupBy(C("shape").alias("b")).agg(F.min("rank").alias("rb")), "b").groupBy(C("a").alias("shape")).agg(F.min("rb").alias("rb"))
+        taken = near.join(firsts.withColumnRenamed("shape", "b"), "b").groupBy(C("a").alias("shape"), "slot").agg(F.min("first").alias("first"))
+        taken = taken.groupBy("shape").agg(F.collect_list(F.struct("slot", "first")).alias("taken"))
+        now = left.join(ahead, "shape", "left").join(taken, "shape", "left")
+        used = F.transform(F.filter("taken", lambda t: t["first"] < C("rank")), lambda t: t["slot"])
+        now = now.withColumn("free", F.array_except(every, F.coalesce(used, F.array().cast("array<int>"))))
         # a node spreads over the free slots by its id; with none left it takes any
         slot = F.when(F.size("free") > 0, F.get("free", (F.pmod("id", F.size("free"))).cast("int"))).otherwise((F.pmod("id", F.lit(slots))).cast("int"))
-        now = materialize(free.select("id", slot.alias("slot")), "now")
-        done, left = materialize(done.union(now), "done"), materialize(left.join(now.select("id"), "id", "left_anti"), "left")
+        now = materialize(now.select("id", "shape", "rank", F.when(C("rb").isNull() | (C("rank") <= C("rb")) | (F.size("free") == 0), slot).alias("slot")), "now")
+        settled, left = now.filter("slot IS NOT NULL"), now.filter("slot IS NULL").select("id", "shape", "rank")
+        firsts = materialize(firsts.union(settled.select("shape", "slot", C("rank").alias("first"))).groupBy("shape", "slot").agg(F.min("first").alias("first")), "firsts")
+        parts.append(settled.select("id", "slot"))
+        if len(parts) > 20:  # keeps the plan short
+            parts = [materialize(functools.reduce(DataFrame.union, parts), "done")]
         todo = _fewer(left, todo)
-    return done
+    return functools.reduce(DataFrame.union, parts)
 
 
 def _fewer(left: DataFrame, before: int) -> int:

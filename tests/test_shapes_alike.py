@@ -23,7 +23,7 @@ def copies(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["W16_shared_arcs", "J12_segment_intersections", "J8_shared_border_adjacency", "A10_longest_shared_boundary", "J6_point_ring_distance", "J5_point_in_polygon", "J7_overlap_self_join"])
+@pytest.mark.parametrize("name", ["J5_point_in_polygon", "J6_point_ring_distance", "J7_overlap_self_join", "J8_shared_border_adjacency", "J12_segment_intersections", "A10_longest_shared_boundary", "W16_shared_arcs"])
 def test_copies_give_the_rows_of_the_sql(name, spark, copies, monkeypatch):
     built, plain = [], sp.ring_edges
 
@@ -49,6 +49,21 @@ def test_users_of_an_edge_travel_as_a_digest(spark):
     assert {len(r.users) for r in arcs} == {64} and len(arcs) == 160
 
 
+def test_copies_take_all_slots_and_do_not_wait_for_each_other(spark, monkeypatch):
+    """60 copies of one square and 60 of its neighbour: as many rounds as slots take, and the slots of the plain way."""
+    rounds, plain = [], nw._fewer
+    monkeypatch.setattr(nw, "_fewer", lambda *a: rounds.append(1) or plain(*a))
+    members = spark.range(120).select("id", (F.col("id") % 2).alias("shape"))
+    pairs = spark.createDataFrame([(a, b) for a in (0, 1) for b in (0, 1)], "a long, b long")
+    got = {r.id: r.slot for r in nw.coloured_alike(members, pairs).collect()}
+    ranks = {r.id: (r.h, r.id) for r in spark.range(120).select("id", F.xxhash64("id").alias("h")).collect()}
+    want = {}
+    for x in sorted(ranks, key=ranks.get):
+        free = [s for s in range(8) if s not in want.values()]
+        want[x] = free[x % len(free)] if free else x % 8
+    assert got == want and len(rounds) <= 10
+
+
 def test_near_points_are_thinned_without_their_pairs(spark, monkeypatch):
     """300 points in one spot and one beside it: pairs of all would be 45,000."""
     met, plain = [], sp.within
