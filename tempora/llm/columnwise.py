@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import spans
-from tempora.llm.words import BASE, BASE_INVERSE, BYTE_CODES, PIECE, mix, powers, slices, small_batches, utf8
+from tempora.llm.words import BASE, BASE_INVERSE, BYTE_CODES, PIECE, mix, powers, runs, slices, small_batches, utf8
 from tempora.plans.scratch import materialize
 
 SIZE, GRAM = 50, 16
 REACH = (SIZE - GRAM) // 2
 BUCKET = 20_000  # strings
 HOT = 2_000  # strings with one anchor
+BLOCK = 4_000  # strings that go through the transform together, more only where one anchor has more
 _END = 0xFF  # a byte that UTF-8 never has
 _U = np.uint64
 
@@ -54,8 +55,8 @@ def anchors(offsets: np.ndarray, data: np.ndarray, size: int = SIZE, gram: int =
     if not (doc_len >= size).any():
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(_U), z
-    first = np.arange(n - gram + 1)
-    grams = _hashes(_sums(data), first, first + gram)
+    total = _sums(data)
+    grams = mix((total[gram:] - total[:-gram]) * powers(BASE_INVERSE, n - gram + 1))
     low = (_U(1) << _U(24)) - _U(1)
     keyed = (grams & ~low) | np.arange(len(grams), dtype=_U)  # leftmost of equal ones; a slice is below 2 ** 24 bytes or one text
     best, width = keyed, 1
@@ -65,14 +66,17 @@ def anchors(offsets: np.ndarray, data: np.ndarray, size: int = SIZE, gram: int =
         width *= 2
     if width < need:
         best = np.minimum(best[: len(best) - (need - width)], best[need - width:])
-    starts = np.repeat(offsets[:-1], np.maximum(0, doc_len - size + 1))
-    count = np.maximum(0, doc_len - size + 1)
-    at = starts + np.arange(len(starts)) - np.repeat(np.cumsum(count) - count, count)
-    doc = np.repeat(np.arange(len(doc_len)), count)
-    key = best[at]
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-    place = (key[first] & low).astype(np.int64)
-    return doc[first], at[first] - offsets[doc[first]], np.diff(np.r_[first, len(at)]), grams[place], place - at[first]
+    # runs of equal keys, cut where a document begins and where its last window has begun
+    cut = np.r_[True, best[1:] != best[:-1]]
+    for edge in (offsets[:-1], np.maximum(offsets[1:] - size + 1, offsets[:-1])):
+        cut[edge[edge < len(best)]] = True
+    first = np.flatnonzero(cut)
+    windows = np.diff(np.r_[first, len(best)])
+    doc = np.searchsorted(offsets, first, "right") - 1
+    whole = first + size <= offsets[doc + 1]
+    first, windows, doc = first[whole], windows[whole], doc[whole]
+    place = (best[first] & low).astype(np.int64)
+    return doc, first - offsets[doc], windows, grams[place], place - first
 
 
 def _anchor_rows(docs: DataFrame, size: int, piece: int = PIECE) -> DataFrame:
@@ -177,7 +181,7 @@ def collection_transform(strings: list[bytes], depth: int) -> tuple[np.ndarray,
     length = np.array([len(s) for s in strings], np.int64)
     flat, stop = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length)
     bwt, lcp = np.full(m, _END, np.uint8), np.zeros(m, np.uint8)
-    who, rem = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
+    tail = np.arange(m) << 32  # the string, and in the low half its suffix' length
     row = np.arange(m)  # where each string's longest suffix so far stands
     for r in range(1, int(length.max(initial=0)) + 1):
         now = np.flatnonzero(length >= r)
@@ -185,11 +189,16 @@ def collection_transform(strings: list[bytes], depth: int) -> tuple[np.ndarray,
         at = row[now]
         bwt[row[length == r - 1]] = _END
         bwt[at] = c
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        mine = rank[at]
-        before, after = order[np.maximum(mine - 1, 0)], order[np.minimum(mine + 1, len(bwt) - 1)]
+        # symbols in order, each with its row: numbers sort faster than places by symbols
+        kind, bits = (np.uint32, 24) if len(bwt) < 1 << 24 else (np.uint64, 56)
+        order = bwt.astype(kind) << kind(bits)
+        order |= np.arange(len(bwt), dtype=kind)
+        asked = order[at]
+        order.sort()
+        by_symbol = np.argsort(asked)
+        mine = np.empty(len(at), np.int64)
+        mine[by_symbol] = np.searchsorted(order, asked[by_symbol])
+        before, after = ((order[k] & kind((1 << bits) - 1)).astype(np.int64) for k in (np.maximum(mine - 1, 0), np.minimum(mine + 1, len(bwt) - 1)))
         has_before, has_after = (mine > 0) & (bwt[before] == c), (mine + 1 < len(bwt)) & (bwt[after] == c)
         new_lcp = np.zeros(len(now), np.uint8)
         new_lcp[has_before] = np.minimum(depth - 1, _least_between(lcp, before[has_before] + 1, at[has_before] + 1)) + 1
@@ -199,19 +208,28 @@ def collection_transform(strings: list[bytes], depth: int) -> tuple[np.ndarray,
         old = np.ones(size, bool)
         old[place] = False
         grown = []
-        for have, new in ((bwt, np.uint8(_END)), (lcp, new_lcp), (who, now.astype(np.int32)), (rem, np.int32(r))):
+        for have, new in ((bwt, np.uint8(_END)), (lcp, new_lcp), (tail, (now << 32) + r)):
             x = np.empty(size, have.dtype)
             x[old], x[place] = have, new
             grown.append(x)
-        bwt, lcp, who, rem = grown
+        bwt, lcp, tail = grown
         lcp[place[has_after] + 1] = next_lcp
         row[now] = place
-    return bwt, lcp, who, rem
+    return bwt, lcp, tail >> 32, tail & 0xFFFFFFFF
 
 
 def _late_windows(size: int):
     def late(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Ranges of a bucket's strings covered by windows that also start in a smaller document."""
+        """Ranges of a bucket's strings covered by windows that also start in a smaller document.
+
+        Equal windows name one anchor, so a bucket goes block by block of whole anchors, whose columns stay in the processor's cache.
+        """
+        pdf = pdf.sort_values("anchor", kind="stable")
+        first = runs(pdf["anchor"].to_numpy())
+        cuts = first[runs(first // BLOCK)]
+        return pd.concat([late_of(pdf.iloc[a:b]) for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True)])
+
+    def late_of(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, start = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy().astype(np.int64)
         _, lcp, who, rem = collection_transform(pdf["part"].to_list(), size)
         kind = np.cumsum(lcp < size)
@@ -221,8 +239,13 @@ def _late_windows(size: int):
         least = np.repeat(np.minimum.reduceat(doc[who], first), np.diff(np.r_[first, len(kind)])) if len(kind) else doc[:0]
         out = doc[who] > least
         length = pdf["part"].map(len).to_numpy()
-        at = start[who[out]] + length[who[out]] - rem[out]
-        return pd.DataFrame({"doc_id": doc[who[out]], "start": at, "stop": at + size})
+        who, rem = who[out], rem[out]
+        order = np.lexsort((-rem, who))  # a string's late windows from left to right; neighbours make one range
+        who, rem = who[order], rem[order]
+        first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (rem[1:] != rem[:-1] - 1)]) if len(who) else who
+        last = np.r_[first[1:], len(who)][: len(first)] - 1
+        at = start[who] + length[who] - rem
+        return pd.DataFrame({"doc_id": doc[who[first]], "start": at[first], "stop": at[last] + size})
 
     return late
 
@@ -232,7 +255,7 @@ def covered_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     small_batches(docs.sparkSession)
     covered, rest = spans.shared_rows(_anchor_rows(docs, size), size, lambda named: _with_content(docs, named, size))
     counts = rest.groupBy("anchor").agg(F.count("*").alias("c"))
-    rest = materialize(rest.join(counts.select("anchor", (F.col("c") > HOT).alias("hot")), "anchor"), "open")
+    rest = materialize(rest.join(counts.select("anchor", (F.col("c") > HOT).alias("hot")).hint("shuffle_hash"), "anchor"), "open")
     cold, hot = rest.filter("NOT hot").drop("hot"), rest.filter("hot").drop("hot")
     buckets = int(max(1, -(-cold.count() // BUCKET)))
     strings = _strings(docs, cold, size, False).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
@@ -248,7 +271,7 @@ def _late_hot_windows(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """Ranges of the rows covered by windows that also start in a smaller document; a window costs one aggregated row."""
     windows = materialize(_strings(docs, rows, size, True).drop("anchor"), "windows")
     first = windows.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    late = windows.join(first, "part").filter("doc_id > first").select("doc_id", "start", (F.col("start") + size).alias("stop"))
+    late = windows.join(first.hint("shuffle_hash"), "part").filter("doc_id > first").select("doc_id", "start", (F.col("start") + size).alias("stop"))
     late = materialize(late, "late")
     spans.drop_scratch(windows)
     return late

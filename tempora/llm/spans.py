@@ -51,10 +51,13 @@ def _lane_of(column: str):
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose anchor stands in more than one document; the extremes of doc_id tell, and combine map-side."""
+    """Rows whose anchor stands in more than one document; the extremes of doc_id tell, and combine map-side.
+
+    The names are the smaller side and unique, so they are hashed and the rows, many times as many, are not sorted.
+    """
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     shared = materialize(shared, "names")
-    kept = materialize(rows.join(shared, "anchor"), "shared")
+    kept = materialize(rows.join(shared.hint("shuffle_hash"), "anchor"), "shared")
     drop_scratch(shared)
     return kept
 
@@ -75,8 +78,8 @@ def shared_rows(rows: DataFrame, size: int, attach=None) -> tuple[DataFrame, Dat
     drop_scratch(rows)
     kinds = materialize(kept.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "kinds")
     many = kinds.groupBy("anchor").agg((F.count("*") > 1).alias("many"))
-    open_kinds = kinds.join(many, "anchor").filter("many OR first < last")
-    told = materialize(kept.join(open_kinds.select("anchor", "content", "first", "many"), ["anchor", "content"]), "told")
+    open_kinds = kinds.join(many.hint("shuffle_hash"), "anchor").filter("many OR first < last")
+    told = materialize(kept.join(open_kinds.select("anchor", "content", "first", "many").hint("shuffle_hash"), ["anchor", "content"]), "told")
     drop_scratch(kept)
     drop_scratch(kinds)
     covered = told.filter("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + size).alias("stop"))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import duckdb
+import pandas as pd
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -109,6 +110,19 @@ def test_collection_transform():
             assert lcp[k] == min(n, depth)
 
 
+def test_a_bucket_goes_by_blocks_of_whole_anchors(monkeypatch):
+    """Three documents tell each of twelve strings; blocks hold four strings, so two anchors at most, and late ranges are told whole."""
+    rng = random.Random(5)
+    rows = [(k, doc, 10 * k, text) for k in range(12) for text in [words(rng, 20).encode()[:60]] for doc in (1, 2, 3)]
+    rng.shuffle(rows)
+    seen, transform = [], columnwise.collection_transform
+    monkeypatch.setattr(columnwise, "BLOCK", 4)
+    monkeypatch.setattr(columnwise, "collection_transform", lambda strings, depth: seen.append(len(strings)) or transform(strings, depth))
+    out = columnwise._late_windows(50)(pd.DataFrame(rows, columns=["anchor", "doc_id", "start", "part"]))
+    assert sum(seen) == 36 and max(seen) <= 6
+    assert sorted(map(tuple, out.to_numpy().tolist())) == sorted((doc, 10 * k, 10 * k + 60) for k in range(12) for doc in (2, 3))
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(docs, texts, nothing, width, percent):
     want = brute.near_dups(list(texts.items()), width, percent)
