@@ -253,7 +253,8 @@ def neighbours(shapes):
 
 @query("J11_distance_within", with_("geo") + f"SELECT p.k AS a, q.k AS b, round(acos(greatest(-1.0,least(1.0,p.x*q.x+p.y*q.y+p.z*q.z)))*6371, 2) AS km FROM vec p JOIN vec q ON p.k < q.k AND acos(greatest(-1.0,least(1.0,p.x*q.x+p.y*q.y+p.z*q.z))) <= {R300}")
 def j11(spark, sf):
-    return sp.within(points(spark, sf), R300).select("a", "b", F.round(F.col("w") * g.EARTH_KM, 2).alias("km"))
+    km = F.floor(F.col("w") * g.EARTH_KM * 100 + 0.5) / 100  # rounded without decimals of any length, which would take longer than the join
+    return sp.pairs_within(points(spark, sf), R300).select("a", "b", km.alias("km"))
 
 
 @query("J10_vertex_snap", with_("pip", "rings") + """, c AS (SELECT k, k // 100 path, rid, seq, (y-qlat)*(y-qlat)+(x-qlon)*(x-qlon) d FROM pip JOIN rings ON abs(y-qlat) <= 500000 AND abs(x-qlon) <= 500000),
