@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,35 +129,58 @@ def clipped(rows: DataFrame, key: str, y0: float, y1: float, x0: float, x1: floa
 SHORT = 20_000  # vertices of a line that one task simplifies by itself
 
 
-def _simplify_short(key: str, tolerance: float):
-    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        v = pdf[["x", "y", "z"]].to_numpy()
-        keep = np.zeros(len(v), bool)
-        keep[[0, -1]] = True
-        todo = [(0, len(v) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d = distances_to_arc(v[a + 1:b], v[a], v[b])
-            m = int(d.argmax())  # the lowest of equal ones
-            if d[m] > tolerance:
-                keep[a + 1 + m] = True
-                todo += [(a, a + 1 + m), (a + 1 + m, b)]
-        return pdf.loc[keep, [key, "seq"]]
+POINTS = 200_000  # vertices of lines that are simplified side by side, more only where one line has more
 
-    return kept
 
+def _kept(offsets: np.ndarray, v: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of lines stay. All open segments of all lines split in the same round, at the lowest of their farthest vertices."""
+    keep = np.zeros(len(v), bool)
+    a, b = offsets[:-1], offsets[1:] - 1
+    some = a <= b
+    a, b = a[some], b[some]
+    keep[a] = keep[b] = True
+    while True:
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+        if not len(a):
+            return keep
+        inner = b - a - 1
+        first = np.cumsum(inner) - inner
+        segment = np.repeat(np.arange(len(a)), inner)
+        at = np.arange(len(segment)) + (a + 1 - first)[segment]
+        d = distances_to_arcs(v[at], v[a], v[b], segment)
+        top = np.maximum.reduceat(d, first)
+        far = top > tolerance
+        best = np.flatnonzero((d == top[segment]) & far[segment])
+        m = at[best[np.r_[True, segment[best][1:] != segment[best][:-1]]]] if len(best) else at[:0]
+        keep[m] = True
+        a, b = np.r_[a[far], m], np.r_[m, b[far]]
+
+
+def _simplify_lines(key: str, tolerance: float):
+    """For batches of lines (key, line: a list of seq, x, y, z in order)."""
+
+    def run(batches):
+        for batch in batches:
+            lines = batch.column("line")
+            offsets = lines.offsets.to_numpy().astype(np.int64)
+            offsets, flat = offsets - offsets[0], lines.flatten()
+            v = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1)
+            cuts = np.flatnonzero(np.r_[True, np.diff(offsets[:-1] // POINTS) > 0])
+            keep = np.concatenate([_kept(offsets[i:j + 1] - offsets[i], v[offsets[i]:offsets[j]], tolerance) for i, j in zip(cuts, [*cuts[1:], len(lines)], strict=True)]) if len(lines) else np.zeros(0, bool)
+            who = np.repeat(np.arange(len(lines)), np.diff(offsets))[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(who)), flat.field("seq").filter(pa.array(keep))], [key, "seq"])
+
+    return run
 
-def _simplify_inner(key: str, tolerance: float):
-    whole = _simplify_short(key, tolerance)
 
+def _simplify_inner(key: str, tolerance: float):
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
         """What stays of a segment's inner vertices; its ends come with each of them."""
         one = pdf.iloc[0]
         ends = pd.DataFrame([{key: one[key], "seq": one[s], **{c: one["v" + s][c] for c in "xyz"}} for s in ("a", "b")])
-        out = whole(pd.concat([pdf[[key, "seq", "x", "y", "z"]], ends]).reset_index(drop=True))
+        line = pd.concat([pdf[[key, "seq", "x", "y", "z"]], ends]).sort_values("seq")
+        out = line.loc[_kept(np.array([0, len(line)]), line[["x", "y", "z"]].to_numpy(), tolerance), [key, "seq"]]
         return out[(out["seq"] > one["a"]) & (out["seq"] < one["b"])]
 
     return kept
@@ -180,16 +204,16 @@ def resampled(lines: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     return legs.withColumn("t", t).select(key, "i", F.coalesce(F.when(F.col("t") > 0, g.slerp(F.col("v"), F.col("nv"), F.col("t"))), F.col("v")).alias("v"))
 
 
-def distances_to_arc(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Angular distances of points from one arc."""
-    ends = np.minimum(np.arccos(np.clip(p @ a, -1, 1)), np.arccos(np.clip(p @ b, -1, 1)))
+def distances_to_arcs(p: np.ndarray, a: np.ndarray, b: np.ndarray, arc: np.ndarray) -> np.ndarray:
+    """Angular distances of points from the arcs (a, b), of which each is told its own."""
+    dot = lambda u, w: u[:, 0] * w[:, 0] + u[:, 1] * w[:, 1] + u[:, 2] * w[:, 2]
+    angles = lambda w: np.arccos(np.clip(dot(p, w[arc]), -1, 1))
     n = np.cross(a, b)
-    size = np.linalg.norm(n)
-    if size <= 1e-15:
-        return ends
-    n = n / size
-    inside = (p @ np.cross(n, a) >= 0) & (p @ np.cross(b, n) >= 0)
-    return np.where(inside, np.abs(np.arcsin(np.clip(p @ n, -1, 1))), ends)
+    size = np.linalg.norm(n, axis=1)
+    plain = size > 1e-15
+    n = n / np.where(plain, size, 1.0)[:, None]
+    inside = plain[arc] & (dot(p, np.cross(n, a)[arc]) >= 0) & (dot(p, np.cross(b, n)[arc]) >= 0)
+    return np.where(inside, np.abs(np.arcsin(np.clip(dot(p, n[arc]), -1, 1))), np.minimum(angles(a), angles(b)))
 
 
 def simplified(rows: DataFrame, key: str, tolerance: float, short: int = SHORT) -> DataFrame:
@@ -203,7 +227,8 @@ def simplified(rows: DataFrame, key: str, tolerance: float, short: int = SHORT)
     rows = rows.join(size, key)
     flat = rows.filter(F.col("_n") <= short).select(key, F.col("seq").cast("long").alias("seq"), "v.x", "v.y", "v.z")
     kind = dict(flat.dtypes)[key]
-    done = flat.groupBy(key).applyInPandas(_simplify_short(key, tolerance), f"{key} {kind}, seq long")
+    lines = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("line"))
+    done = lines.mapInArrow(_simplify_lines(key, tolerance), f"{key} {kind}, seq long")
     long_ = materialize(rows.filter(F.col("_n") > short).select(key, F.col("seq").cast("long").alias("seq"), "v", F.col("_a.seq").alias("a"), F.col("_b.seq").alias("b"), F.col("_a.v").alias("va"), F.col("_b.v").alias("vb")), "line")
     if long_.isEmpty():
         return done
