@@ -1,4 +1,6 @@
-"""Contours of a grid: directed segments of marching squares, chained into rings by list ranking."""
+"""Contours of a grid: directed segments of marching squares, chained into rings by list ranking.
+
+Joins of the rounds are merged: each would broadcast a side below the session's limit anew, and the driver would gather one a round."""
 
 from __future__ import annotations
 
@@ -43,29 +45,29 @@ def closed(successors: DataFrame) -> DataFrame:
     ended = 0
     while True:
         ahead = state.select(C("h").alias("nxt"), C("nxt").alias("nn"), C("over").alias("after"))
-        new = state.join(ahead, "nxt", "left").select("h", F.when(~C("over"), C("nn")).alias("nxt"), (C("over") | C("after").isNull() | C("after")).alias("over"))
+        new = state.join(ahead.hint("merge"), "nxt", "left").select("h", F.when(~C("over"), C("nn")).alias("nxt"), (C("over") | C("after").isNull() | C("after")).alias("over"))
         state = materialize(new, "chains")
         now = state.filter("over").count()
         if now == ended:
             break
         ended = now
-    return successors.join(state.filter("NOT over").select("h"), "h")
+    return successors.join(state.filter("NOT over").select("h").hint("merge"), "h")
 
 
 def ranked(successors: DataFrame) -> DataFrame:
     """(h, cycle, place, size): the place of each member of a cycle after its least one, which is 0, by doubling."""
-    told = materialize(successors.select("h", "nxt").join(cycles(successors), "h"), "cycles")
+    told = materialize(successors.select("h", "nxt").join(cycles(successors).hint("merge"), "h"), "cycles")
     state = told.select("h", F.when(C("nxt") != C("cycle"), C("nxt")).alias("nxt"), F.when(C("nxt") != C("cycle"), 1).otherwise(0).cast("long").alias("left"))
     state = materialize(state, "ranks")
     while not state.filter("nxt IS NOT NULL").isEmpty():
         ahead = state.select(C("h").alias("nxt"), C("nxt").alias("nn"), C("left").alias("more"))
-        state = materialize(state.join(ahead, "nxt", "left").select("h", C("nn").alias("nxt"), (C("left") + F.coalesce("more", F.lit(0))).alias("left")), "ranks")
+        state = materialize(state.join(ahead.hint("merge"), "nxt", "left").select("h", C("nn").alias("nxt"), (C("left") + F.coalesce("more", F.lit(0))).alias("left")), "ranks")
     size = told.groupBy("cycle").agg(F.count("*").alias("size"))
-    return told.select("h", "cycle").join(state.select("h", "left"), "h").join(size, "cycle").select("h", "cycle", (C("size") - 1 - C("left")).alias("place"), "size")
+    return told.select("h", "cycle").join(state.select("h", "left").hint("merge"), "h").join(size.hint("merge"), "cycle").select("h", "cycle", (C("size") - 1 - C("left")).alias("place"), "size")
 
 
 def contour_rings(grid: DataFrame, level: float, least: int = 8) -> DataFrame:
     """ring (its least side), place, y, x of the closed contours of ``least`` points or more; chains that don't close are left out."""
     segments = materialize(contour_segments(grid, level), "segments")
     rings = ranked(closed(segments.select("h", "nxt"))).filter(C("size") >= least)
-    return rings.join(segments.select("h", "y", "x"), "h").select(C("cycle").alias("ring"), "place", "y", "x")
+    return rings.join(segments.select("h", "y", "x").hint("merge"), "h").select(C("cycle").alias("ring"), "place", "y", "x")

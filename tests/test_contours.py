@@ -65,3 +65,22 @@ def test_open_chains_are_left_out(spark):
     assert sorted(r.h for r in ct.closed(df).collect()) == [200, 201, 202, 300]
     got = sorted((r.cycle, r.place, r.h, r.size) for r in ct.ranked(ct.closed(df)).collect())
     assert got == [(200, 0, 200, 3), (200, 1, 201, 3), (200, 2, 202, 3), (300, 0, 300, 1)]
+
+
+def test_rounds_broadcast_no_side(spark, monkeypatch):
+    """What grows with the grid is never gathered in the driver, however small the session takes it to be."""
+    from tempora.operators import contours, overlay
+
+    joins = []
+
+    def seen(df, name="t"):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.extend(x for x in plan.splitlines() if "Join " in x)
+        return materialize(df, name)
+
+    materialize = contours.materialize
+    monkeypatch.setattr(contours, "materialize", seen)
+    monkeypatch.setattr(overlay, "materialize", seen)
+    grid = spark.createDataFrame([(i, j, 900 if 3 <= i <= 6 and 3 <= j <= 6 else 100) for i in range(10) for j in range(10)], "i long, j long, v long")
+    assert contours.contour_rings(grid, 500.0).count() == 16
+    assert len(joins) > 5 and all("strategy=merge" in x for x in joins)
