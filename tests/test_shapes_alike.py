@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tempora.operators import rings as rg
 from tempora.operators import spatial as sp
 from tempora.plans import networks as nw
+from tempora.plans import shapes
 from tempora.registry import ORACLE_SQL, QUERIES
 from tests.test_laws import squares
 from tests.test_queries import table
@@ -77,3 +78,12 @@ def test_near_points_are_thinned_without_their_pairs(spark, monkeypatch):
     rows = [(k, (1.0, 0.0, 0.0)) for k in range(1, 301)] + [(0, (0.0, 1.0, 0.0))]
     pts = spark.createDataFrame(rows, "k long, v struct<x:double,y:double,z:double>")
     assert sorted(r.k for r in nw.thinned(pts, 0.1).collect()) == [0, 1] and sum(met) < 2000
+
+
+def test_overlay_on_sphere_takes_one_ring_of_those_that_lie_alike(spark, copies, monkeypatch):
+    monkeypatch.setattr(shapes.so, "overlaid", lambda arcs, *rest: arcs)
+    arcs = shapes.overlaid_on_sphere(spark, copies)
+    keys = [r.c_custkey for r in spark.read.parquet(f"{copies}/customer.parquet").select("c_custkey").collect()]
+    # of each place in either layer the least id, which owns the faces that its like hold, too; eight arcs each
+    least = {k for k in keys if k < 8000} | {-k - 1 for k in keys if k >= 16000}
+    assert {r.rid: r["count"] for r in arcs.groupBy("rid").count().collect()} == dict.fromkeys(least, 8)
