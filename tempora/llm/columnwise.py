@@ -166,7 +166,7 @@ def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
     """min(values[lo:hi]) for non-empty ranges."""
     if not len(lo):
         return np.zeros(0, values.dtype)
-    order = np.argsort(lo, kind="stable")
+    order = np.argsort(lo)
     out = np.empty(len(lo), values.dtype)
     out[order] = np.minimum.reduceat(np.r_[values, values[-1:]], np.stack([lo[order], hi[order]], 1).ravel())[::2]
     return out
@@ -181,7 +181,6 @@ def collection_transform(strings: list[bytes], depth: int) -> tuple[np.ndarray,
     length = np.array([len(s) for s in strings], np.int64)
     flat, stop = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length)
     bwt, lcp = np.full(m, _END, np.uint8), np.zeros(m, np.uint8)
-    tail = np.arange(m) << 32  # the string, and in the low half its suffix' length
     row = np.arange(m)  # where each string's longest suffix so far stands
     for r in range(1, int(length.max(initial=0)) + 1):
         now = np.flatnonzero(length >= r)
@@ -208,14 +207,23 @@ def collection_transform(strings: list[bytes], depth: int) -> tuple[np.ndarray,
         old = np.ones(size, bool)
         old[place] = False
         grown = []
-        for have, new in ((bwt, np.uint8(_END)), (lcp, new_lcp), (tail, (now << 32) + r)):
+        for have, new in ((bwt, np.uint8(_END)), (lcp, new_lcp)):
             x = np.empty(size, have.dtype)
             x[old], x[place] = have, new
             grown.append(x)
-        bwt, lcp, tail = grown
+        bwt, lcp = grown
         lcp[place[has_after] + 1] = next_lcp
         row[now] = place
-    return bwt, lcp, tail >> 32, tail & 0xFFFFFFFF
+    # whose suffixes the rows are follows from the last transform: a symbol's rank tells the row of the suffix that it begins
+    longer = np.empty(len(bwt), np.int64)
+    longer[np.argsort(bwt, kind="stable")] = np.arange(m, m + len(bwt))
+    who, rem = np.arange(len(bwt)), np.zeros(len(bwt), np.int64)
+    row = np.arange(m)
+    for r in range(1, int(length.max(initial=0)) + 1):
+        now = np.flatnonzero(length >= r)
+        row[now] = longer[row[now]]
+        who[row[now]], rem[row[now]] = now, r
+    return bwt, lcp, who, rem
 
 
 def _late_windows(size: int):
