@@ -87,3 +87,21 @@ def test_overlay_on_sphere_takes_one_ring_of_those_that_lie_alike(spark, copies,
     # of each place in either layer the least id, which owns the faces that its like hold, too; eight arcs each
     least = {k for k in keys if k < 8000} | {-k - 1 for k in keys if k >= 16000}
     assert {r.rid: r["count"] for r in arcs.groupBy("rid").count().collect()} == dict.fromkeys(least, 8)
+
+
+def test_laws_of_topology_take_rings_that_lie_alike_as_one(spark, copies):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{copies}/customer.parquet/*.parquet'")
+    got = QUERIES["L11_topology"](spark, copies).select("law", "amount").collect()
+    assert [tuple(r) for r in got] == c.execute(ORACLE_SQL["L11_topology"]).fetchall()
+
+
+def test_edges_that_stand_twice_are_told_of_rings_that_differ(spark):
+    alike = [(i, 0, 0, 1000, 1000) for i in (1, 2)]
+    assert shapes.repeated(squares(spark, *alike)).isEmpty()
+    pairs = spark.createDataFrame([(3, s, y, x) for s, (y, x) in enumerate([(0, 0), (0, 1000), (1000, 1000), (2000, 0)])], "rid long, seq long, qlat long, qlon long")
+    twice = shapes.repeated(squares(spark, *alike).unionByName(pairs)).collect()
+    assert {(r.oy, r.ox, r.dy, r.dx, r.n) for r in twice} == {(0, 0, 0, 1000, 2), (0, 1000, 1000, 1000, 2)}
+    loop = [(0, 0), (0, 1000), (1000, 1000)]
+    again = spark.createDataFrame([(4, s, y, x) for s, (y, x) in enumerate(loop + loop)], "rid long, seq long, qlat long, qlon long")
+    assert shapes.repeated(again).count() == 3
