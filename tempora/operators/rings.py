@@ -47,7 +47,7 @@ def by_shape(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(shapes: the rings (rid, seq, qlat, qlon), of those whose vertices are equal in order only the one of least rid; members: shape, rid
     of every ring). What depends on a ring's place alone is found for shapes and told for members last, so no pairs of copies are shuffled."""
     item = F.struct("seq", "qlat", "qlon")
-    vs = rows.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(item)), lambda v: F.struct(v["qlat"], v["qlon"])).alias("vs")).select("rid", F.sha2(F.to_json("vs"), 256).alias("vs"))
+    vs = rows.groupBy("rid").agg(F.sort_array(F.collect_list(item)).alias("vs")).select("rid", F.sha2(F.concat_ws(" ", *[F.col(f"vs.{c}").cast("string") for c in ("qlat", "qlon")]), 256).alias("vs"))
     vs = materialize(vs, "vs")
     members = materialize(vs.join(vs.groupBy("vs").agg(F.min("rid").alias("shape")), "vs").select("shape", "rid"), "members")
     return materialize(rows.join(members.filter("shape = rid").select("rid"), "rid"), "shapes"), members

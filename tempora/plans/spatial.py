@@ -233,10 +233,10 @@ def l15(spark, sf):
   SELECT k, rid, round(min(sqrt((px-u*ex)*(px-u*ex)+(py-u*ey)*(py-u*ey)))/1e7, 8) AS deg FROM t GROUP BY 1, 2""")
 def j6(spark, sf):
     shapes, members = rg.by_shape(fx.rings(spark, sf))
-    edges = sp.ring_edges(shapes)
-    steps = ec.ring_steps(edges)
-    near = ec.points_near_boxes(fx.pip(spark, sf), steps, margin=500000)
-    return rg.told(ec.distances(near, ec.edge_cells(edges), steps), members, "rid").select("k", "rid", F.round(F.col("d") / 1e7, 8).alias("deg"))
+    near = ec.distances_near(fx.pip(spark, sf), sp.ring_edges(shapes), 500000)
+    # rounded for shapes, before their members multiply the rows, and without decimals of any length
+    deg = F.floor(F.col("d") / 1e7 * 1e8 + 0.5) / 1e8
+    return rg.told(near.select("k", "rid", deg.alias("deg")), members, "rid").select("k", "rid", "deg")
 
 
 @query("J8_shared_border_adjacency", with_("rings") + "SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM rings a JOIN rings b ON a.qlat = b.qlat AND a.qlon = b.qlon AND a.rid < b.rid GROUP BY 1, 2 HAVING count(*) >= 2")
